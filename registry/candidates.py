@@ -71,6 +71,9 @@ cte("united", "SELECT customer_id, article_id, "
 cte("cand", "SELECT *, " + ", ".join(f"CAST({n}_rank IS NOT NULL AS INTEGER) AS src_{n}" for n in NAMES)
     + ", " + " + ".join(f"CAST({n}_rank IS NOT NULL AS INTEGER)" for n in NAMES) + " AS n_sources FROM united")
 
+cte("labelled", """SELECT c.*, CAST(t.customer_id IS NOT NULL AS INTEGER) AS label
+  FROM cand c LEFT JOIN truth t USING (customer_id, article_id)""")
+
 UNITED = "customer_id:long article_id:long " + " ".join(f"{n}_rank:int" for n in NAMES)
 FLAGGED = UNITED + " " + " ".join(f"src_{n}:int" for n in NAMES) + " n_sources:int"
 
