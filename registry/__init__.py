@@ -57,9 +57,7 @@ def _sql_side(body: str, schema: list[tuple[str, str]]) -> str:
     for name, kind in schema:
         cast = f'CAST("{name}" AS {_SQL[kind]})'
         out.append(f'round({cast} + {NUDGE}, {DIGITS}) AS "{name}"' if kind == "float" else f'{cast} AS "{name}"')
-    inner = with_ctes(f"SELECT * FROM ({body}) answer_body")
-    head, _, tail = inner.rpartition("SELECT * FROM (")
-    return f"{head}SELECT {', '.join(out)} FROM ({tail}"
+    return with_ctes(f"SELECT {', '.join(out)} FROM ({body}) answer")
 
 
 def query(name: str, schema: str, sql: str | None = None):

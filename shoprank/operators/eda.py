@@ -24,7 +24,9 @@ from shoprank.operators.folds import fold_specs, time_split
 from shoprank.operators.shared import top_per_group
 from shoprank.schema import Columns
 
-_ALL = Window.partitionBy()
+def _all():
+    """Window over every row; for frames bounded by the calendar or by distinct counts only."""
+    return Window.partitionBy()
 
 
 # --- volume over time ----------------------------------------------------------------------
@@ -34,7 +36,7 @@ def transaction_patterns(tx: DataFrame, cols: Columns = Columns()) -> DataFrame:
     weekly = tx.groupBy(week_of(cols.date).alias("week")).agg(
         F.count("*").alias("n_transactions"), F.count_distinct(cols.user).alias("n_active_users"),
         F.count_distinct(cols.item).alias("n_distinct_items"), F.avg("price").alias("avg_price"))
-    mean, spread = F.avg("n_transactions").over(_ALL), F.stddev("n_transactions").over(_ALL)
+    mean, spread = F.avg("n_transactions").over(_all()), F.stddev("n_transactions").over(_all())
     return weekly.withColumn("is_outlier", F.abs(F.col("n_transactions") - mean) > 2 * spread)
 
 
@@ -98,7 +100,7 @@ def item_decay(tx: DataFrame, cols: Columns = Columns()) -> DataFrame:
     by_offset = _item_weeks(tx, cols).groupBy(offset).agg(
         F.count("*").alias("n_active_items"), F.sum("n").alias("n_purchases"))
     # every item is active in its launch week, so offset 0 counts all items
-    n_items, total = F.max(F.when(F.col("week_offset") == 0, F.col("n_active_items"))).over(_ALL), F.sum("n_purchases").over(_ALL)
+    n_items, total = F.max(F.when(F.col("week_offset") == 0, F.col("n_active_items"))).over(_all()), F.sum("n_purchases").over(_all())
     running = F.sum("n_purchases").over(Window.orderBy("week_offset").rowsBetween(Window.unboundedPreceding, 0))
     return by_offset.select(
         "week_offset", "n_active_items", (F.col("n_active_items") / n_items * 100).alias("pct_surviving"),
@@ -142,7 +144,7 @@ def _count_steps(tx: DataFrame, cols: Columns) -> DataFrame:
     return steps.select(
         "c", "m", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("items_before"),
         F.coalesce(F.sum(F.col("c") * F.col("m")).over(ahead), F.lit(0)).alias("bought_before"),
-        F.sum("m").over(_ALL).alias("n_items"), F.sum(F.col("c") * F.col("m")).over(_ALL).alias("n_bought"))
+        F.sum("m").over(_all()).alias("n_items"), F.sum(F.col("c") * F.col("m")).over(_all()).alias("n_bought"))
 
 
 def lorenz(tx: DataFrame, cols: Columns = Columns(), run: int = 4096) -> DataFrame:
@@ -226,7 +228,7 @@ def time_to_repurchase(tx: DataFrame, cols: Columns = Columns()) -> DataFrame:
     gaps = _first_two_days(tx, cols).filter(_HAS_SECOND)
     table = gaps.groupBy(F.datediff("d2", "d1").alias("days_to_repurchase")).agg(F.sum("n2").alias("n_pairs"))
     running = F.sum("n_pairs").over(Window.orderBy("days_to_repurchase").rowsBetween(Window.unboundedPreceding, 0))
-    return table.withColumn("cum_pct", running / F.sum("n_pairs").over(_ALL) * 100)
+    return table.withColumn("cum_pct", running / F.sum("n_pairs").over(_all()) * 100)
 
 
 def repurchase_summary(tx: DataFrame, cols: Columns = Columns()) -> DataFrame:
@@ -258,7 +260,7 @@ def user_activity_segments(tx: DataFrame, reference: date | Column, cols: Column
     """Users per activity segment at the reference date."""
     segment = recency_band(F.col("days"), EXPLORE_RECENCY, EXPLORE_RECENCY_REST).alias("segment")
     counts = _days_since_last(tx, reference, cols).groupBy(segment).agg(F.count("*").alias("n_users"))
-    return counts.withColumn("pct_users", F.col("n_users") / F.sum("n_users").over(_ALL) * 100)
+    return counts.withColumn("pct_users", F.col("n_users") / F.sum("n_users").over(_all()) * 100)
 
 
 def recency_histogram(tx: DataFrame, reference: date | Column, cols: Columns = Columns(), width: int = 14) -> DataFrame:
