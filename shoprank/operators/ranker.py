@@ -1,5 +1,300 @@
+"""Training frame and the learning-to-rank model.
+
+The ranker is LambdaMART as a loop of Spark jobs: gradients by windows over the ranking groups,
+one regression tree per round by `pyspark.ml`, Newton steps per leaf by an aggregation. Rows stay
+distributed; the driver holds trees and leaf values.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shoprank.functions.columns import unit_hash
+from shoprank.functions.session import checkpointed
+from shoprank.operators.recommend import backfill, top_k
+from shoprank.schema import Columns
+
+# Fixed value: the column that tells training folds apart.
+FOLD = "_fold"
+
+
+# --- training frame ------------------------------------------------------------------------
+
+def downsample(features: DataFrame, negatives_per_positive: int = 15, seed: int = 42,
+               cols: Columns = Columns(), fold: str | None = None) -> DataFrame:
+    """All positives and a Bernoulli sample of the negatives at the wanted ratio (per fold).
+
+    A row's draw depends on its keys only, so retries and repartitioning keep the same rows.
+    """
+    keys = [fold] if fold else []
+    counts = features.groupBy(*keys).agg(F.count_if(F.col("label") == 1).alias("_pos"),
+                                         F.count_if(F.col("label") == 0).alias("_neg"))
+    # one row per fold
+    if any(row["_pos"] == 0 for row in counts.collect()):
+        raise ValueError("no positive labels: is this the submission fold?")
+    rate = F.least(F.lit(1.0), F.try_divide(F.lit(float(negatives_per_positive)) * F.col("_pos"), F.col("_neg")))
+    keep = (F.col("label") == 1) | (unit_hash(*keys, cols.user, cols.item, seed=seed) < F.col("_rate"))
+    rates = counts.select(*keys, rate.alias("_rate"))
+    marked = features.join(rates, keys) if keys else features.withColumn("_rate", rates.scalar())
+    return marked.filter(keep).drop("_rate")
+
+
+def training_frame(features: DataFrame, negatives_per_positive: int = 15, seed: int = 42,
+                   cols: Columns = Columns(), fold: str = FOLD) -> DataFrame:
+    """Downsampled rows of all training folds; the fold column keeps their groups apart."""
+    return downsample(features, negatives_per_positive, seed, cols, fold)
+
+
+def resolve_features(df: DataFrame, cols: Columns = Columns(), explicit: Sequence[str] | None = None) -> list[str]:
+    """Every column that is no key, label or fold tag, unless a list is given."""
+    return list(explicit) if explicit else [c for c in df.columns if c not in (cols.user, cols.item, "label", FOLD)]
+
+
+def prepare_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Features as 32-bit floats with 0 for missing values."""
+    zero = F.lit(0.0).cast("float")
+    return df.withColumns({n: F.coalesce(F.col(n).cast("float"), zero) for n in names})
+
+
+# --- gradients -----------------------------------------------------------------------------
+
+def _discount(pos: Column) -> Column:
+    return 1.0 / F.log2(pos + F.lit(1.0))
+
+
+def _pair(score: Column, pos: Column, label: Column, other: Column, best: Column) -> tuple[Column, Column]:
+    """Size of the push between a row and one of opposite label, and its curvature."""
+    lead = F.when(label == 1, score - other["score"]).otherwise(other["score"] - score)
+    wrong = 1.0 / (1.0 + F.exp(lead))
+    swap = F.abs(_discount(pos) - _discount(other["pos"])) / best
+    return swap * wrong, swap * wrong * (1.0 - wrong)
+
+
+def _ideal(n: Column, limit: int) -> Column:
+    totals = [0.0]
+    for i in range(1, limit + 1):
+        totals.append(totals[-1] + 1.0 / math.log2(i + 1))
+    return F.element_at(F.array(*[F.lit(t) for t in totals]), (F.least(n, F.lit(limit)) + 1).cast("int"))
+
+
+def lambda_gradients(state: DataFrame, group: Sequence[str], tie: str, truncation: int = 30) -> DataFrame:
+    """`state` with gradient `g` and curvature `h` of NDCG for every row.
+
+    Only pairs with a member among the first `truncation` rows of the group count. These heads
+    are a short array beside each row; rows below push the heads back through sums per (group,
+    head position). Work per row is bounded by `truncation`, whatever the size of its group.
+    """
+    inside, whole = Window.partitionBy(*group).orderBy(F.col("score").desc(), F.col(tie)), Window.partitionBy(*group)
+    ranked = state.withColumn("pos", F.row_number().over(inside))
+    is_head = F.col("pos") <= truncation
+    head = F.struct("pos", "score")
+    ranked = ranked.withColumns({
+        "_n_pos": F.sum("label").over(whole),
+        "_up": F.collect_list(F.when(is_head & (F.col("label") == 1), head)).over(whole),
+        "_down": F.collect_list(F.when(is_head & (F.col("label") == 0), head)).over(whole)})
+    ranked = ranked.withColumns({
+        "_opp": F.when(F.col("label") == 1, F.col("_down")).otherwise(F.col("_up")),
+        "_best": _ideal(F.col("_n_pos"), truncation)}).drop("_up", "_down", "_n_pos")
+    score, pos, label, best = F.col("score"), F.col("pos"), F.col("label"), F.col("_best")
+
+    def add(acc, other):
+        push, curve = _pair(score, pos, label, other, best)
+        return F.struct((acc["g"] + push).alias("g"), (acc["h"] + curve).alias("h"))
+
+    zero = F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h"))
+    own = ranked.withColumn("_own", F.aggregate("_opp", zero, add))
+    below = ranked.filter(~is_head).select(*group, "score", "pos", "label", "_best", F.explode("_opp").alias("_o"))
+    push, curve = _pair(score, pos, label, F.col("_o"), best)
+    returned = below.groupBy(*group, F.col("_o.pos").alias("pos")).agg(F.sum(push).alias("_g"), F.sum(curve).alias("_h"))
+    sign = F.when(label == 1, 1.0).otherwise(-1.0)
+    return (own.join(returned, [*group, "pos"], "left").fillna({"_g": 0.0, "_h": 0.0})
+            .withColumns({"g": sign * (F.col("_own.g") + F.col("_g")), "h": F.col("_own.h") + F.col("_h")})
+            .drop("_opp", "_best", "_own", "_g", "_h", "pos"))
+
+
+def group_ndcg(state: DataFrame, group: Sequence[str], tie: str, k: int = 12) -> float:
+    """Mean NDCG@k of the groups that hold a positive."""
+    inside = Window.partitionBy(*group).orderBy(F.col("score").desc(), F.col(tie))
+    gain = F.sum(F.when((F.col("pos") <= k) & (F.col("label") == 1), _discount(F.col("pos"))).otherwise(0.0))
+    per_group = (state.withColumn("pos", F.row_number().over(inside)).groupBy(*group)
+                 .agg(gain.alias("dcg"), F.sum("label").alias("n")).filter(F.col("n") > 0))
+    return per_group.agg(F.coalesce(F.avg(F.col("dcg") / _ideal(F.col("n"), k)), F.lit(0.0))).first()[0]
+
+
+# --- model ---------------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class RankerParams:
+    """Boosting parameters. Trees grow level by level, so depth 6 stands for at most 64 leaves."""
+
+    rounds: int = 40
+    learning_rate: float = 0.1
+    max_depth: int = 6
+    min_child_samples: int = 50
+    subsample: float = 0.8
+    colsample: float = 0.8
+    reg_lambda: float = 1.0
+    truncation: int = 30
+    max_bins: int = 64
+    early_stopping_rounds: int | None = None
+    eval_k: int = 12
+    checkpoint_every: int = 5
+    seed: int = 42
+
+
+@dataclass
+class LambdaRankModel:
+    feature_cols: list[str]
+    preparation: PipelineModel
+    trees: list = field(default_factory=list)       # (tree model, leaf values, gain)
+    columns: Columns = Columns()
+    history: list[float] = field(default_factory=list)
+
+    def _vectors(self, df: DataFrame) -> DataFrame:
+        narrow = df.select(*[c for c in df.columns if c not in self.feature_cols],
+                           *[F.col(c) for c in self.feature_cols])
+        return self.preparation.transform(prepare_matrix(narrow, self.feature_cols))
+
+    def transform(self, features: DataFrame) -> DataFrame:
+        """`(user, item, score)`; higher is better."""
+        cols = self.columns
+        vectors = self._vectors(features.select(cols.user, cols.item, *self.feature_cols))
+        scored = vectors.select(cols.user, cols.item, "features").withColumn("score", F.lit(0.0))
+        for tree, values, _ in self.trees:
+            scored = step(scored, tree, values)
+        return scored.select(cols.user, cols.item, "score")
+
+    def recommend(self, features: DataFrame, k: int = 12, users: DataFrame | None = None,
+                  fallback: DataFrame | None = None) -> DataFrame:
+        """Top-k lists, padded for `users` when a fallback list is given."""
+        recs = top_k(self.transform(features), k, None, self.columns)
+        return recs if fallback is None else backfill(recs, users, fallback, k, self.columns)
+
+    def feature_importance(self, kind: str = "gain") -> DataFrame:
+        """`(feature, gain)` or `(feature, split)`, largest first."""
+        if kind not in ("gain", "split"):
+            raise ValueError("kind must be 'gain' or 'split'")
+        totals = dict.fromkeys(self.feature_cols, 0.0)
+        for tree, _, gain in self.trees:
+            if kind == "gain":
+                for i, share in zip(*_sparse(tree.featureImportances)):
+                    totals[self.feature_cols[int(i)]] += gain * float(share)
+            else:
+                for i in _split_features(tree.trees[0]):
+                    totals[self.feature_cols[i]] += 1
+        spark = SparkSession.getActiveSession()
+        table = spark.createDataFrame(list(totals.items()), f"feature string, {kind} double")
+        return table.orderBy(F.col(kind).desc(), "feature")
+
+
+def _sparse(vector) -> tuple:
+    return (vector.indices, vector.values) if hasattr(vector, "indices") else (range(len(vector)), vector)
+
+
+def _split_features(tree) -> list[int]:
+    """Feature index of every inner node of one tree."""
+    found, todo = [], [tree._call_java("rootNode")]
+    while todo:
+        node = todo.pop()
+        if node.subtreeDepth() > 0:
+            found.append(node.split().featureIndex())
+            todo += [node.leftChild(), node.rightChild()]
+    return found
+
+
+def step(state: DataFrame, tree, values: Sequence[float]) -> DataFrame:
+    """Add one tree's leaf values to the scores."""
+    leaf = vector_to_array("_leaf").getItem(0).cast("int")
+    value = F.element_at(F.array(*[F.lit(float(v)) for v in values]), leaf + 1)
+    return (tree.setLeafCol("_leaf").setPredictionCol("_p").transform(state)
+                .withColumn("score", F.col("score") + value).drop("_leaf", "_p"))
+
+
+class LambdaRanker:
+    """Gradient-boosted trees on NDCG gradients."""
+
+    def __init__(self, feature_cols: Sequence[str] | None = None, categorical_features: Sequence[str] = (),
+                 columns: Columns = Columns(), **params):
+        self.feature_cols = list(feature_cols) if feature_cols else None
+        self.categorical_features = list(categorical_features)
+        self.columns = columns
+        self.params = replace(RankerParams(), **params)
+
+    def _preparation(self, matrix: DataFrame, names: list[str]) -> PipelineModel:
+        stages, inputs = [], []
+        for name in names:
+            if name in self.categorical_features:
+                stages.append(StringIndexer(inputCol=name, outputCol=f"_ix_{name}", handleInvalid="keep"))
+                inputs.append(f"_ix_{name}")
+            else:
+                inputs.append(name)
+        return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(matrix)
+
+    def fit(self, train: DataFrame, group_cols: Sequence[str] | None = None,
+            eval_frame: DataFrame | None = None) -> LambdaRankModel:
+        p, cols = self.params, self.columns
+        group = list(group_cols or [cols.user])
+        names = resolve_features(train, cols, self.feature_cols)
+        preparation = self._preparation(prepare_matrix(train, names), names)
+        model = LambdaRankModel(names, preparation, [], cols)
+
+        def start(df: DataFrame, mixed_only: bool) -> DataFrame:
+            rows = model._vectors(df).select(*group, cols.item, "label", "features")
+            if mixed_only:
+                # groups of a single label hold no pairs
+                mixed = (rows.groupBy(*group).agg(F.min("label").alias("a"), F.max("label").alias("b"))
+                         .filter(F.col("a") < F.col("b")).select(*group))
+                rows = rows.join(mixed, group, "left_semi")
+            return checkpointed(rows.withColumn("score", F.lit(0.0)).repartition(*group))
+
+        state = start(train, True)
+        held = start(eval_frame, False) if eval_frame is not None else None
+        best, best_at = -1.0, 0
+        for r in range(p.rounds):
+            graded = lambda_gradients(state, group, cols.item, p.truncation).filter(F.col("h") > 1e-12)
+            graded = graded.withColumn("_target", F.col("g") / F.col("h")).persist()
+            tree = RandomForestRegressor(
+                featuresCol="features", labelCol="_target", weightCol="h", numTrees=1, maxDepth=p.max_depth,
+                minInstancesPerNode=p.min_child_samples, maxBins=p.max_bins, bootstrap=False,
+                subsamplingRate=p.subsample, featureSubsetStrategy=str(p.colsample), seed=p.seed + r).fit(graded)
+            values, gain = self._leaf_values(tree, graded)
+            graded.unpersist()
+            model.trees.append((tree, values, gain))
+            state = step(state, tree, values)
+            held = step(held, tree, values) if held is not None else None
+            if (r + 1) % p.checkpoint_every == 0:
+                state = checkpointed(state)
+                held = checkpointed(held) if held is not None else None
+            if held is not None:
+                model.history.append(group_ndcg(held, group, cols.item, p.eval_k))
+                if model.history[-1] > best:
+                    best, best_at = model.history[-1], r + 1
+                elif p.early_stopping_rounds and r + 1 - best_at >= p.early_stopping_rounds:
+                    break
+        if held is not None and p.early_stopping_rounds:
+            model.trees = model.trees[:best_at]
+        return model
 
-def prepare_matrix(features, names):
-    return features.withColumns({n: F.coalesce(F.col(n).cast("float"), F.lit(0.0).cast("float")) for n in names})
+    def _leaf_values(self, tree, graded: DataFrame) -> tuple[list[float], float]:
+        """Newton step of each leaf, and how much the tree lowers the loss. One row per leaf."""
+        p = self.params
+        leaf = vector_to_array("_leaf").getItem(0).cast("int")
+        sums = (tree.setLeafCol("_leaf").setPredictionCol("_p").transform(graded).groupBy(leaf.alias("leaf"))
+                .agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect())
+        values = [0.0] * (1 + max((row["leaf"] for row in sums), default=0))
+        for row in sums:
+            values[row["leaf"]] = p.learning_rate * row["g"] / (row["h"] + p.reg_lambda)
+        total_g, total_h = sum(r["g"] for r in sums), sum(r["h"] for r in sums)
+        gain = sum(r["g"] ** 2 / (r["h"] + p.reg_lambda) for r in sums) - total_g ** 2 / (total_h + p.reg_lambda)
+        # leaves no training row reached keep 0
+        n_leaves = tree.trees[0].numNodes // 2 + 1
+        return values + [0.0] * max(0, n_leaves - len(values)), gain
