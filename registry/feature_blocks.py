@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from registry import cte, query
 from registry.candidates import FLAGGED, candidates
 from registry.tables import RETAIL, retail_fold
+from shoprank.functions.session import written
 from shoprank.operators import features, retrieval, transforms
 from shoprank.operators.recommend import ground_truth
-from shoprank.plans.features import feature_blocks, feature_table
+from shoprank.plans.features import feature_blocks, feature_table, with_pairs
 from shoprank.schema import FoldInputs
 
 S = RETAIL
@@ -92,7 +93,8 @@ ALL = " ".join([FLAGGED, "label:int", _rest(USER, 1), _rest(ITEM, 1),
 
 
 def full_features(fold: FoldInputs):
-    edges = retrieval.copurchase_neighbors(fold, S.itemcf_neighbors)
+    fold = with_pairs(fold, S)
+    edges = written(retrieval.copurchase_neighbors(fold, S.itemcf_neighbors))
     blocks = [block for _, block in feature_blocks(fold, edges, S, exact_distinct=True)]
     return feature_table(fold, candidates(fold, edges), blocks, S)
 

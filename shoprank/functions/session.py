@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 # A join side that repeats one key in a third of its rows is split at run time even where the
 # split costs another exchange, and a table already partitioned by customer is not shuffled again
-# for a join on (customer, item).
+# for a join on (customer, item). Where every partition of a join side is measured to be small, the
+# join hashes that side instead of sorting both.
 _RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
 }
 
 
@@ -39,6 +42,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` out and continue from the written copy, so a lost executor costs one read."""
+    """Cut the lineage but keep the partitioning, for loops over the same frame."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the checkpoint folder, for results that are read several times.
+
+    A lost executor then costs a read, the columns can be pruned and the planner knows the size.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/shoprank-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

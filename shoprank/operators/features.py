@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoprank.functions.columns import days_between, weeks_before
+from shoprank.operators.shared import pair_history
 from shoprank.schema import FoldInputs, Settings
 
 # Article codes used as numeric features.
@@ -87,11 +88,9 @@ def item_aggregates(fold: FoldInputs, windows: Sequence[int] = (1, 4, 12)) -> Bl
 def _weighted_pairs(fold: FoldInputs, recent_weeks: int) -> DataFrame:
     """(user, item, n): recent count for users active in the window, lifetime count for the rest."""
     cols = fold.columns
-    recent = F.col(cols.date) >= weeks_before(fold.train_end, recent_weeks)
-    pairs = fold.history.groupBy(cols.user, cols.item).agg(
-        F.count_if(recent).alias("n_recent"), F.count("*").alias("n_all"))
+    pairs = pair_history(fold, recent_weeks)
     active = pairs.groupBy(cols.user).agg((F.sum("n_recent") > 0).alias("active"))
-    chosen = F.when(F.col("active"), F.col("n_recent")).otherwise(F.col("n_all"))
+    chosen = F.when(F.col("active"), F.col("n_recent")).otherwise(F.col("n"))
     return (pairs.join(active, cols.user).select(cols.user, cols.item, chosen.alias("n"))
             .filter(F.col("n") > 0))
 
@@ -107,9 +106,9 @@ def category_affinity(fold: FoldInputs, key: str, recent_weeks: int = 12, out_na
 
 def user_item_history(fold: FoldInputs) -> Block:
     cols = fold.columns
-    block = fold.history.groupBy(cols.user, cols.item).agg(
-        F.count("*").alias("user_item_purchases"),
-        days_between(fold.train_end, F.max(cols.date)).alias("user_item_days_since_last"))
+    block = pair_history(fold, fold.pairs_weeks or 12).select(
+        cols.user, cols.item, F.col("n").alias("user_item_purchases"),
+        days_between(fold.train_end, F.col("last")).alias("user_item_days_since_last"))
     return block, [cols.user, cols.item]
 
 
@@ -117,7 +116,7 @@ def item_buyer_demographic(fold: FoldInputs) -> Block:
     """Mean age behind an item's purchases: a buyer counts once per purchase."""
     cols = fold.columns
     ages = fold.customers.select(cols.user, F.col("age").try_cast("double").alias("age"))
-    pairs = fold.history.groupBy(cols.user, cols.item).agg(F.count("*").alias("n"))
+    pairs = pair_history(fold, fold.pairs_weeks or 12)
     known = F.when(F.col("age").isNotNull(), F.col("n"))
     block = pairs.join(ages, cols.user).groupBy(cols.item).agg(
         F.try_divide(F.sum(F.col("age") * F.col("n")), F.sum(known)).alias("item_mean_buyer_age"))

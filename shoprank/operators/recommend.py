@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoprank.functions.columns import unit_hash, weeks_before
-from shoprank.functions.session import checkpointed
+from shoprank.functions.session import written
 from shoprank.operators.metrics import mean_scores, user_scores
 from shoprank.operators.shared import as_list, bestsellers, top_per_group
 from shoprank.schema import Columns, FoldInputs
@@ -159,6 +159,6 @@ class ScoredFold:
 def score_fold(fold: FoldInputs, scored: DataFrame, k: int = 12, popularity_weeks: int = 4,
                users: DataFrame | None = None) -> ScoredFold:
     """Top-k lists of a fold, written out once: every report of the fold starts from them."""
-    recs = checkpointed(top_k(scored, k, users, fold.columns))
+    recs = written(top_k(scored, k, users, fold.columns))
     return ScoredFold(fold.name, recs, ground_truth(fold.val, fold.columns),
                       popular_items(fold, popularity_weeks, k), fold.columns)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoprank.schema import Columns
+from shoprank.functions.columns import weeks_before
+from shoprank.schema import Columns, FoldInputs
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
@@ -21,6 +22,20 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn(out, F.row_number().over(window)).filter(F.col(out) <= n)
 
 
+def pair_history(fold: FoldInputs, recent_weeks: int = 12) -> DataFrame:
+    """`(user, item, n, n_recent, last)`: the history summed per pair.
+
+    Repurchases, affinities, pair features and buyer ages all start from it, so a run computes it
+    once and hands it on as `fold.pairs`.
+    """
+    if fold.pairs is not None and fold.pairs_weeks == recent_weeks:
+        return fold.pairs
+    cols = fold.columns
+    recent = F.col(cols.date) >= weeks_before(fold.train_end, recent_weeks)
+    return fold.history.groupBy(cols.user, cols.item).agg(
+        F.count("*").alias("n"), F.count_if(recent).alias("n_recent"), F.max(cols.date).alias("last"))
+
+
 def bestsellers(tx: DataFrame, cols: Columns, n: int) -> DataFrame:
     """The `n` most bought items as `(rank, item)`; equal counts are ordered by item."""
     best = (tx.groupBy(cols.item).agg(F.count("*").alias("n"))

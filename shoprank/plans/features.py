@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 
+from shoprank.functions.session import written
 from shoprank.operators.features import Block, FeatureSource, feature_sources
+from shoprank.operators.shared import pair_history
 from shoprank.operators.transforms import assemble
 from shoprank.schema import FoldInputs, Settings
 
 
+def with_pairs(fold: FoldInputs, settings: Settings) -> FoldInputs:
+    """The fold with its history summed per pair, written once for retrieval and features."""
+    weeks = settings.user_recent_weeks
+    return replace(fold, pairs=written(pair_history(fold, weeks)), pairs_weeks=weeks)
+
+
 def feature_blocks(fold: FoldInputs, edges: DataFrame, settings: Settings,
                    exact_distinct: bool = False) -> list[tuple[FeatureSource, Block]]:
     return [(source, source.compute(fold, edges)) for source in feature_sources(settings, exact_distinct)]

@@ -13,10 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoprank.functions.session import checkpointed, tune
+from shoprank.functions.session import tune, written
 from shoprank.operators import folds, recommend, retrieval, union
 from shoprank.operators.ranker import FOLD, LambdaRanker, LambdaRankModel, training_frame
-from shoprank.plans.features import feature_blocks, feature_table
+from shoprank.plans.features import feature_blocks, feature_table, with_pairs
 from shoprank.schema import FoldInputs, Settings
 from shoprank.sources import readers, sinks
 
@@ -65,7 +65,7 @@ def load_fold(spark: SparkSession, settings: Settings, fold: str) -> FoldInputs:
 def build_candidates(spark: SparkSession, settings: Settings, fold: str, inputs: FoldInputs | None = None,
                      with_als: bool = True) -> DataFrame:
     """Neighbour edges, then all sources united, flagged and capped; both tables are written."""
-    inputs = inputs or load_fold(spark, settings, fold)
+    inputs = inputs or with_pairs(load_fold(spark, settings, fold), settings)
     edges = sinks.write_stage(retrieval.copurchase_neighbors(inputs, settings.itemcf_neighbors),
                               _of_fold(settings, "neighbors", fold))
     sources = retrieval.source_table(settings, with_als)
@@ -82,14 +82,14 @@ def build_features(spark: SparkSession, settings: Settings, fold: str, inputs: F
     More than one pass bounds the shuffle held at once; the blocks are then computed once and
     shared by the passes.
     """
-    inputs = inputs or load_fold(spark, settings, fold)
+    inputs = inputs or with_pairs(load_fold(spark, settings, fold), settings)
     if candidates is None:
         candidates = sinks.read_stage(spark, _of_fold(settings, "candidates", fold), "candidates")
     edges = sinks.read_stage(spark, _of_fold(settings, "neighbors", fold), "candidates")
     blocks = [block for _, block in feature_blocks(inputs, edges, settings)]
     chunks, path = max(1, settings.feature_chunks), _of_fold(settings, "features", fold)
     if chunks > 1:
-        blocks = [(checkpointed(block), keys) for block, keys in blocks]
+        blocks = [(written(block), keys) for block, keys in blocks]
     for chunk in range(chunks):
         part = candidates
         if chunks > 1:
@@ -105,8 +105,8 @@ def read_features(spark: SparkSession, settings: Settings, fold_names: Sequence[
 
 def train(spark: SparkSession, settings: Settings) -> tuple[LambdaRankModel, DataFrame]:
     """The ranker fitted on the training folds; a user in two folds is two ranking problems."""
-    frame = checkpointed(training_frame(read_features(spark, settings, settings.train_folds),
-                                        settings.negatives_per_positive, settings.seed, settings.columns))
+    frame = written(training_frame(read_features(spark, settings, settings.train_folds),
+                                   settings.negatives_per_positive, settings.seed, settings.columns))
     ranker = LambdaRanker(columns=settings.columns, **settings.ranker_params)
     return ranker.fit(frame, [FOLD, settings.columns.user]), frame
 
@@ -129,7 +129,7 @@ def write_submission(spark: SparkSession, settings: Settings, model: LambdaRankM
     inputs = load_fold(spark, settings, fold)
     fallback = recommend.popular_items(inputs, settings.popularity_weeks, settings.eval_k)
     recs = model.recommend(read_features(spark, settings, [fold]), settings.eval_k, inputs.customers, fallback)
-    rows = checkpointed(sinks.submission_rows(recommend.to_lists(recs, settings.columns), settings.columns))
+    rows = written(sinks.submission_rows(recommend.to_lists(recs, settings.columns), settings.columns))
     sinks.write_submission_csv(rows, settings.submission_path)
     sinks.validate_submission(rows, readers.load(spark, _raw(settings, "sample_submission")), settings.eval_k)
     return rows
@@ -137,7 +137,7 @@ def write_submission(spark: SparkSession, settings: Settings, model: LambdaRankM
 
 def run_fold(spark: SparkSession, settings: Settings, fold: str, with_als: bool = True) -> DataFrame:
     """Candidates and features of one fold."""
-    inputs = load_fold(spark, settings, fold)
+    inputs = with_pairs(load_fold(spark, settings, fold), settings)
     return build_features(spark, settings, fold, inputs, build_candidates(spark, settings, fold, inputs, with_als))
 
 
