@@ -17,7 +17,7 @@ CTES: dict[str, str] = {}
 
 _SPARK = {"long": "bigint", "int": "int", "str": "string", "float": "double", "date": "date", "bool": "boolean"}
 _SQL = {"long": "BIGINT", "int": "INTEGER", "str": "VARCHAR", "float": "DOUBLE", "date": "DATE", "bool": "BOOLEAN"}
-DIGITS = 6
+SCALE = 1e6
 # Means over 2, 4, 8, ... rows often end exactly half way between two roundings, where the last bit
 # decides. Both engines add this before rounding, which moves such values off the edge.
 NUDGE = 3.7e-9
@@ -31,8 +31,8 @@ def _spark_side(df: DataFrame, schema: list[tuple[str, str]]) -> DataFrame:
     out = []
     for name, kind in schema:
         column = F.col(f"`{name}`").cast(_SPARK[kind])
-        # floats are compared to six digits: sums are added in a different order in either engine
-        out.append((F.round(column + NUDGE, DIGITS) if kind == "float" else column).alias(name))
+        # floats are compared to six decimals: sums are added in a different order in either engine
+        out.append((F.floor((column + NUDGE) * SCALE + 0.5) / SCALE if kind == "float" else column).alias(name))
     return df.select(*out)
 
 
@@ -56,7 +56,7 @@ def _sql_side(body: str, schema: list[tuple[str, str]]) -> str:
     out = []
     for name, kind in schema:
         cast = f'CAST("{name}" AS {_SQL[kind]})'
-        out.append(f'round({cast} + {NUDGE}, {DIGITS}) AS "{name}"' if kind == "float" else f'{cast} AS "{name}"')
+        out.append(f'floor(({cast} + {NUDGE}) * {SCALE} + 0.5) / {SCALE} AS "{name}"' if kind == "float" else f'{cast} AS "{name}"')
     return with_ctes(f"SELECT {', '.join(out)} FROM ({body}) answer")
 
 

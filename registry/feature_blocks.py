@@ -96,7 +96,7 @@ def full_features(fold: FoldInputs):
     fold = with_pairs(fold, S)
     edges = written(retrieval.copurchase_neighbors(fold, S.itemcf_neighbors))
     blocks = [block for _, block in feature_blocks(fold, edges, S, exact_distinct=True)]
-    return feature_table(fold, candidates(fold, edges), blocks, S)
+    return feature_table(fold, written(candidates(fold, edges)), blocks, S)
 
 
 @query("user_aggregates", USER, "SELECT * FROM f_user")

@@ -49,7 +49,7 @@ def _(spark, d):
 
 @query("prepare", "fold:str split:str n_rows:long n_users:long n_items:long revenue:float", """
 SELECT s.fold, p.split, count(*) AS n_rows, count(DISTINCT customer_id) AS n_users, count(DISTINCT article_id) AS n_items,
-  sum(price) AS revenue
+  sum(CAST(price AS DECIMAL(18, 2))) AS revenue
 FROM tx t JOIN specs s ON true JOIN (VALUES ('train'), ('val')) p(split) ON
   (p.split = 'train' AND t_dat BETWEEN s.train_start AND s.train_end) OR
   (p.split = 'val' AND t_dat BETWEEN s.val_start AND s.val_end)
@@ -58,7 +58,7 @@ def _(spark, d):
     tagged = folds.tag_folds(retail(spark, d), retail_specs())
     return tagged.groupBy("fold", "split").agg(
         F.count("*").alias("n_rows"), F.count_distinct("customer_id").alias("n_users"),
-        F.count_distinct("article_id").alias("n_items"), F.sum("price").alias("revenue"))
+        F.count_distinct("article_id").alias("n_items"), F.sum(F.col("price").cast("decimal(18,2)")).alias("revenue"))
 
 
 CALENDAR = "fold:str fold_index:int train_start:date train_end:date val_start:date val_end:date"

@@ -33,22 +33,26 @@ class FeatureSource:
 def user_aggregates(fold: FoldInputs, recent_weeks: int = 12, exact_distinct: bool = False) -> Block:
     """Behaviour per user: over the recent window if there is any purchase in it, else lifetime.
 
-    Both versions come out of one pass; the user's own recent count picks between them.
+    Both versions come out of one pass; the user's own recent count picks between them. Distinct
+    items are a sketch, or exact from the history summed per pair, where a pair is one item.
     """
     cols, end = fold.columns, fold.train_end
     recent = F.col(cols.date) >= weeks_before(end, recent_weeks)
-    distinct = F.count_distinct if exact_distinct else F.approx_count_distinct
     channel = F.col("sales_channel_id").cast("double")
 
     def both(name, fn, value):
         return [fn(F.when(recent, value)).alias(f"r_{name}"), fn(value).alias(f"a_{name}")]
 
     day, price = F.col(cols.date), F.col("price")
-    sums = (both("purchases", F.count, F.lit(1)) + both("n_unique_items", distinct, F.col(cols.item))
-            + both("first", F.min, day) + both("last", F.max, day) + both("avg_price", F.avg, price)
+    items = [] if exact_distinct else both("n_unique_items", F.approx_count_distinct, F.col(cols.item))
+    sums = (both("purchases", F.count, F.lit(1)) + items + both("first", F.min, day) + both("last", F.max, day) + both("avg_price", F.avg, price)
             + both("std_price", F.stddev, price) + both("max_price", F.max, price)
             + both("avg_channel", F.avg, channel))
     wide = fold.history.groupBy(cols.user).agg(*sums)
+    if exact_distinct:
+        exact = pair_history(fold, recent_weeks).groupBy(cols.user).agg(
+            F.count_if(F.col("n_recent") > 0).alias("r_n_unique_items"), F.count("*").alias("a_n_unique_items"))
+        wide = wide.join(exact, cols.user)
     active = F.col("r_purchases") > 0
 
     def pick(name):
