@@ -90,21 +90,24 @@ def item_aggregates(fold: FoldInputs, windows: Sequence[int] = (1, 4, 12)) -> Bl
 
 
 def _weighted_pairs(fold: FoldInputs, recent_weeks: int) -> DataFrame:
-    """(user, item, n): recent count for users active in the window, lifetime count for the rest."""
+    """(user, item, ..., n): recent count for users active in the window, lifetime count for the rest."""
     cols = fold.columns
     pairs = pair_history(fold, recent_weeks)
-    active = pairs.groupBy(cols.user).agg((F.sum("n_recent") > 0).alias("active"))
+    if "active" not in pairs.columns:
+        active = pairs.groupBy(cols.user).agg((F.sum("n_recent") > 0).alias("active"))
+        pairs = pairs.join(active, cols.user)
     chosen = F.when(F.col("active"), F.col("n_recent")).otherwise(F.col("n"))
-    return (pairs.join(active, cols.user).select(cols.user, cols.item, chosen.alias("n"))
-            .filter(F.col("n") > 0))
+    return pairs.select(*[c for c in pairs.columns if c not in ("n", "n_recent", "last", "active")],
+                        chosen.alias("n")).filter(F.col("n") > 0)
 
 
 def category_affinity(fold: FoldInputs, key: str, recent_weeks: int = 12, out_name: str | None = None) -> Block:
     """Purchases of the user per value of one article attribute."""
     cols = fold.columns
-    attribute = fold.articles.select(cols.item, key)
-    block = (_weighted_pairs(fold, recent_weeks).join(attribute, cols.item, "left")
-             .groupBy(cols.user, key).agg(F.sum("n").alias(f"user_{out_name or key}_purchases")))
+    pairs = _weighted_pairs(fold, recent_weeks)
+    if key not in pairs.columns:
+        pairs = pairs.join(fold.articles.select(cols.item, key), cols.item, "left")
+    block = pairs.groupBy(cols.user, key).agg(F.sum("n").alias(f"user_{out_name or key}_purchases"))
     return block, [cols.user, key]
 
 

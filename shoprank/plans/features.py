@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from shoprank.functions.session import written
 from shoprank.operators.features import Block, FeatureSource, feature_sources
@@ -14,9 +15,16 @@ from shoprank.schema import FoldInputs, Settings
 
 
 def with_pairs(fold: FoldInputs, settings: Settings) -> FoldInputs:
-    """The fold with its history summed per pair, written once for retrieval and features."""
-    weeks = settings.user_recent_weeks
-    return replace(fold, pairs=written(pair_history(fold, weeks)), pairs_weeks=weeks)
+    """The fold with its history summed per pair, written once for retrieval and features.
+
+    Each pair also carries whether its user is active and the attributes the affinities count by,
+    so those blocks need no join of their own. A user's pairs number at most the catalogue.
+    """
+    cols, weeks = fold.columns, settings.user_recent_weeks
+    attributes = fold.articles.select(cols.item, *[key for key, _ in settings.affinity_keys])
+    active = F.sum("n_recent").over(Window.partitionBy(cols.user)) > 0
+    pairs = pair_history(fold, weeks).withColumn("active", active).join(attributes, cols.item, "left")
+    return replace(fold, pairs=written(pairs), pairs_weeks=weeks)
 
 
 def feature_blocks(fold: FoldInputs, edges: DataFrame, settings: Settings,
