@@ -375,5 +375,4 @@ def _(spark, d):
 @query("fold_inputs_sampled", "customer_id:long article_id:long", "SELECT * FROM truth WHERE customer_id IN (SELECT customer_id FROM sampled)")
 def _(spark, d):
     f = retail_fold(spark, d)
-    users = recommend.sample_customers(candidates(f), 400)
-    return recommend.ground_truth(f.val).join(users, "customer_id", "left_semi")
+    return recommend.ground_truth(recommend.sampled_inputs(candidates(f), f.val, 400)[1])

@@ -61,6 +61,16 @@ def evaluation_users(features: DataFrame, n: int | None, seed: int = 42, cols: C
     return sample_customers(features, n, seed, cols) if n else None
 
 
+def sampled_inputs(features: DataFrame, val: DataFrame, n: int | None, seed: int = 42,
+                   cols: Columns = Columns()) -> tuple[DataFrame, DataFrame]:
+    """A fold's features and held-out rows, cut to the same fixed sample of users if n is given."""
+    users = evaluation_users(features, n, seed, cols)
+    if users is None:
+        return features, val
+    users = written(users)
+    return features.join(users, cols.user, "left_semi"), val.join(users, cols.user, "left_semi")
+
+
 def backfill(recs: DataFrame, users: DataFrame, fallback: DataFrame, k: int = 12,
              cols: Columns = Columns()) -> DataFrame:
     """Pad lists shorter than k with unseen fallback items, and serve users without a list.

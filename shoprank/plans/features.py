@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
@@ -28,8 +29,10 @@ def with_pairs(fold: FoldInputs, settings: Settings) -> FoldInputs:
 
 
 def feature_blocks(fold: FoldInputs, edges: DataFrame, settings: Settings,
-                   exact_distinct: bool = False) -> list[tuple[FeatureSource, Block]]:
-    return [(source, source.compute(fold, edges)) for source in feature_sources(settings, exact_distinct)]
+                   exact_distinct: bool = False,
+                   sources: Sequence[FeatureSource] | None = None) -> list[tuple[FeatureSource, Block]]:
+    sources = sources or feature_sources(settings, exact_distinct)
+    return [(source, source.compute(fold, edges)) for source in sources]
 
 
 def feature_table(fold: FoldInputs, candidates: DataFrame, blocks: list[Block], settings: Settings) -> DataFrame:

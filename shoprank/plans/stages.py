@@ -8,13 +8,14 @@ transactions, articles, customers, folds (by fold and split), neighbors, candida
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoprank.functions.session import tune, written
 from shoprank.operators import folds, recommend, retrieval, union
+from shoprank.operators.features import FeatureSource
 from shoprank.operators.ranker import FOLD, LambdaRanker, LambdaRankModel, training_frame
 from shoprank.plans.features import feature_blocks, feature_table, with_pairs
 from shoprank.schema import FoldInputs, Settings
@@ -22,6 +23,8 @@ from shoprank.sources import readers, sinks
 
 log = logging.getLogger(__name__)
 
+Source = Callable[[FoldInputs, DataFrame], DataFrame]
+
 STAGES = ("prepare", "candidates", "features", "train", "evaluate", "submit")
 
 
@@ -63,12 +66,16 @@ def load_fold(spark: SparkSession, settings: Settings, fold: str) -> FoldInputs:
 
 
 def build_candidates(spark: SparkSession, settings: Settings, fold: str, inputs: FoldInputs | None = None,
-                     with_als: bool = True) -> DataFrame:
-    """Neighbour edges, then all sources united, flagged and capped; both tables are written."""
+                     with_als: bool = True, sources: Mapping[str, Source] | None = None) -> DataFrame:
+    """Neighbour edges, then all sources united, flagged and capped; both tables are written.
+
+    `sources` replaces the shipped list: any function of the fold and the edges that returns
+    `(user, item, rank, source)` can be a source under its name.
+    """
     inputs = inputs or with_pairs(load_fold(spark, settings, fold), settings)
     edges = sinks.write_stage(retrieval.copurchase_neighbors(inputs, settings.itemcf_neighbors),
                               _of_fold(settings, "neighbors", fold))
-    sources = retrieval.source_table(settings, with_als)
+    sources = sources or retrieval.source_table(settings, with_als)
     parts = {name: make(inputs, edges) for name, make in sources.items()}
     flagged = union.source_flags(union.union_candidates(parts, settings.columns), list(parts))
     capped = union.cap_per_customer(flagged, settings.max_candidates, settings.columns)
@@ -76,9 +83,10 @@ def build_candidates(spark: SparkSession, settings: Settings, fold: str, inputs:
 
 
 def build_features(spark: SparkSession, settings: Settings, fold: str, inputs: FoldInputs | None = None,
-                   candidates: DataFrame | None = None) -> DataFrame:
+                   candidates: DataFrame | None = None, sources: Sequence[FeatureSource] | None = None) -> DataFrame:
     """Candidates with all features, written in `feature_chunks` passes over slices of the users.
 
+    `sources` replaces the shipped feature sources.
     More than one pass bounds the shuffle held at once; the blocks are then computed once and
     shared by the passes.
     """
@@ -86,7 +94,7 @@ def build_features(spark: SparkSession, settings: Settings, fold: str, inputs: F
     if candidates is None:
         candidates = sinks.read_stage(spark, _of_fold(settings, "candidates", fold), "candidates")
     edges = sinks.read_stage(spark, _of_fold(settings, "neighbors", fold), "candidates")
-    blocks = [block for _, block in feature_blocks(inputs, edges, settings)]
+    blocks = [block for _, block in feature_blocks(inputs, edges, settings, sources=sources)]
     chunks, path = max(1, settings.feature_chunks), _of_fold(settings, "features", fold)
     if chunks > 1:
         blocks = [(written(block), keys) for block, keys in blocks]

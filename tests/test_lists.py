@@ -79,6 +79,9 @@ def test_sample_is_exact_and_stable(spark):
     assert len(first) == 10 and rows(recommend.sample_customers(everyone.repartition(9), 10), "customer_id") == first
     assert recommend.sample_customers(everyone, 1000).count() == 100
     assert recommend.evaluation_users(everyone, None) is None
+    features, val = recommend.sampled_inputs(everyone, everyone, 10)
+    assert rows(features, "customer_id") == rows(val, "customer_id") == first
+    assert recommend.sampled_inputs(everyone, everyone, None)[0] is everyone
 
 
 def test_zero_baseline_has_no_lift(spark):

@@ -69,6 +69,20 @@ def test_evaluation_and_development(spark, settings, model):
     assert development.development_metrics(scores).count() == 5
 
 
+def test_own_sources_plug_in(spark, settings, model):
+    from shoprank.operators.features import FeatureSource
+    from shoprank.operators.retrieval import repurchase
+
+    own = settings.changed(out_dir=settings.out_dir)
+    cand = stages.build_candidates(spark, own, "fold_2", sources={"repeat": lambda f, e: repurchase(f, 3, "repeat")})
+    assert {"repeat_rank", "src_repeat", "n_sources"} <= set(cand.columns)
+    lifetime = FeatureSource("n", ("n_rows",), lambda f, e: (f.history.groupBy("customer_id").agg(F.count("*").alias("n_rows")), ["customer_id"]))
+    from shoprank.plans.features import feature_blocks
+    fold = stages.load_fold(spark, own, "fold_2")
+    (source, (block, keys)), = feature_blocks(fold, None, own, sources=[lifetime])
+    assert keys == ["customer_id"] and set(source.produces) < set(block.columns)
+
+
 def test_stage_rules(spark, settings):
     with pytest.raises(ValueError, match="unknown"):
         stages.run_all(spark, settings, ("cook",))
