@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoprank.llm import contamination, pieces, pii, topk
+from shoprank.llm import contamination, languages, ngram_join, pieces, pii, quality, topk
 from shoprank.llm.common import id_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,21 @@ def op10_topk(spark, d):
     """The ten best rows for every hundredth vector."""
     rows = table(spark, d, "embeddings")
     return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+@query
+def op1_ngram_join(spark, d):
+    """Near-duplicate groups of all documents."""
+    return ngram_join.near_duplicates(table(spark, d, "documents"))
+
+
+@query
+def op2_language(spark, d):
+    """Language of all documents."""
+    return languages.identify(table(spark, d, "documents"), piece_model())
+
+
+@query
+def op3_quality(spark, d):
+    """Quality of all documents."""
+    return quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
