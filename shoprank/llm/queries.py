@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoprank.llm import contamination, languages, ngram_join, pieces, pii, quality, topk
+from shoprank.llm import contamination, language_model, languages, ngram_join, pieces, pii, quality, repeats, topk
 from shoprank.llm.common import id_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,15 @@ def op2_language(spark, d):
 def op3_quality(spark, d):
     """Quality of all documents."""
     return quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op5_repeats(spark, d):
+    """Bytes of all documents that lie in repeated strings."""
+    return repeats.remove_repeats(table(spark, d, "documents")).drop("spans")
+
+
+@query
+def op8_language_model(spark, d):
+    """Language-model score of all documents."""
+    return language_model.score_texts(table(spark, d, "documents"))
