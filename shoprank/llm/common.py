@@ -87,10 +87,26 @@ def id_bucket(doc_id: Column | str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n, F.lit(0))
 
 
+def schema_of(df: DataFrame, more: str) -> StructType:
+    """Columns of `df` and those of a DDL text behind them."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns of a row in the struct `row`, with doc_id, lang and text beside it, so that no added name clashes."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    beside = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("doc_id", "lang", "text")]
+    return docs.select(F.struct(*names).alias("row"), *beside)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
 def per_text(docs: DataFrame, columns: list[str], fn: Callable[[str], tuple], schema: str) -> DataFrame:
     """`columns` of every row with what `fn` returns for its whole text (null counts as empty)."""
     kept = docs.select(*columns, F.coalesce("text", F.lit("")).alias("text"))
-    full = StructType([*kept.select(*columns).schema.fields, *StructType.fromDDL(schema).fields])
+    full = schema_of(kept.select(*columns), schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(full)

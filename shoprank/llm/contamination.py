@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoprank.llm.common import LETTER_WORDS, slices, windows, word_hashes
+from shoprank.llm.common import LETTER_WORDS, Scratch, packed, schema_of, slices, unpacked, windows, word_hashes
 
 N_WORDS = 10
 #: benchmark windows searched in one pass over the corpus (bounds what every task holds to some 24 MB)
@@ -72,34 +72,34 @@ def shard_hits(texts: list[str], by_size: dict[int, tuple[np.ndarray, np.ndarray
         yield len(w), found.get(k, [])
 
 
-def find_matches(docs: DataFrame, bench: DataFrame, n: int = N_WORDS, pass_windows: int = PASS_WINDOWS) -> DataFrame:
+def find_matches(docs: DataFrame, bench: DataFrame, columns: list[str] | None = None, n: int = N_WORDS, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """Where benchmark windows occur in the documents.
 
-    docs: doc_id, text; bench: item_id, text; further columns are not read. Returns doc_id, n_words, n_hit
+    docs: doc_id, text; bench: item_id, text; further columns are not read. Returns `columns` (doc_id), n_words, n_hit
     (words inside any occurrence), item_ids (sorted as strings, without repeats), spans (maximal runs of hit
-    words: start, end), longest (words of the longest verbatim run) and contaminated. Every document row gives
+    words: start, end), longest (words of the longest run) and contaminated. Every document row gives
     a row, repeated rows and missing ids included; null and empty texts have no words. Items without words
     occur nowhere; an item without an id counts for hits but is not listed. An empty benchmark finds nothing.
 
     A task builds the suffix array of each of its shards and searches all benchmark windows by bisection, so
     documents are not shuffled. A benchmark of more than `pass_windows` windows is searched in as many passes
-    as it takes, whose runs are united per document row.
+    as it takes, each of which adds to what the ones before have found.
     """
-    fingers = benchmark_windows(bench, n)
+    columns, scratch = columns or ["doc_id"], Scratch(docs.sparkSession)
+    fingers = scratch.write(benchmark_windows(bench, n))
     passes = max(1, -(-fingers.count() // pass_windows))
-    if passes == 1:
-        return _pass(docs, fingers, n)
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    parts = [_pass(keyed, fingers.where(F.pmod("finger", F.lit(passes)) == k), n, ["doc_id", "row"], raw=True) for k in range(passes)]
-    united = parts[0]
-    for part in parts[1:]:
-        united = united.unionByName(part)
-    copies = F.count("*") / passes
-    one = united.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("covered")).alias("covered"),
-                                               F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), copies.cast("int").alias("copies"))
-    merge = F.udf(lambda spans: _runs([tuple(s) for s in spans]), "array<struct<start: long, end: long>>")
-    out = one.withColumn("spans", merge("covered")).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return _summary(out)
+    rows = docs.select(*columns, F.coalesce("text", F.lit("")).alias("__text"))
+    for k in range(passes):
+        rows = _pass(rows, columns, fingers.where(F.pmod(F.xxhash64("finger"), F.lit(passes)) == k), first=k == 0, last=k == passes - 1)
+        rows = rows if k == passes - 1 else scratch.write(rows)
+    size = F.expr("transform(spans, s -> s.end - s.start)")
+    n_hit = F.aggregate(size, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return rows.select(*columns, "n_words", n_hit.alias("n_hit"), "item_ids", "spans", F.coalesce(F.array_max(size), F.lit(0)).cast("long").alias("longest"), (n_hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """Documents in which no benchmark window occurs; columns and kept rows stay as they are."""
+    return unpacked(find_matches(packed(docs), bench, ["row"]).where(~F.col("contaminated")))
 
 
 def _runs(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -113,33 +113,25 @@ def _runs(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _summary(df: DataFrame) -> DataFrame:
-    size = F.expr("transform(spans, s -> s.end - s.start)")
-    n_hit = F.aggregate(size, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return df.select("doc_id", "n_words", n_hit.alias("n_hit"), "item_ids", "spans", F.coalesce(F.array_max(size), F.lit(0)).cast("long").alias("longest"),
-                     (n_hit > 0).alias("contaminated"))
-
-
-def _pass(docs: DataFrame, fingers: DataFrame, n: int, columns: list[str] | None = None, raw: bool = False) -> DataFrame:
-    columns = columns or ["doc_id"]
-    held = fingers.select("size", "finger", "item_id").toPandas()      # at most PASS_WINDOWS rows
-    by_size = {int(s): (g["finger"].to_numpy().view(np.uint64), g["item_id"].tolist()) for s, g in held.groupby("size")}
-    box = docs.sparkSession.sparkContext.broadcast(by_size)
+def _pass(rows: DataFrame, columns: list[str], fingers: DataFrame, first: bool, last: bool) -> DataFrame:
+    """One search of all documents for windows that a task can hold."""
+    held = fingers.select("size", "finger", "item_id").toPandas()      # at most about PASS_WINDOWS rows
+    by_size = {int(s): (g["finger"].to_numpy(np.int64).view(np.uint64), g["item_id"].tolist()) for s, g in held.groupby("size")}
+    box = rows.sparkSession.sparkContext.broadcast(by_size)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    name = "covered" if raw else "spans"
+    n = len(columns)
+    kept = columns if last else [*columns, "__text"]
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, len(columns), SHARD_BYTES)):
-            rows: list[tuple] = []
-            for n_words, found in shard_hits(batch.column(len(columns)).to_pylist(), box.value):
-                runs = _runs([(a, a + s) for a, s, _ in found])
-                rows.append((n_words, [{"start": a, "end": b} for a, b in runs], sorted({i for *_, i in found if i is not None})))
-            if rows:
-                counts, covered, items = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(columns))], pa.array(counts, pa.int64()), pa.array(covered, spans), pa.array(items, pa.list_(pa.string()))],
-                                                 [*columns, "n_words", name, "item_ids"])
-
-    rows = docs.select(*columns, F.coalesce("text", F.lit("")).alias("text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema) + f", n_words long, {name} array<struct<start: long, end: long>>, item_ids array<string>"
-    out = rows.mapInArrow(run, schema)
-    return out if raw else _summary(out)
+        for batch in (part for whole in batches for part in slices(whole, n, SHARD_BYTES)):
+            out: list[tuple] = []
+            before = [None] * batch.num_rows if first else list(zip(batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True))
+            for (n_words, found), old in zip(shard_hits(batch.column(n).to_pylist(), box.value), before, strict=True):
+                runs = _runs([(a, a + s) for a, s, _ in found] + [(s["start"], s["end"]) for s in (old[0] if old else [])])
+                items = {i for *_, i in found if i is not None} | set(old[1] if old else [])
+                out.append((n_words, [{"start": a, "end": b} for a, b in runs], sorted(items)))
+            counts, covered, items = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(kept))], pa.array(counts, pa.int64()), pa.array(covered, spans), pa.array(items, pa.list_(pa.string()))],
+                                             [*kept, "n_words", "spans", "item_ids"])
+
+    return rows.mapInArrow(run, schema_of(rows.select(*kept), "n_words long, spans array<struct<start: long, end: long>>, item_ids array<string>"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoprank.llm.common import Scratch, id_bucket, slices
+from shoprank.llm.common import Scratch, id_bucket, packed, schema_of, slices, unpacked
 
 MARK = "▁"
 EM_ROUNDS = 2
@@ -212,8 +212,7 @@ def predict(docs: DataFrame, trained: tuple[list[str], np.ndarray, np.ndarray],
                 score.append(float(x.max() / x.sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64())], [*columns, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*columns).schema)
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return kept.mapInArrow(run, schema_of(kept.select(*columns), "lang_pred string, score double"))
 
 
 def identify(docs: DataFrame, model: str, columns: list[str] | None = None, folds: int = 5) -> DataFrame:
@@ -228,3 +227,12 @@ def identify(docs: DataFrame, model: str, columns: list[str] | None = None, fold
     trained = train(docs.where(~held).select("lang", "text"), model)
     found = predict(docs.withColumn("held_out", held), trained, model, [*columns, "held_out"])
     return found.select(*columns, "held_out", "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, model: str, least: float = 0.5) -> DataFrame:
+    """Documents whose language is recognised: not `und`, and likelier than all others together (score >= `least`).
+
+    Columns and kept rows stay as they are.
+    """
+    found = identify(packed(docs), model, ["row"])
+    return unpacked(found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoprank.llm.common import ODD, Scratch, components, mix, shingles, slices
+from shoprank.llm.common import ODD, Scratch, components, mix, packed, schema_of, shingles, slices, unpacked
 
 #: two sets link when SAME of TOTAL parts of their union are common; then at most
 #: (|r| + |s|) * (TOTAL - SAME) / (TOTAL + SAME) = (|r| + |s|) / 7 shingles are in one of them only
@@ -50,19 +50,21 @@ def signatures(found: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), node (fingerprint of the set, null if empty) and text of every row."""
+def _sets(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` and text of every row with n (set size) and node (fingerprint of the set, null if empty)."""
+    rows = rows.select(*columns, "text")
+
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        for batch in (part for whole in batches for part in slices(whole, len(columns))):
             n, node = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(len(columns)).to_pylist():
                 s = shingles(text)
                 n.append(len(s))
                 both = np.stack([mix(s ^ ODD[53]), mix(s + ODD[54])]).sum(1)
                 node.append(int(mix(both[:1] ^ mix(both[1:])).view(np.int64)[0]) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), batch.column(1)], ["doc_id", "n", "node", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(node, pa.int64())], [*columns, "text", "n", "node"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, text string")
+    return rows.mapInArrow(run, schema_of(rows, "n long, node long")).withColumn("at", F.monotonically_increasing_id())
 
 
 def _tokens(sets: DataFrame) -> DataFrame:
@@ -101,23 +103,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return near.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Groups of documents that links connect: doc_id, n_shingles, component_id and class_id for every row.
-
-    docs: doc_id, text; further columns are not read. A text's set holds its distinct five-word shingles
-    (words between blanks, A-Z lower-cased), with fewer words the whole sequence. Sets link when
-    100 x intersection >= 75 x union. class_id is the fingerprint of the set (equal sets, equal class);
-    component_id the smallest doc_id that can be reached. Null, empty and blank texts have no shingles, link
-    with nothing and are their own component. A row without an id is a document too; the smallest id of its
-    group names it, or null if there is none. Repeated rows stay.
-
-    Equal sets are one node. Signatures are grouped, and only nodes that share enough of them with others go
-    on, each with its rarest ones. Within such a bucket everything is compared with one leader first (other
-    leaders in further rounds); what this connects is not compared again. Of the rest, every pair of a bucket
-    that is not connected yet is checked, so no link between components is missed.
-    """
-    scratch = Scratch(docs.sparkSession)
-    sets = scratch.write(_sets(docs))
+def _components(scratch: Scratch, sets: DataFrame) -> DataFrame:
+    """doc_id, n, node, at of every row, with comp: the component of its node (null without shingles)."""
     by_token = Window.partitionBy("token")
     shared = scratch.write(_tokens(sets).withColumns({"lo": F.min("node").over(by_token), "hi": F.max("node").over(by_token)}).where("lo <> hi").select("token", "node", "band").distinct())
     df = shared.groupBy("token").agg(F.count("*").alias("df"))
@@ -158,10 +145,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = x.join(y, "token").where("a < b and comp_a <> comp_b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select("a", "b").distinct()
     connect(rest)
 
-    rows = sets.select("doc_id", "n", "node")
+    rows = sets.select("doc_id", "n", "node", "at")
     placed = rows.withColumn("comp", F.col("node")) if comp is None else rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = scratch.write(placed)
+    scratch.drop(buckets, texts)
+    return placed
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Groups of documents that links connect: doc_id, n_shingles, component_id and class_id for every row.
+
+    docs: doc_id, text; further columns are not read. A text's set holds its distinct five-word shingles
+    (words between blanks, A-Z lower-cased), with fewer words the whole sequence. Sets link when
+    100 x intersection >= 75 x union. class_id is the fingerprint of the set (equal sets, equal class);
+    component_id the smallest doc_id that can be reached. Null, empty and blank texts have no shingles, link
+    with nothing and are their own component. A row without an id is a document too; the smallest id of its
+    group names it, or null if there is none. Repeated rows stay.
+
+    Equal sets are one node. Signatures are grouped, and only nodes that share enough of them with others go
+    on, each with its rarest ones. Within such a bucket everything is compared with one leader first (other
+    leaders in further rounds); what this connects is not compared again. Of the rest, every pair of a bucket
+    that is not connected yet is checked, so no link between components is missed.
+    """
+    scratch = Scratch(docs.sparkSession)
+    sets = scratch.write(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]))
+    placed = _components(scratch, sets)
     first = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("smallest"))
     out = scratch.write(placed.join(first, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"), F.col("node").alias("class_id")))
-    scratch.drop(sets, buckets, texts, placed)
+    scratch.drop(sets, placed)
     return out
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each group of `near_duplicates`: that with the smallest doc_id (of equal ones, any; missing ids last).
+
+    Texts without shingles are in no group and stay. Columns and kept rows stay as they are.
+    """
+    scratch = Scratch(docs.sparkSession)
+    sets = scratch.write(_sets(packed(docs), ["row", "doc_id"]))
+    placed = _components(scratch, sets)
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "at")
+    kept = placed.where("comp is not null").groupBy("comp").agg(F.min(order).alias("first")).select("first.at").unionByName(placed.where("comp is null").select("at"))
+    return unpacked(sets.join(kept, "at", "left_semi"))

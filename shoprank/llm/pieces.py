@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+
 MARK = "▁"
 
 
@@ -30,17 +32,17 @@ class ChunkTable:
         bound = re.escape(self.alone)
         self.split = re.compile(f"{MARK}+[^{MARK}{bound}]*|[{bound}][^{MARK}{bound}]*" if bound else f"{MARK}+[^{MARK}]*").findall
         self.mark, self.probe = sp.piece_to_id(MARK), sp.encode("a")
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, tuple] = {}
 
-    def segment(self, chunks: list[str]) -> list[tuple[str, int, str]]:
-        """Ids in decimal, joined by commas, number of ids and decoded text of each chunk."""
+    def segment(self, chunks: list[str]) -> list[tuple]:
+        """Ids in decimal, joined by commas, number of ids, decoded text and ids of each chunk."""
         marked = [c[0] == MARK for c in chunks]
         found = self.sp.encode([c[1:].replace(MARK, " ") if m else c for c, m in zip(chunks, marked, strict=True)], num_threads=1)
         ids = [(x or [self.mark]) if m else x[1:] for x, m in zip(found, marked, strict=True)]
         text = self.sp.decode([self.probe + x for x in ids], num_threads=1)
-        return [(",".join(map(str, x)), len(x), t[1:]) for x, t in zip(ids, text, strict=True)]
+        return [(",".join(map(str, x)), len(x), t[1:], np.array(x, np.int32)) for x, t in zip(ids, text, strict=True)]
 
-    def encode(self, text: str) -> list[tuple[str, int, str]]:
+    def encode(self, text: str) -> list[tuple]:
         """Table rows of the text's chunks, in order."""
         if not text:
             return []
@@ -55,7 +57,7 @@ class ChunkTable:
 
 
 def coder(model: str, with_ids: bool = False) -> Callable[[str], tuple]:
-    """(n_tokens, ids as decimal text or its SHA-256, SHA-256 of the decoded text) of one text.
+    """(n_tokens, SHA-256 of the ids in decimal, SHA-256 of the decoded text and, if asked for, the ids and the text) of one text.
 
     One table per Python task serves all its texts.
     """
@@ -70,7 +72,7 @@ def coder(model: str, with_ids: bool = False) -> Callable[[str], tuple]:
         ids, decoded = ",".join([r[0] for r in rows]), "".join([r[2] for r in rows])
         decoded = decoded[1:] if rows else ""
         out = (sum([r[1] for r in rows]), sha256(ids.encode()).hexdigest(), sha256(decoded.encode()).hexdigest())
-        return (*out, ids, decoded) if with_ids else out
+        return (*out, np.concatenate([r[3] for r in rows] or [np.zeros(0, np.int32)]), decoded) if with_ids else out
 
     return run
 
@@ -79,10 +81,10 @@ def encode_texts(docs, model: str, columns: list[str] | None = None, with_ids: b
     """Encodes and decodes every whole text exactly as the library does with this model.
 
     docs: doc_id, text and any other columns. Returns `columns` (doc_id) with n_tokens, ids_sha256 and
-    decoded_sha256; `with_ids` adds ids (decimals joined by commas) and decoded. Null and empty texts have
+    decoded_sha256; `with_ids` adds ids (array) and decoded. Null and empty texts have
     no ids; every row gives a row, repeated rows and missing ids included. No row is shuffled.
     """
     from shoprank.llm.common import per_text
 
-    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * with_ids
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     return per_text(docs, columns or ["doc_id"], coder(model, with_ids), schema)

@@ -95,16 +95,16 @@ def _spans(kind: str, text: Column) -> Column:
     return F.when(need, spans).otherwise(F.array().cast("array<struct<kind: string, start: bigint, end: bigint, score: double>>"))
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """Adds `pii`: array of (kind, start, end, score) over every whole text, places in code points, end exclusive.
+def find_spans(docs: DataFrame, name: str = "pii") -> DataFrame:
+    """Adds the column `name`: array of (kind, start, end, score) over every whole text, places in code points, end exclusive.
 
     Kinds come in the order of PATTERNS, each from left to right. A match that fails its checksum or its
     bounds is dropped and not tried again shorter; kinds beyond the four base ones also need THRESHOLD, for
     which a word of CONTEXT within REACH characters counts BOOST. Null and empty texts have no spans. Rows
-    are not shuffled and keep their columns; a column named `pii` is replaced.
+    are not shuffled and keep their columns; a column of that name is replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("pii", F.concat(*[_spans(k, text) for k in PATTERNS]))
+    return docs.withColumn(name, F.concat(*[_spans(k, text) for k in PATTERNS]))
 
 
 def digest(spans: Column) -> Column:
@@ -117,9 +117,10 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Columns and rows stay as they are; null texts stay null.
     """
-    found = find_spans(docs)
+    name = "__pii"
+    found = find_spans(docs, name)
     none = F.array().cast("array<struct<kind: string, start: bigint, end: bigint>>")
-    place = F.transform(F.array_sort(F.transform(F.col("pii"), lambda s: F.struct(s["start"], s["end"], s["kind"]))),
+    place = F.transform(F.array_sort(F.transform(F.col(name), lambda s: F.struct(s["start"], s["end"], s["kind"]))),
                         lambda s: F.struct(s["kind"], s["start"], s["end"]))
     merged = F.aggregate(place, none, lambda acc, s: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, F.when(F.size(acc) > 0, F.lit(-1)).otherwise(F.lit(1)))["end"] > s["start"]),
@@ -131,4 +132,4 @@ def redact(docs: DataFrame) -> DataFrame:
     built = F.aggregate(merged, start, lambda acc, s: F.struct(
         s["end"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn("text", F.when(F.size("pii") > 0, built).otherwise(text)).drop("pii")
+    return found.withColumn("text", F.when(F.size(name) > 0, built).otherwise(text)).drop(name)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoprank.llm.common import id_bucket, slices, word_hashes
+from shoprank.llm.common import id_bucket, schema_of, slices, word_hashes
 
 #: rows the classifier is fitted on at most
 POSITIVES, UNLABELLED = 6_000, 10_000
@@ -117,5 +117,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None
             score = _sigmoid(np.clip((x - mean) / scale, -8, 8) @ w + b)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= 0.7).astype(np.int32))], [*names, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*names).schema)
-    return kept.mapInArrow(run, f"{schema}, score double, predicted int")
+    return kept.mapInArrow(run, schema_of(kept.select(*names), "score double, predicted int"))
