@@ -12,7 +12,9 @@ from shoprank.llm.common import ODD, Scratch, components, mix, packed, schema_of
 #: two sets link when SAME of TOTAL parts of their union are common; then at most
 #: (|r| + |s|) * (TOTAL - SAME) / (TOTAL + SAME) = (|r| + |s|) / 7 shingles are in one of them only
 SAME, TOTAL = 3, 4
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
+#: places of a set's parity sketch
+SKETCH = 2048
 
 
 def n_parts(band: int) -> int:
@@ -85,8 +87,27 @@ def _tokens(sets: DataFrame) -> DataFrame:
     return sets.where("node is not null").select("node", "text").mapInArrow(run, "token long, node long, band byte")
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parity of the set's shingles in each of SKETCH places, as 64-bit words.
+
+    A shingle that only one of two sets holds turns one place over, so two sketches differ in no more places
+    than the sets in shingles.
+    """
+    odd = np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _with_sketch(texts: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            rows = pa.array([sketch(shingles(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], ["node", "n", "text", "sketch"])
+
+    return texts.select("node", "n", "text").mapInArrow(run, "node long, n long, text string, sketch array<long>")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose sets link, by the sets themselves."""
+    """Those pairs (a, b) whose sets link, by the sets themselves; pairs that sizes or sketches rule out are not compared."""
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, 2)):
             keep, last, left = [], None, None
@@ -98,9 +119,34 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(TOTAL * both >= SAME * (len(left) + len(right) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
-    near = pairs.join(x, "a").join(y, "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    return near.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    def side(k: str, *names: str) -> DataFrame:
+        return texts.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in names])
+
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    near = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").where(
+        apart * (TOTAL + SAME) <= (F.col("n_a") + F.col("n_b")) * (TOTAL - SAME)).select("a", "b")
+    return near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def _rarest(texts: DataFrame) -> DataFrame:
+    """(shingle, node, n): the signatures of the finest partition, one shingle to a part, rarest first.
+
+    A set of n shingles shares at least 3/4 n of them with a partner. What occurs in one set only is not
+    shared; of its c other shingles, the c - 3/4 n + 1 rarest hold one of any partner's. A passage that many
+    sets hold is common, so sets that share nothing else do not meet over it.
+    """
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, 2, 1_000_000)):
+            found = [shingles(t) for t in batch.column(2).to_pylist()]
+            size = [len(f) for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.asarray(batch.column(0)), size)), pa.array(np.repeat(np.asarray(batch.column(1)), size))],
+                                             ["shingle", "node", "n"])
+
+    every = texts.mapInArrow(run, "shingle long, node long, n long")
+    by_shingle, own = Window.partitionBy("shingle"), Window.partitionBy("node")
+    shared = every.withColumn("df", F.count("*").over(by_shingle)).where("df > 1")
+    ranked = shared.withColumns({"c": F.count("*").over(own), "k": F.row_number().over(own.orderBy("df", "shingle"))})
+    return ranked.where("k <= c - ceil(n * 3 / 4) + 1").select("shingle", "node", "n")
 
 
 def _components(scratch: Scratch, sets: DataFrame) -> DataFrame:
@@ -113,7 +159,7 @@ def _components(scratch: Scratch, sets: DataFrame) -> DataFrame:
     need = (1 + F.floor(F.pow(F.lit(2.0), F.col("band").cast("double")) / 24)).cast("int")
     buckets = scratch.write(ranked.where(F.col("k") <= F.col("c") - need + 1).select("token", "node"))
     alive = buckets.select("node").distinct()
-    texts = scratch.write(sets.where("node is not null").join(alive, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text")))
+    texts = scratch.write(_with_sketch(sets.where("node is not null").join(alive, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text"))))
     scratch.drop(shared)
 
     comp = edges = None
@@ -140,10 +186,10 @@ def _components(scratch: Scratch, sets: DataFrame) -> DataFrame:
         best = votes.groupBy("node").agg(F.max(F.struct("votes", "leader")).alias("v")).select(F.col("v.leader").alias("a"), F.col("node").alias("b"))
         if not connect(best):
             break
-    m = scratch.write(members().join(texts.select("node", "n"), "node"))
-    x, y = (m.select("token", F.col("node").alias(k), F.col("comp").alias(f"comp_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
-    rest = x.join(y, "token").where("a < b and comp_a <> comp_b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select("a", "b").distinct()
-    connect(rest)
+    left = scratch.write(members().select("node", "comp").distinct())
+    rare = scratch.write(_rarest(left.join(texts, "node").select("node", "n", "text")).join(left, "node"))
+    x, y = (rare.select("shingle", F.col("node").alias(k), F.col("comp").alias(f"comp_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
+    connect(x.join(y, "shingle").where("a < b and comp_a <> comp_b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select("a", "b").distinct())
 
     rows = sets.select("doc_id", "n", "node", "at")
     placed = rows.withColumn("comp", F.col("node")) if comp is None else rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -164,8 +210,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal sets are one node. Signatures are grouped, and only nodes that share enough of them with others go
     on, each with its rarest ones. Within such a bucket everything is compared with one leader first (other
-    leaders in further rounds); what this connects is not compared again. Of the rest, every pair of a bucket
-    that is not connected yet is checked, so no link between components is missed.
+    leaders in further rounds); what this connects is not compared again. The sets of buckets that still hold
+    several components are cut to the finest partition, one shingle to a part, and those that share one of
+    their rarest shared shingles are compared, so no link between components is missed.
     """
     scratch = Scratch(docs.sparkSession)
     sets = scratch.write(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]))

@@ -91,8 +91,8 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "v
     rows without an id; shorter vectors count as ending in zeros. Equal rows are ranked next to each other;
     a row that repeats id and vector counts once.
 
-    Rows are cut into blocks by descending length. The first block (the longest rows) gives each query a score
-    that its k-th best at least reaches; a query meets a further block only if length x length of the block's
+    Rows are cut into blocks by descending length. The first part (the longest rows) gives each query a score
+    that its k-th best at least reaches; a query block meets a further block only if length x length of the block's
     first row can still reach it. Within a block, sums over the first rotated dimensions plus the
     Cauchy-Schwarz bound of the rest sort out candidates before whole products are taken.
     """
@@ -126,9 +126,10 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "v
 
         return df.mapInArrow(run, "longest double, ids binary, m binary")
 
-    ordered = rows.repartitionByRange(n_blocks, F.desc("norm2"), "id").sortWithinPartitions(F.desc("norm2"), "id") if n_blocks > 1 else rows.orderBy(F.desc("norm2"), "id")
-    blocks = scratch.write(pack(ordered, row_block).withColumn("block", F.monotonically_increasing_id()))
-    first = blocks.orderBy(F.desc("longest"), "block").select("block").first()
+    # part 0 holds the longest rows; a block's part and number say which rows it holds
+    ordered = rows.repartitionByRange(n_blocks, F.desc("norm2"), "id").sortWithinPartitions(F.desc("norm2"), "id")
+    blocks = scratch.write(pack(ordered, row_block).withColumn("part", F.spark_partition_id()).withColumn("block", F.monotonically_increasing_id()))
+    last = blocks.agg(F.max("part")).first()[0]
     q_blocks = scratch.write(pack(asked, query_block).withColumn("q_block", F.monotonically_increasing_id()).select("q_block", F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("m").alias("q")))
 
     def search(batches):
@@ -144,12 +145,18 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "v
 
     out = "q_block long, query_id long, vec_id long, score long"
     names = ["q_block", "q_ids", "q", "ids", "m", "floor"]
-    if first is None:
-        empty = q_blocks.withColumn("ids", F.lit(b"")).withColumn("m", F.lit(b"")).withColumn("floor", F.lit(None).cast("binary"))
-        return _ranked(empty.select(*names).where(F.lit(False)).mapInArrow(search, out), k)
-    head = blocks.where(F.col("block") == first["block"])
-    one = q_blocks.withColumn("block", F.lit(first["block"])).join(head, "block").withColumn("floor", F.lit(None).cast("binary"))
-    begun = scratch.write(one.select(*names).mapInArrow(search, out))
+    none = F.lit(None).cast("binary")
+    if last is None:                                                    # no candidate at all
+        return _ranked(q_blocks.where("q_block < 0").select("q_block", "q_ids", "q", F.col("q_ids").alias("ids"), F.col("q").alias("m"), none.alias("floor")).mapInArrow(search, out), k)
+
+    def meet(q: DataFrame, low: int, high: int, bound: str) -> DataFrame:
+        """Pairs of query blocks and the row blocks of parts `low` to `high` that satisfy `bound`, joined on the part."""
+        sizes = blocks.select("part", "block", "longest")
+        return q.withColumn("part", F.explode(F.sequence(F.lit(low), F.lit(high)))).join(sizes, "part").where(bound).select("q_block", "block")
+
+    pairs = meet(q_blocks.select("q_block"), 0, 0, "true")
+    rows_of = blocks.select("block", "ids", "m")
+    begun = scratch.write(pairs.join(q_blocks, "q_block").join(rows_of, "block").withColumn("floor", none).select(*names).mapInArrow(search, out))
 
     def floors(t: pa.Table) -> pa.Table:
         """One query block: its ids in order with the k-th best score so far (minus infinity while there are fewer)."""
@@ -162,13 +169,12 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "v
         return pa.table({"q_block": [t["q_block"][0].as_py()], "floor": [f.tobytes()], "q_floor": [float((f).min()) if len(f) else 0.0]})
 
     known = q_blocks.select("q_block", "q_ids").join(begun, "q_block", "left").groupBy("q_block").applyInArrow(floors, "q_block long, floor binary, q_floor double")
-    ready = q_blocks.join(known, "q_block")
-    others = blocks.where(F.col("block") != first["block"])
-    # every query block meets every block that can still matter: one row for each, joined on the block's number
-    listed = others.select("block", "longest").groupBy(F.lit(1).alias("all")).agg(F.sort_array(F.collect_list(F.struct("longest", "block"))).alias("blocks"))
-    met = ready.withColumn("all", F.lit(1)).join(listed, "all").select("q_block", "q_longest", "q_ids", "q", "floor", "q_floor", F.explode("blocks").alias("b")).where(
-        F.col("q_longest") * F.col("b.longest") * (1 + 1e-9) + 1e-6 >= F.col("q_floor"))
-    rest = met.withColumn("block", F.col("b.block")).join(others.select("block", "ids", "m"), "block").select(*names).mapInArrow(search, out)
+    known = scratch.write(known)
+    if last == 0:
+        return _ranked(begun, k)
+    wanted = q_blocks.select("q_block", "q_longest").join(known.select("q_block", "q_floor"), "q_block")
+    pairs = meet(wanted, 1, last, "q_longest * longest * (1 + 1e-9) + 1e-6 >= q_floor")
+    rest = pairs.join(q_blocks, "q_block").join(known.select("q_block", "floor"), "q_block").join(rows_of, "block").select(*names).mapInArrow(search, out)
     return _ranked(begun.unionByName(rest), k)
 
 
