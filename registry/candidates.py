@@ -13,8 +13,8 @@ from shoprank.schema import FoldInputs
 
 S = RETAIL
 CAND = "customer_id:long article_id:long rank:int source:str"
-BACK = f"(SELECT d FROM cut) - {7 * S.seed_weeks}"
-POP_BACK = f"(SELECT d FROM cut) - {7 * S.popularity_weeks}"
+BACK = f"(SELECT d FROM cut) - {7 * S.retrieval.seed_weeks}"
+POP_BACK = f"(SELECT d FROM cut) - {7 * S.retrieval.popularity_weeks}"
 
 
 def _ranked(body: str, order: str, n: int, source: str, partition: str = "customer_id") -> str:
@@ -23,23 +23,23 @@ def _ranked(body: str, order: str, n: int, source: str, partition: str = "custom
 
 
 cte("c_repurchase", _ranked("SELECT customer_id, article_id, count(*) AS n FROM history GROUP BY 1, 2",
-                            "n DESC, article_id", S.repurchase_top_n, "repurchase"))
+                            "n DESC, article_id", S.retrieval.repurchase, "repurchase"))
 cte("best", f"""SELECT article_id, row_number() OVER (ORDER BY count(*) DESC, article_id) AS rank FROM train
-  WHERE t_dat > {POP_BACK} GROUP BY 1 QUALIFY rank <= {S.popularity_top_n}""")
+  WHERE t_dat > {POP_BACK} GROUP BY 1 QUALIFY rank <= {S.retrieval.popularity}""")
 cte("c_bestseller", "SELECT customer_id, article_id, CAST(rank AS INTEGER) AS rank, 'popularity' AS source FROM people, best")
 cte("c_product_code", _ranked(f"""SELECT DISTINCT u.customer_id, a.article_id, coalesce(p.n, 0) AS n
   FROM (SELECT DISTINCT t.customer_id, b.product_code FROM train t JOIN articles b USING (article_id) WHERE t.t_dat > {BACK}) u
   JOIN articles a ON a.product_code = u.product_code
   LEFT JOIN (SELECT article_id, count(*) AS n FROM train GROUP BY 1) p ON p.article_id = a.article_id""",
-                              "n DESC, article_id", S.product_code_top_n, "product_code"))
+                              "n DESC, article_id", S.retrieval.product_code, "product_code"))
 cte("neighbours", f"""SELECT seed, article_id, cocount, r FROM (
   SELECT a.article_id AS seed, b.article_id, count(*) AS cocount,
     row_number() OVER (PARTITION BY a.article_id ORDER BY count(*) DESC, b.article_id) AS r
   FROM (SELECT DISTINCT customer_id, article_id FROM train) a JOIN (SELECT DISTINCT customer_id, article_id FROM train) b
-    ON a.customer_id = b.customer_id AND a.article_id <> b.article_id GROUP BY 1, 2) WHERE r <= {S.itemcf_neighbors}""")
+    ON a.customer_id = b.customer_id AND a.article_id <> b.article_id GROUP BY 1, 2) WHERE r <= {S.retrieval.neighbors}""")
 cte("c_itemcf", _ranked(f"""SELECT s.customer_id, e.article_id, sum(e.cocount) AS n
   FROM (SELECT DISTINCT customer_id, article_id FROM train WHERE t_dat > {BACK}) s JOIN neighbours e ON e.seed = s.article_id
-  GROUP BY 1, 2""", "n DESC, article_id", S.itemcf_top_n, "itemcf"))
+  GROUP BY 1, 2""", "n DESC, article_id", S.retrieval.itemcf, "itemcf"))
 cte("placed", """SELECT customer_id, CASE WHEN age < 25 THEN 'youth' WHEN age < 35 THEN 'young_adult' WHEN age < 45 THEN 'adult'
     WHEN age < 55 THEN 'middle' WHEN age IS NOT NULL THEN 'senior' ELSE 'unknown' END AS age_group,
   coalesce(postal_code, 'NA') AS postal_code, age IS NULL AND coalesce(postal_code, 'NA') = 'NA' AS no_info FROM people""")
@@ -62,7 +62,7 @@ def _segment_sql(mode: str, source: str, n: int) -> str:
     return _ranked(merged, "pri", n, source)
 
 
-cte("c_popularity", _segment_sql("no_info_only", "popularity", S.popularity_top_n))
+cte("c_popularity", _segment_sql("no_info_only", "popularity", S.retrieval.popularity))
 
 NAMES = ("repurchase", "itemcf", "product_code", "popularity")
 cte("stacked", " UNION ALL ".join(f"SELECT * FROM c_{n}" for n in NAMES))
@@ -80,7 +80,7 @@ FLAGGED = UNITED + " " + " ".join(f"src_{n}:int" for n in NAMES) + " n_sources:i
 
 def candidates(fold: FoldInputs, edges: DataFrame | None = None) -> DataFrame:
     """The four sources that need no fitted factors, united and flagged."""
-    edges = retrieval.copurchase_neighbors(fold, S.itemcf_neighbors) if edges is None else edges
+    edges = retrieval.copurchase_neighbors(fold, S.retrieval.neighbors) if edges is None else edges
     table = retrieval.source_table(S, with_als=False)
     parts = {name: make(fold, edges) for name, make in table.items()}
     return union.source_flags(union.union_candidates(parts, fold.columns), list(parts))
@@ -88,27 +88,27 @@ def candidates(fold: FoldInputs, edges: DataFrame | None = None) -> DataFrame:
 
 @query("repurchase", CAND, "SELECT * FROM c_repurchase")
 def _(spark, d):
-    return retrieval.repurchase(retail_fold(spark, d), S.repurchase_top_n)
+    return retrieval.repurchase(retail_fold(spark, d), S.retrieval.repurchase)
 
 
 @query("popularity", CAND, "SELECT * FROM c_bestseller")
 def _(spark, d):
-    return retrieval.popularity(retail_fold(spark, d), S.popularity_top_n, S.popularity_weeks)
+    return retrieval.popularity(retail_fold(spark, d), S.retrieval.popularity, S.retrieval.popularity_weeks)
 
 
 @query("product_code", CAND, "SELECT * FROM c_product_code")
 def _(spark, d):
-    return retrieval.product_code(retail_fold(spark, d), S.product_code_top_n, S.seed_weeks)
+    return retrieval.product_code(retail_fold(spark, d), S.retrieval.product_code, S.retrieval.seed_weeks)
 
 
 @query("itemcf_neighbors", "seed:long article_id:long cocount:long r:int", "SELECT * FROM neighbours")
 def _(spark, d):
-    return retrieval.copurchase_neighbors(retail_fold(spark, d), S.itemcf_neighbors)
+    return retrieval.copurchase_neighbors(retail_fold(spark, d), S.retrieval.neighbors)
 
 
 @query("itemcf", CAND, "SELECT * FROM c_itemcf")
 def _(spark, d):
-    return retrieval.itemcf(retail_fold(spark, d), S.itemcf_top_n, S.itemcf_neighbors, S.seed_weeks)
+    return retrieval.itemcf(retail_fold(spark, d), S.retrieval.itemcf, S.retrieval.neighbors, S.retrieval.seed_weeks)
 
 
 @query("age_group", "age_group:str customers:long", "SELECT age_group, count(*) AS customers FROM placed GROUP BY 1")
@@ -126,9 +126,9 @@ def _(spark, d):
 
 
 def _register_segment(mode: str) -> None:
-    @query(f"segment_popularity_{mode}", CAND, _segment_sql(mode, "coldstart", S.popularity_top_n))
+    @query(f"segment_popularity_{mode}", CAND, _segment_sql(mode, "coldstart", S.retrieval.popularity))
     def _(spark, d):
-        return retrieval.segment_popularity(retail_fold(spark, d), S.popularity_top_n, S.popularity_weeks, mode)
+        return retrieval.segment_popularity(retail_fold(spark, d), S.retrieval.popularity, S.retrieval.popularity_weeks, mode)
 
 
 for _mode in retrieval.FALLBACK_MODES:
@@ -137,7 +137,7 @@ for _mode in retrieval.FALLBACK_MODES:
 
 @query("als_graph", CAND)
 def _(spark, d):
-    return retrieval.als_graph(retail_fold(spark, d), S.als_top_n, S.als_rank, S.als_iters)
+    return retrieval.als_graph(retail_fold(spark, d), S.retrieval.graph, S.retrieval.factors, S.retrieval.sweeps)
 
 
 @query("union_candidates", UNITED, "SELECT * FROM united")

@@ -216,7 +216,7 @@ def _(spark, d):
 def _(spark, d):
     f = retail_fold(spark, d)
     people = f.customers.agg(F.count("*")).scalar()
-    return eda.evaluate_source("bestsellers", recommend.popular_items(f, RETAIL.popularity_weeks, 12), recommend.ground_truth(f.val), people, 12)
+    return eda.evaluate_source("bestsellers", recommend.popular_items(f, RETAIL.retrieval.popularity_weeks, 12), recommend.ground_truth(f.val), people, 12)
 
 
 cte("tiers", """SELECT l.customer_id, CASE WHEN l.p <= 30000 THEN 'budget' WHEN l.p <= 60000 THEN 'mid' ELSE 'premium' END AS usual,

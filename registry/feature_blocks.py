@@ -14,8 +14,8 @@ from shoprank.plans.features import feature_blocks, feature_table, with_pairs
 from shoprank.schema import FoldInputs
 
 S = RETAIL
-W = 7 * S.user_recent_weeks
-ITEM_WINDOWS = " ".join(f"item_purchases_{w}w:long" for w in S.item_windows)
+W = 7 * S.features.active_weeks
+ITEM_WINDOWS = " ".join(f"item_purchases_{w}w:long" for w in S.features.item_weeks)
 
 cte("active", f"SELECT DISTINCT customer_id FROM history WHERE t_dat >= (SELECT d FROM cut) - {W}")
 cte("behaviour", f"""SELECT h.*, a.customer_id IS NOT NULL AS act FROM history h LEFT JOIN active a USING (customer_id)
@@ -26,13 +26,13 @@ cte("f_user", """SELECT customer_id, count(*) AS user_purchases, count(DISTINCT
   stddev_samp(price) AS user_std_price, max(price) AS user_max_price, avg(sales_channel_id) AS user_avg_channel,
   CAST(bool_or(act) AS INTEGER) AS is_active FROM behaviour GROUP BY 1""")
 cte("f_item", "SELECT article_id, " + ", ".join(
-    f"count(*) FILTER (t_dat >= (SELECT d FROM cut) - {7 * w}) AS item_purchases_{w}w" for w in S.item_windows)
+    f"count(*) FILTER (t_dat >= (SELECT d FROM cut) - {7 * w}) AS item_purchases_{w}w" for w in S.features.item_weeks)
     + """, count(*) AS item_purchases_all, count(DISTINCT customer_id) AS item_n_unique_buyers,
   date_diff('day', min(t_dat), (SELECT d FROM cut)) AS item_days_since_first_sale,
   date_diff('day', max(t_dat), (SELECT d FROM cut)) AS item_days_since_last_sale,
   avg(price) AS item_avg_price, max(price) AS item_max_price, count(*) / count(DISTINCT customer_id) AS item_repurchase_rate
   FROM train GROUP BY 1""")
-for _key, _out in S.affinity_keys:
+for _key, _out in S.features.affinities:
     cte(f"f_{_out}", f"""SELECT customer_id, {_key}, count(*) AS user_{_out}_purchases
   FROM behaviour LEFT JOIN articles USING (article_id) GROUP BY 1, 2""")
 cte("f_pair", """SELECT customer_id, article_id, count(*) AS user_item_purchases,
@@ -55,15 +55,15 @@ cte("f_customer", f"""SELECT customer_id, age, {_indexed('club_member_status', '
   LEFT JOIN {_index_sql('fashion_news_frequency')} b ON b.v = fashion_news_frequency""")
 cte("f_article", "SELECT article_id, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in features.ARTICLE_CODES) + " FROM articles")
 cte("f_cf", f"""SELECT s.customer_id, e.article_id, sum(e.cocount) AS itemcf_score, max(e.cocount) AS itemcf_max_score
-  FROM (SELECT DISTINCT customer_id, article_id FROM train WHERE t_dat >= (SELECT d FROM cut) - {7 * S.seed_weeks}) s
+  FROM (SELECT DISTINCT customer_id, article_id FROM train WHERE t_dat >= (SELECT d FROM cut) - {7 * S.retrieval.seed_weeks}) s
   JOIN neighbours e ON e.seed = s.article_id GROUP BY 1, 2""")
 cte("joined", """SELECT l.*, u.* EXCLUDE (customer_id), i.* EXCLUDE (article_id), """
-    + ", ".join(f"f_{o}.user_{o}_purchases" for _, o in S.affinity_keys)
+    + ", ".join(f"f_{o}.user_{o}_purchases" for _, o in S.features.affinities)
     + """, p.user_item_purchases, p.user_item_days_since_last, cf.itemcf_score, cf.itemcf_max_score, g.item_mean_buyer_age,
   k.* EXCLUDE (customer_id), m.* EXCLUDE (article_id)
   FROM labelled l LEFT JOIN articles x USING (article_id) LEFT JOIN f_user u USING (customer_id)
   LEFT JOIN f_item i USING (article_id) """
-    + " ".join(f"LEFT JOIN f_{o} ON f_{o}.customer_id = l.customer_id AND f_{o}.{k} = x.{k}" for k, o in S.affinity_keys)
+    + " ".join(f"LEFT JOIN f_{o} ON f_{o}.customer_id = l.customer_id AND f_{o}.{k} = x.{k}" for k, o in S.features.affinities)
     + """ LEFT JOIN f_pair p ON p.customer_id = l.customer_id AND p.article_id = l.article_id
   LEFT JOIN f_cf cf ON cf.customer_id = l.customer_id AND cf.article_id = l.article_id
   LEFT JOIN f_age g ON g.article_id = l.article_id LEFT JOIN f_customer k ON k.customer_id = l.customer_id
@@ -88,30 +88,30 @@ def _rest(text: str, drop: int) -> str:
 
 
 ALL = " ".join([FLAGGED, "label:int", _rest(USER, 1), _rest(ITEM, 1),
-                " ".join(f"user_{o}_purchases:long" for _, o in S.affinity_keys), _rest(PAIR, 2), _rest(CF, 2),
+                " ".join(f"user_{o}_purchases:long" for _, o in S.features.affinities), _rest(PAIR, 2), _rest(CF, 2),
                 "item_mean_buyer_age:float", _rest(CUSTOMER, 1), _rest(ARTICLE, 1), RATIOS])
 
 
 def full_features(fold: FoldInputs):
     fold = with_pairs(fold, S)
-    edges = written(retrieval.copurchase_neighbors(fold, S.itemcf_neighbors))
+    edges = written(retrieval.copurchase_neighbors(fold, S.retrieval.neighbors))
     blocks = [block for _, block in feature_blocks(fold, edges, S, exact_distinct=True)]
     return feature_table(fold, written(candidates(fold, edges)), blocks, S)
 
 
 @query("user_aggregates", USER, "SELECT * FROM f_user")
 def _(spark, d):
-    return features.user_aggregates(retail_fold(spark, d), S.user_recent_weeks, exact_distinct=True)[0]
+    return features.user_aggregates(retail_fold(spark, d), S.features.active_weeks, exact_distinct=True)[0]
 
 
 @query("user_aggregates_sketch", USER)
 def _(spark, d):
-    return features.user_aggregates(retail_fold(spark, d), S.user_recent_weeks)[0]
+    return features.user_aggregates(retail_fold(spark, d), S.features.active_weeks)[0]
 
 
 @query("item_aggregates", ITEM, "SELECT * FROM f_item")
 def _(spark, d):
-    return features.item_aggregates(retail_fold(spark, d), S.item_windows)[0]
+    return features.item_aggregates(retail_fold(spark, d), S.features.item_weeks)[0]
 
 
 _TYPES = {"product_code": "str", "product_group_name": "str"}
@@ -120,10 +120,10 @@ _TYPES = {"product_code": "str", "product_group_name": "str"}
 def _register_affinity(key: str, out: str) -> None:
     @query(f"category_affinity_{out}", f"customer_id:long {key}:{_TYPES.get(key, 'int')} user_{out}_purchases:long", f"SELECT * FROM f_{out}")
     def _(spark, d):
-        return features.category_affinity(retail_fold(spark, d), key, S.user_recent_weeks, out)[0]
+        return features.category_affinity(retail_fold(spark, d), key, S.features.active_weeks, out)[0]
 
 
-for _key, _out in S.affinity_keys:
+for _key, _out in S.features.affinities:
     _register_affinity(_key, _out)
 
 
@@ -157,7 +157,7 @@ def _(spark, d):
 @query("itemcf_score", CF, "SELECT * FROM f_cf")
 def _(spark, d):
     f = retail_fold(spark, d)
-    return features.itemcf_score(f, retrieval.copurchase_neighbors(f, S.itemcf_neighbors), S.seed_weeks)[0]
+    return features.itemcf_score(f, retrieval.copurchase_neighbors(f, S.retrieval.neighbors), S.retrieval.seed_weeks)[0]
 
 
 @query("attach_labels", FLAGGED + " label:int", "SELECT * FROM labelled")

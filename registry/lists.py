@@ -16,7 +16,7 @@ from shoprank.operators.folds import tag_folds
 from shoprank.schema import FoldInputs
 from shoprank.sources import adapters, sinks
 
-K = RETAIL.eval_k
+K = RETAIL.lists.length
 MISSING = 500
 
 
@@ -32,7 +32,7 @@ def scored(fold: FoldInputs) -> DataFrame:
 
 def scored_fold(spark, d) -> tuple[FoldInputs, recommend.ScoredFold]:
     fold = retail_fold(spark, d)
-    return fold, recommend.score_fold(fold, scored(fold), K, RETAIL.popularity_weeks)
+    return fold, recommend.score_fold(fold, scored(fold), K, RETAIL.retrieval.popularity_weeks)
 
 
 cte("scores", "SELECT customer_id, article_id, n_sources * 1000.0 - least("
@@ -132,8 +132,8 @@ def _(spark, d):
     from shoprank.operators.retrieval import product_code
 
     f = retail_fold(spark, d)
-    own = product_code(f, RETAIL.product_code_top_n, RETAIL.seed_weeks).withColumnRenamed("rank", "pos")
-    return recommend.backfill(own, f.customers, recommend.popular_items(f, RETAIL.popularity_weeks, K), K)
+    own = product_code(f, RETAIL.retrieval.product_code, RETAIL.retrieval.seed_weeks).withColumnRenamed("rank", "pos")
+    return recommend.backfill(own, f.customers, recommend.popular_items(f, RETAIL.retrieval.popularity_weeks, K), K)
 
 
 @query("recommend_with_backfill", REC, f"""
@@ -145,7 +145,7 @@ SELECT customer_id, article_id, pos FROM (
 WHERE pos <= {K}""")
 def _(spark, d):
     f = retail_fold(spark, d)
-    return recommend.backfill(recommend.top_k(scored(f), K), f.customers, recommend.popular_items(f, RETAIL.popularity_weeks, K), K)
+    return recommend.backfill(recommend.top_k(scored(f), K), f.customers, recommend.popular_items(f, RETAIL.retrieval.popularity_weeks, K), K)
 
 
 @query("buyers_of", "customer_id:long", "SELECT * FROM buyers")
@@ -160,7 +160,7 @@ def _(spark, d):
 
 @query("popular_items", "rank:int article_id:long", "SELECT * FROM best12")
 def _(spark, d):
-    return recommend.popular_items(retail_fold(spark, d), RETAIL.popularity_weeks, K)
+    return recommend.popular_items(retail_fold(spark, d), RETAIL.retrieval.popularity_weeks, K)
 
 
 EVALUATION = "customers:long buyers:long " + FIVE + " map_buyers:float"
@@ -204,12 +204,12 @@ cte("fold_truth", """SELECT DISTINCT fold AS arm, customer_id, article_id FROM t
 SELECT arm AS fold, {MEANS}, coalesce(avg(ap) FILTER (n_true > 0), 0) AS map_buyers FROM ({
     ' UNION ALL '.join('SELECT * FROM (' + per_user_sql(
         f"(SELECT * FROM fold_recs WHERE arm = 'fold_{i}')", f"(SELECT DISTINCT arm, customer_id FROM fold_recs WHERE arm = 'fold_{i}')",
-        f"(SELECT * FROM fold_truth WHERE arm = 'fold_{i}')") + ')' for i in range(RETAIL.n_folds))}) GROUP BY 1""")
+        f"(SELECT * FROM fold_truth WHERE arm = 'fold_{i}')") + ')' for i in range(RETAIL.periods.count))}) GROUP BY 1""")
 def _(spark, d):
     from shoprank.operators.folds import fold_specs
     from shoprank.operators.shared import top_per_group
 
-    open_end = fold_specs(RETAIL.window_end, None, RETAIL.val_weeks, RETAIL.n_folds, False)
+    open_end = fold_specs(RETAIL.periods.last_day, None, RETAIL.periods.held_out_weeks, RETAIL.periods.count, False)
     tagged = tag_folds(retail(spark, d), open_end)
     counts = tagged.filter("split = 'train'").groupBy("fold", "customer_id", "article_id").agg(F.count("*").alias("n"))
     recs = top_per_group(counts, ["fold", "customer_id"], [F.col("n").desc(), F.col("article_id")], K, "pos")
@@ -261,21 +261,21 @@ SELECT CAST(customer_id AS VARCHAR) AS customer_id, string_agg(CAST(article_id A
 WHERE pos <= {K} GROUP BY 1""")
 def _(spark, d):
     f = retail_fold(spark, d)
-    padded = recommend.backfill(recommend.top_k(scored(f), K), f.customers, recommend.popular_items(f, RETAIL.popularity_weeks, K), K)
+    padded = recommend.backfill(recommend.top_k(scored(f), K), f.customers, recommend.popular_items(f, RETAIL.retrieval.popularity_weeks, K), K)
     return sinks.submission_rows(recommend.to_lists(padded))
 
 
 @query("validate_submission", "problem:str n:long", f"""
 SELECT 'missing' AS problem, count(*) AS n FROM people WHERE customer_id NOT IN (SELECT customer_id FROM own_lists)
 UNION ALL SELECT 'unexpected', count(DISTINCT customer_id) FROM own_lists WHERE customer_id NOT IN (SELECT customer_id FROM people)
-UNION ALL SELECT 'wrong_length', count(*) FROM (SELECT customer_id FROM own_lists GROUP BY 1 HAVING count(*) <> {RETAIL.product_code_top_n})""")
+UNION ALL SELECT 'wrong_length', count(*) FROM (SELECT customer_id FROM own_lists GROUP BY 1 HAVING count(*) <> {RETAIL.retrieval.product_code})""")
 def _(spark, d):
     from shoprank.operators.retrieval import product_code
 
     f = retail_fold(spark, d)
-    own = product_code(f, RETAIL.product_code_top_n, RETAIL.seed_weeks).withColumnRenamed("rank", "pos")
+    own = product_code(f, RETAIL.retrieval.product_code, RETAIL.retrieval.seed_weeks).withColumnRenamed("rank", "pos")
     expected = f.customers.select(F.col("customer_id").cast("string").alias("customer_id"))
-    return sinks.submission_violations(sinks.submission_rows(recommend.to_lists(own)), expected, RETAIL.product_code_top_n)
+    return sinks.submission_violations(sinks.submission_rows(recommend.to_lists(own)), expected, RETAIL.retrieval.product_code)
 
 
 # --- diagnostics ---------------------------------------------------------------------------
@@ -334,7 +334,7 @@ def fold_sources(spark, d) -> tuple[DataFrame, DataFrame]:
     tx, parts = retail(spark, d), []
     for spec in retail_specs(submission=False):
         f = spec_inputs(spec, tx, adapters.retail_articles(spark, d), adapters.retail_customers(spark, d))
-        both = {"repurchase": repurchase(f, RETAIL.repurchase_top_n), "popularity": popularity(f, RETAIL.popularity_top_n, RETAIL.popularity_weeks)}
+        both = {"repurchase": repurchase(f, RETAIL.retrieval.repurchase), "popularity": popularity(f, RETAIL.retrieval.popularity, RETAIL.retrieval.popularity_weeks)}
         parts.append((source_flags(union_candidates(both), list(both)).withColumn("fold", F.lit(spec.fold)),
                       f.val.withColumn("fold", F.lit(spec.fold))))
     return tuple(reduce(DataFrame.unionByName, side) for side in zip(*parts))
@@ -343,10 +343,10 @@ def fold_sources(spark, d) -> tuple[DataFrame, DataFrame]:
 cte("fold_cut", "SELECT fold, s.train_start, max(t_dat) AS d FROM tx JOIN specs s ON s.val_start IS NOT NULL AND t_dat BETWEEN s.train_start AND s.train_end GROUP BY 1, 2")
 cte("fold_stacked", f"""SELECT fold, customer_id, article_id, rank, 'repurchase' AS source FROM (SELECT fold, customer_id, article_id,
     row_number() OVER (PARTITION BY fold, customer_id ORDER BY count(*) DESC, article_id) AS rank
-    FROM tx JOIN fold_cut c ON t_dat <= c.d GROUP BY 1, 2, 3 QUALIFY rank <= {RETAIL.repurchase_top_n})
+    FROM tx JOIN fold_cut c ON t_dat <= c.d GROUP BY 1, 2, 3 QUALIFY rank <= {RETAIL.retrieval.repurchase})
   UNION ALL SELECT fold, customer_id, article_id, rank, 'popularity' FROM people, (SELECT fold, article_id,
     row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, article_id) AS rank
-    FROM tx JOIN fold_cut c ON t_dat BETWEEN c.train_start AND c.d AND t_dat > c.d - {7 * RETAIL.popularity_weeks} GROUP BY 1, 2 QUALIFY rank <= {RETAIL.popularity_top_n})""")
+    FROM tx JOIN fold_cut c ON t_dat BETWEEN c.train_start AND c.d AND t_dat > c.d - {7 * RETAIL.retrieval.popularity_weeks} GROUP BY 1, 2 QUALIFY rank <= {RETAIL.retrieval.popularity})""")
 cte("fold_labelled", """SELECT s.*, t.arm IS NOT NULL AS hit FROM (SELECT fold, customer_id, article_id,
     min(rank) FILTER (source = 'repurchase') AS repurchase_rank, min(rank) FILTER (source = 'popularity') AS popularity_rank
     FROM fold_stacked GROUP BY 1, 2, 3) s

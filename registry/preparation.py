@@ -72,9 +72,9 @@ def _calendar_sql(table: str, n: int, val_weeks: int, train_weeks: int) -> str:
 FROM (SELECT max(t_dat) AS last FROM {table}), (SELECT CAST(range AS INTEGER) AS i FROM range({n}))"""
 
 
-@query("build_folds", CALENDAR, _calendar_sql("tx", RETAIL.n_folds, RETAIL.val_weeks, RETAIL.train_weeks))
+@query("build_folds", CALENDAR, _calendar_sql("tx", RETAIL.periods.count, RETAIL.periods.held_out_weeks, RETAIL.periods.history_weeks))
 def _(spark, d):
-    return folds.fold_calendar(retail(spark, d), RETAIL.n_folds, RETAIL.val_weeks, RETAIL.train_weeks)
+    return folds.fold_calendar(retail(spark, d), RETAIL.periods.count, RETAIL.periods.held_out_weeks, RETAIL.periods.history_weeks)
 
 
 @query("fold_week_ends", "fold:str week_end:date history_end:date", f"""
@@ -85,11 +85,11 @@ def _(spark, d):
 
 
 @query("holdout_fold", CALENDAR, f"""
-SELECT * FROM ({_calendar_sql('tx', RETAIL.n_folds, RETAIL.val_weeks, RETAIL.train_weeks)})
+SELECT * FROM ({_calendar_sql('tx', RETAIL.periods.count, RETAIL.periods.held_out_weeks, RETAIL.periods.history_weeks)})
 WHERE fold_index = (SELECT min(i) - 1 FROM (VALUES (1), (2), (3)) v(i))""")
 def _(spark, d):
-    calendar = folds.fold_calendar(retail(spark, d), RETAIL.n_folds, RETAIL.val_weeks, RETAIL.train_weeks)
-    return calendar.filter(F.col("fold") == folds.holdout_fold(RETAIL.train_folds))
+    calendar = folds.fold_calendar(retail(spark, d), RETAIL.periods.count, RETAIL.periods.held_out_weeks, RETAIL.periods.history_weeks)
+    return calendar.filter(F.col("fold") == folds.holdout_spec(retail_specs(), RETAIL.periods.trained).fold)
 
 
 @query("dedup_transactions", "customer_id:long article_id:long t_dat:date", "SELECT DISTINCT customer_id, article_id, t_dat FROM tx")

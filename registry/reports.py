@@ -9,7 +9,7 @@ from registry.lists import COMPARED, FIVE, K, MEANS, _compare_sql, scored_fold
 from registry.tables import RETAIL, retail_fold
 from shoprank.operators import recommend, reports
 
-SEED, POP = RETAIL.seed_weeks, RETAIL.popularity_weeks
+SEED, POP = RETAIL.retrieval.seed_weeks, RETAIL.retrieval.popularity_weeks
 
 cte("prices", f"""SELECT article_id, avg(price) AS price, min(t_dat) > (SELECT d FROM cut) - {7 * SEED} AS is_new FROM history GROUP BY 1""")
 cte("known", "SELECT DISTINCT customer_id, article_id FROM history WHERE customer_id IN (SELECT customer_id FROM buyers)")

@@ -7,7 +7,7 @@ from registry.tables import RETAIL, event_specs, events, open_specs, retail
 from shoprank.operators import signals
 from shoprank.sources import adapters
 
-SEED = RETAIL.seed_weeks
+SEED = RETAIL.retrieval.seed_weeks
 BEST_WEEKS, N_BEST = 13, 200
 
 

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from registry import cte
 from shoprank.operators.folds import FoldSpec, fold_specs, spec_inputs
-from shoprank.schema import FoldInputs, Settings
+from shoprank.schema import FeatureWindows, FoldInputs, Periods, Retrieval, Settings
 from shoprank.sources import adapters
 
 # Order dates are spread thinly over six years, so the weeks are scaled up for the retail tables.
 RETAIL = Settings(
-    window_end=date(2001, 8, 1), train_weeks=52, val_weeks=26, n_folds=4,
-    train_folds=("fold_1", "fold_2", "fold_3"), seed_weeks=26, popularity_weeks=26, user_recent_weeks=52,
-    item_windows=(13, 26, 52), repurchase_top_n=20, itemcf_top_n=20, itemcf_neighbors=15,
-    product_code_top_n=10, popularity_top_n=15, als_top_n=10, als_rank=8, als_iters=3)
+    periods=Periods(date(2001, 8, 1), 52, 26, 4, (1, 2, 3)),
+    retrieval=Retrieval(repurchase=20, itemcf=20, product_code=10, popularity=15, graph=10, neighbors=15, seed_weeks=26,
+                        popularity_weeks=26, factors=8, sweeps=3),
+    features=FeatureWindows(52, (13, 26, 52)))
 EVENTS_END = date(2024, 1, 30)
 
 
@@ -30,13 +30,13 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 def retail_specs(submission: bool = True) -> list[FoldSpec]:
     s = RETAIL
-    return fold_specs(s.window_end, s.train_weeks, s.val_weeks, s.n_folds, submission)
+    return fold_specs(s.periods.last_day, s.periods.history_weeks, s.periods.held_out_weeks, s.periods.count, submission)
 
 
 def open_specs() -> list[FoldSpec]:
     """Folds with unbounded history, as the studies use them."""
     s = RETAIL
-    return fold_specs(s.window_end, None, s.val_weeks, s.n_folds, False)
+    return fold_specs(s.periods.last_day, None, s.periods.held_out_weeks, s.periods.count, False)
 
 
 def event_specs(n_folds: int = 3) -> list[FoldSpec]:

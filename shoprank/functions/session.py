@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,13 +23,16 @@ _RUNTIME = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    for key, value in _RUNTIME.items():
-        spark.conf.set(key, value)
-    return spark
+    """A session of its own beside the caller's, with the caller's settings and those above; the caller's stays as it is."""
+    own = spark.newSession()
+    for key, value in {**dict(spark.conf.getAll), **_RUNTIME}.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for lineage cuts: the cluster's shared folder, a scratch folder in local mode."""
+    """Directory for lineage cuts: the cluster's shared folder; where none is set in local mode, a scratch folder that goes with the process."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -37,6 +42,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="shoprank-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     context.setCheckpointDir(shared)
     return shared
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoprank.functions.columns import days_between, weeks_before
-from shoprank.operators.shared import pair_history
+from shoprank.operators.retrieval import seed_strength
+from shoprank.operators.shared import ordered_ids, pair_history
 from shoprank.schema import FoldInputs, Settings
 
 # Article codes used as numeric features.
@@ -132,11 +133,10 @@ def item_buyer_demographic(fold: FoldInputs) -> Block:
 
 def category_index(customers: DataFrame, column: str) -> DataFrame:
     """(value, index) by falling frequency, ties by value; a missing value takes the next index."""
-    levels = customers.groupBy(column).agg(F.count("*").alias("n")).filter(F.col(column).isNotNull())
-    entries = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col(column).alias("v")))),
-                          lambda e: e["v"])
-    return levels.agg(F.array_append(entries, F.lit(None).cast("string")).alias("levels")).select(
-        F.posexplode("levels").alias("index", "value"))
+    levels = customers.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    numbered = ordered_ids(levels, [F.col("n").desc(), F.col("value")], "index").select("value", "index")
+    missing = levels.agg(F.count("*").cast("int").alias("index")).select(F.lit(None).cast(levels.schema["value"].dataType).alias("value"), "index")
+    return numbered.unionByName(missing)
 
 
 def customer_metadata(fold: FoldInputs, categorical_cols: Sequence[str] = CUSTOMER_CATEGORIES) -> Block:
@@ -160,22 +160,20 @@ def itemcf_score(fold: FoldInputs, neighbors: DataFrame | None, seed_weeks: int
     if neighbors is None:
         raise ValueError("itemcf_score needs the neighbour table of the retrieval stage")
     cols = fold.columns
-    seeds = (fold.train.filter(F.col(cols.date) >= weeks_before(fold.train_end, seed_weeks))
-             .select(cols.user, F.col(cols.item).alias("seed")).distinct())
-    block = seeds.join(neighbors.select("seed", cols.item, "cocount"), "seed").groupBy(cols.user, cols.item).agg(
-        F.sum("cocount").alias("itemcf_score"), F.max("cocount").alias("itemcf_max_score"))
-    return block, [cols.user, cols.item]
+    lately = fold.train.filter(F.col(cols.date) >= weeks_before(fold.train_end, seed_weeks))
+    reached = seed_strength(lately, neighbors, cols)
+    return reached.select(cols.user, cols.item, F.col("total").alias("itemcf_score"), F.col("largest").alias("itemcf_max_score")), [cols.user, cols.item]
 
 
 def feature_sources(settings: Settings, exact_distinct: bool = False) -> list[FeatureSource]:
     """The blocks of a run in join order. One more affinity is one more entry in the settings."""
-    windows = settings.item_windows
+    windows = settings.features.item_weeks
     user_cols = ("user_purchases", "user_n_unique_items", "user_days_since_first", "user_days_since_last",
                  "user_avg_price", "user_std_price", "user_max_price", "user_avg_channel", "is_active")
     item_cols = (*[f"item_purchases_{w}w" for w in windows], "item_purchases_all", "item_n_unique_buyers",
                  "item_days_since_first_sale", "item_days_since_last_sale", "item_avg_price",
                  "item_max_price", "item_repurchase_rate")
-    weeks = settings.user_recent_weeks
+    weeks = settings.features.active_weeks
 
     def affinity(key, out):
         return FeatureSource(f"category_affinity_{out}", (f"user_{out}_purchases",),
@@ -184,11 +182,11 @@ def feature_sources(settings: Settings, exact_distinct: bool = False) -> list[Fe
     return [
         FeatureSource("user_aggregates", user_cols, lambda f, e: user_aggregates(f, weeks, exact_distinct)),
         FeatureSource("item_aggregates", item_cols, lambda f, e: item_aggregates(f, windows)),
-        *[affinity(key, out) for key, out in settings.affinity_keys],
+        *[affinity(key, out) for key, out in settings.features.affinities],
         FeatureSource("user_item_history", ("user_item_purchases", "user_item_days_since_last"),
                       lambda f, e: user_item_history(f)),
         FeatureSource("itemcf_score", ("itemcf_score", "itemcf_max_score"),
-                      lambda f, e: itemcf_score(f, e, settings.seed_weeks)),
+                      lambda f, e: itemcf_score(f, e, settings.retrieval.seed_weeks)),
         FeatureSource("item_buyer_demographic", ("item_mean_buyer_age",), lambda f, e: item_buyer_demographic(f)),
         FeatureSource("customer_metadata", ("age", *[f"{c}_idx" for c in CUSTOMER_CATEGORIES]),
                       lambda f, e: customer_metadata(f)),

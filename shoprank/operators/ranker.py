@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from shoprank.functions.columns import unit_hash
 from shoprank.functions.session import checkpointed
@@ -134,10 +135,13 @@ def group_ndcg(state: DataFrame, group: Sequence[str], tie: str, k: int = 12) ->
 
 @dataclass(frozen=True)
 class RankerParams:
-    """Boosting parameters. Trees grow level by level, so depth 6 stands for at most 64 leaves."""
+    """Boosting parameters. Trees grow level by level, so depth 6 stands for at most 64 leaves.
 
-    rounds: int = 40
-    learning_rate: float = 0.1
+    `truncation` is part of the objective: only pairs with a member among the first rows of a group count.
+    """
+
+    rounds: int = 400
+    learning_rate: float = 0.05
     max_depth: int = 6
     min_child_samples: int = 50
     subsample: float = 0.8
@@ -168,10 +172,28 @@ class LambdaRankModel:
         """`(user, item, score)`; higher is better."""
         cols = self.columns
         vectors = self._vectors(features.select(cols.user, cols.item, *self.feature_cols))
-        scored = vectors.select(cols.user, cols.item, "features").withColumn("score", F.lit(0.0))
-        for tree, values, _ in self.trees:
-            scored = step(scored, tree, values)
-        return scored.select(cols.user, cols.item, "score")
+        rows = vectors.select(cols.user, cols.item, vector_to_array("features").alias("x"))
+        forest = [flat_tree(tree.trees[0], values) for tree, values, _ in self.trees]
+
+        def score(batches):
+            import numpy as np
+
+            for batch in batches:
+                x = np.stack(batch["x"]) if len(batch) else np.zeros((0, 1))
+                total = np.zeros(len(x))
+                for feature, threshold, left, right, value, sets in forest:
+                    at = np.zeros(len(x), int)
+                    while (inner := feature[at] >= 0).any():
+                        f = np.maximum(feature[at], 0)
+                        v = x[np.arange(len(x)), f]
+                        goes_left = v <= threshold[at]
+                        for node, members in sets.items():
+                            goes_left = np.where(at == node, np.isin(v, members), goes_left)
+                        at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
+                    total += value[at]
+                yield batch.drop(columns="x").assign(score=total)
+
+        return rows.mapInPandas(score, StructType([*rows.schema.fields[:2], StructField("score", DoubleType())]))
 
     def recommend(self, features: DataFrame, k: int = 12, users: DataFrame | None = None,
                   fallback: DataFrame | None = None) -> DataFrame:
@@ -211,6 +233,38 @@ def _split_features(tree) -> list[int]:
     return found
 
 
+def flat_tree(tree, values: Sequence[float]) -> tuple:
+    """One tree as arrays by node: feature (-1: leaf), threshold, left, right, value, and the left categories of categorical splits.
+
+    Leaves are numbered from left to right, as the leaf column of a fitted tree numbers them.
+    """
+    import numpy as np
+
+    feature, threshold, left, right, value, sets, leaves = [], [], [], [], [], {}, 0
+
+    def add(node) -> int:
+        nonlocal leaves
+        k = len(feature)
+        for column, empty in ((feature, -1), (threshold, 0.0), (left, 0), (right, 0), (value, 0.0)):
+            column.append(empty)
+        if node.subtreeDepth() == 0:
+            value[k] = float(values[leaves])
+            leaves += 1
+            return k
+        split = node.split()
+        feature[k] = split.featureIndex()
+        if split.getClass().getSimpleName() == "CategoricalSplit":
+            sets[k] = np.array(list(split.leftCategories()))
+        else:
+            threshold[k] = split.threshold()
+        left[k] = add(node.leftChild())
+        right[k] = add(node.rightChild())
+        return k
+
+    add(tree._call_java("rootNode"))
+    return (*map(np.array, (feature, threshold, left, right, value)), sets)
+
+
 def step(state: DataFrame, tree, values: Sequence[float]) -> DataFrame:
     """Add one tree's leaf values to the scores."""
     leaf = vector_to_array("_leaf").getItem(0).cast("int")
@@ -240,31 +294,32 @@ class LambdaRanker:
         return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(matrix)
 
     def fit(self, train: DataFrame, group_cols: Sequence[str] | None = None,
-            eval_frame: DataFrame | None = None) -> LambdaRankModel:
+            eval_frame: DataFrame | None = None, eval_group_cols: Sequence[str] | None = None) -> LambdaRankModel:
+        """Fit on `train`; `eval_frame` (with its own groups, if given) is watched for early stopping."""
         p, cols = self.params, self.columns
         group = list(group_cols or [cols.user])
+        eval_group = list(eval_group_cols or group)
         names = resolve_features(train, cols, self.feature_cols)
         preparation = self._preparation(prepare_matrix(train, names), names)
         model = LambdaRankModel(names, preparation, [], cols)
 
-        def start(df: DataFrame, mixed_only: bool) -> DataFrame:
-            rows = model._vectors(df).select(*group, cols.item, "label", "features")
-            if mixed_only:
-                # groups of a single label hold no pairs
-                mixed = (rows.groupBy(*group).agg(F.min("label").alias("a"), F.max("label").alias("b"))
-                         .filter(F.col("a") < F.col("b")).select(*group))
-                rows = rows.join(mixed, group, "left_semi")
-            return checkpointed(rows.withColumn("score", F.lit(0.0)).repartition(*group))
-
-        state = start(train, True)
-        held = start(eval_frame, False) if eval_frame is not None else None
+        def start(df: DataFrame, keys: list[str]) -> DataFrame:
+            rows = model._vectors(df).select(*keys, cols.item, "label", "features")
+            return checkpointed(rows.withColumn("score", F.lit(0.0)).repartition(*keys))
+
+        state = start(train, group)
+        held = start(eval_frame, eval_group) if eval_frame is not None else None
+        # a categorical split needs a bin for each level
+        levels = [len(stage.labels) + 1 for stage in preparation.stages if hasattr(stage, "labels")]
+        bins = max([p.max_bins, *levels])
         best, best_at = -1.0, 0
         for r in range(p.rounds):
-            graded = lambda_gradients(state, group, cols.item, p.truncation).filter(F.col("h") > 1e-12)
-            graded = graded.withColumn("_target", F.col("g") / F.col("h")).persist()
+            graded = lambda_gradients(state, group, cols.item, p.truncation)
+            # rows without curvature pull nowhere, but count as rows of their leaf
+            graded = graded.withColumn("_target", F.when(F.col("h") > 1e-12, F.col("g") / F.col("h")).otherwise(0.0)).persist()
             tree = RandomForestRegressor(
                 featuresCol="features", labelCol="_target", weightCol="h", numTrees=1, maxDepth=p.max_depth,
-                minInstancesPerNode=p.min_child_samples, maxBins=p.max_bins, bootstrap=False,
+                minInstancesPerNode=p.min_child_samples, maxBins=bins, bootstrap=False,
                 subsamplingRate=p.subsample, featureSubsetStrategy=str(p.colsample), seed=p.seed + r).fit(graded)
             values, gain = self._leaf_values(tree, graded)
             graded.unpersist()
@@ -275,7 +330,7 @@ class LambdaRanker:
                 state = checkpointed(state)
                 held = checkpointed(held) if held is not None else None
             if held is not None:
-                model.history.append(group_ndcg(held, group, cols.item, p.eval_k))
+                model.history.append(group_ndcg(held, eval_group, cols.item, p.eval_k))
                 if model.history[-1] > best:
                     best, best_at = model.history[-1], r + 1
                 elif p.early_stopping_rounds and r + 1 - best_at >= p.early_stopping_rounds:

@@ -51,10 +51,21 @@ def to_lists(recs: DataFrame, cols: Columns = Columns()) -> DataFrame:
     return recs.groupBy(cols.user).agg(F.transform(entries, lambda e: e[cols.item]).alias("items"))
 
 
-def sample_customers(features: DataFrame, n: int, seed: int = 42, cols: Columns = Columns()) -> DataFrame:
-    """A fixed sample of exactly n users, everybody if there are no more than n."""
-    everyone = features.select(cols.user).distinct()
-    return everyone.orderBy(unit_hash(cols.user, seed=seed), F.col(cols.user)).limit(n)
+def sample_customers(features: DataFrame, n: int, seed: int = 42, cols: Columns = Columns(), buckets: int = 1024) -> DataFrame:
+    """A fixed sample of exactly n users, everybody if there are no more than n.
+
+    The n smallest hashes: counts per range of the hash (`buckets` numbers) give the range in which the n-th
+    lies, and only that one is sorted.
+    """
+    drawn = features.select(cols.user).distinct().withColumn("_draw", unit_hash(cols.user, seed=seed))
+    drawn = written(drawn.withColumn("_range", F.floor(F.col("_draw") * buckets).cast("int")))
+    sizes = dict(drawn.groupBy("_range").agg(F.count("*")).collect())
+    left, cut = n, 0
+    while cut < buckets and sizes.get(cut, 0) <= left:
+        left -= sizes.get(cut, 0)
+        cut += 1
+    whole = drawn.filter(F.col("_range") < cut).select(cols.user)
+    return whole.unionByName(drawn.filter(F.col("_range") == cut).orderBy("_draw", cols.user).limit(left).select(cols.user))
 
 
 def evaluation_users(features: DataFrame, n: int | None, seed: int = 42, cols: Columns = Columns()) -> DataFrame | None:

@@ -21,8 +21,8 @@ def with_pairs(fold: FoldInputs, settings: Settings) -> FoldInputs:
     Each pair also carries whether its user is active and the attributes the affinities count by,
     so those blocks need no join of their own. A user's pairs number at most the catalogue.
     """
-    cols, weeks = fold.columns, settings.user_recent_weeks
-    attributes = fold.articles.select(cols.item, *[key for key, _ in settings.affinity_keys])
+    cols, weeks = fold.columns, settings.features.active_weeks
+    attributes = fold.articles.select(cols.item, *[key for key, _ in settings.features.affinities])
     active = F.sum("n_recent").over(Window.partitionBy(cols.user)) > 0
     pairs = pair_history(fold, weeks).withColumn("active", active).join(attributes, cols.item, "left")
     return replace(fold, pairs=written(pairs), pairs_weeks=weeks)
@@ -37,5 +37,5 @@ def feature_blocks(fold: FoldInputs, edges: DataFrame, settings: Settings,
 
 def feature_table(fold: FoldInputs, candidates: DataFrame, blocks: list[Block], settings: Settings) -> DataFrame:
     """Candidates with all features and labels."""
-    keys = fold.articles.select(fold.columns.item, *[key for key, _ in settings.affinity_keys])
+    keys = fold.articles.select(fold.columns.item, *[key for key, _ in settings.features.affinities])
     return assemble(candidates, keys, blocks, fold.val, fold.columns)

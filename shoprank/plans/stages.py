@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,10 @@ def _of_fold(settings: Settings, table: str, fold: str) -> str:
     return settings.table(f"{table}/fold={fold}")
 
 
+def trained_folds(settings: Settings) -> list[str]:
+    return [spec.fold for spec in folds.trained_specs(folds.settings_specs(settings), settings.periods.trained)]
+
+
 def prepare(spark: SparkSession, settings: Settings, overwrite: bool = False) -> list[folds.FoldSpec]:
     """Raw CSV to typed tables; all fold slices go into one table, partitioned by fold and split."""
     # Names of the raw files.
@@ -73,12 +78,12 @@ def build_candidates(spark: SparkSession, settings: Settings, fold: str, inputs:
     `(user, item, rank, source)` can be a source under its name.
     """
     inputs = inputs or with_pairs(load_fold(spark, settings, fold), settings)
-    edges = sinks.write_stage(retrieval.copurchase_neighbors(inputs, settings.itemcf_neighbors),
+    edges = sinks.write_stage(retrieval.copurchase_neighbors(inputs, settings.retrieval.neighbors),
                               _of_fold(settings, "neighbors", fold))
     sources = sources or retrieval.source_table(settings, with_als)
     parts = {name: make(inputs, edges) for name, make in sources.items()}
     flagged = union.source_flags(union.union_candidates(parts, settings.columns), list(parts))
-    capped = union.cap_per_customer(flagged, settings.max_candidates, settings.columns)
+    capped = union.cap_per_customer(flagged, settings.retrieval.cap, settings.columns)
     return sinks.write_stage(capped, _of_fold(settings, "candidates", fold))
 
 
@@ -95,14 +100,15 @@ def build_features(spark: SparkSession, settings: Settings, fold: str, inputs: F
         candidates = sinks.read_stage(spark, _of_fold(settings, "candidates", fold), "candidates")
     edges = sinks.read_stage(spark, _of_fold(settings, "neighbors", fold), "candidates")
     blocks = [block for _, block in feature_blocks(inputs, edges, settings, sources=sources)]
-    chunks, path = max(1, settings.feature_chunks), _of_fold(settings, "features", fold)
+    chunks, path = max(1, settings.features.passes), _of_fold(settings, "features", fold)
     if chunks > 1:
         blocks = [(written(block), keys) for block, keys in blocks]
-    for chunk in range(chunks):
-        part = candidates
-        if chunks > 1:
-            part = candidates.filter(F.pmod(F.xxhash64(settings.columns.user), F.lit(chunks)) == chunk)
-        sinks.write_stage(feature_table(inputs, part, blocks, settings), path, "overwrite" if chunk == 0 else "append")
+    user = F.pmod(F.xxhash64(settings.columns.user), F.lit(chunks))
+    parts = [feature_table(inputs, candidates.filter(user == k) if chunks > 1 else candidates, blocks, settings) for k in range(chunks)]
+    if chunks > 1:
+        # the passes end in tables of their own, so the stage's table appears whole or not at all
+        parts = [written(part) for part in parts]
+    sinks.write_stage(reduce(DataFrame.unionByName, parts), path)
     return spark.read.parquet(path)
 
 
@@ -113,33 +119,33 @@ def read_features(spark: SparkSession, settings: Settings, fold_names: Sequence[
 
 def train(spark: SparkSession, settings: Settings) -> tuple[LambdaRankModel, DataFrame]:
     """The ranker fitted on the training folds; a user in two folds is two ranking problems."""
-    frame = written(training_frame(read_features(spark, settings, settings.train_folds),
-                                   settings.negatives_per_positive, settings.seed, settings.columns))
-    ranker = LambdaRanker(columns=settings.columns, **settings.ranker_params)
+    frame = written(training_frame(read_features(spark, settings, trained_folds(settings)),
+                                   settings.training.negatives, settings.seed, settings.columns))
+    ranker = LambdaRanker(columns=settings.columns, **settings.training.ranker)
     return ranker.fit(frame, [FOLD, settings.columns.user]), frame
 
 
 def score_fold(spark: SparkSession, settings: Settings, model: LambdaRankModel, fold: str) -> recommend.ScoredFold:
     features = read_features(spark, settings, [fold])
-    users = recommend.evaluation_users(features, settings.eval_sample_users, settings.seed, settings.columns)
-    return recommend.score_fold(load_fold(spark, settings, fold), model.transform(features), settings.eval_k,
-                                settings.popularity_weeks, users)
+    users = recommend.evaluation_users(features, settings.lists.sample, settings.seed, settings.columns)
+    return recommend.score_fold(load_fold(spark, settings, fold), model.transform(features), settings.lists.length,
+                                settings.retrieval.popularity_weeks, users)
 
 
 def evaluate(spark: SparkSession, settings: Settings, model: LambdaRankModel, fold: str) -> DataFrame:
     scored = score_fold(spark, settings, model, fold)
-    return recommend.evaluate(scored.recs, scored.truth, settings.eval_k, settings.columns)
+    return recommend.evaluate(scored.recs, scored.truth, settings.lists.length, settings.columns)
 
 
 def write_submission(spark: SparkSession, settings: Settings, model: LambdaRankModel, fold: str | None = None) -> DataFrame:
     """Score the submission fold, serve every customer, write the CSV and check it."""
-    fold = fold or settings.submission_fold
+    fold = fold or folds.settings_specs(settings)[-1].fold
     inputs = load_fold(spark, settings, fold)
-    fallback = recommend.popular_items(inputs, settings.popularity_weeks, settings.eval_k)
-    recs = model.recommend(read_features(spark, settings, [fold]), settings.eval_k, inputs.customers, fallback)
+    fallback = recommend.popular_items(inputs, settings.retrieval.popularity_weeks, settings.lists.length)
+    recs = model.recommend(read_features(spark, settings, [fold]), settings.lists.length, inputs.customers, fallback)
     rows = written(sinks.submission_rows(recommend.to_lists(recs, settings.columns), settings.columns))
     sinks.write_submission_csv(rows, settings.submission_path)
-    sinks.validate_submission(rows, readers.load(spark, _raw(settings, "sample_submission")), settings.eval_k)
+    sinks.validate_submission(rows, readers.load(spark, _raw(settings, "sample_submission")), settings.lists.length)
     return rows
 
 
@@ -159,8 +165,10 @@ def run_all(spark: SparkSession, settings: Settings, stages: Sequence[str] = STA
         if needy in stages and "train" not in stages:
             raise ValueError(f"{needy!r} needs a model: include the 'train' stage")
     tune(spark)
-    holdout = folds.holdout_fold(settings.train_folds, settings.fold_prefix)
-    needed = [*settings.train_folds, *([holdout] if holdout and "evaluate" in stages else []), settings.submission_fold]
+    specs = folds.settings_specs(settings)
+    newest = folds.holdout_spec(specs, settings.periods.trained)
+    holdout = newest.fold if newest else None
+    needed = [*trained_folds(settings), *([holdout] if holdout and "evaluate" in stages else []), specs[-1].fold]
     if "prepare" in stages:
         prepare(spark, settings, overwrite)
     for fold in needed:

@@ -93,9 +93,10 @@ def test_calendar_equals_specs(spark):
     assert rows(calendar, *specs.columns) == rows(specs, *specs.columns)
 
 
-@pytest.mark.parametrize("names, expected", [(("fold_1", "fold_2"), "fold_0"), (("fold_0", "fold_1"), None), (("x",), None)])
-def test_holdout(names, expected):
-    assert folds.holdout_fold(names) == expected
+@pytest.mark.parametrize("trained, expected", [((1, 2), "fold_0"), ((2,), "fold_1"), ((0, 1), None), ((), None)])
+def test_holdout_is_the_next_newer_fold(trained, expected):
+    found = folds.holdout_spec(folds.fold_specs("2020-09-22", 6, 1, 3), trained)
+    assert (found and found.fold) == expected
 
 
 @pytest.mark.filterwarnings("ignore")
@@ -119,6 +120,6 @@ def test_empty_train_window_is_an_error(make_fold):
 
 
 def test_settings_reject_unknown_names():
-    assert Settings().changed(eval_k=5).eval_k == 5
+    assert Settings().changed(lists={"length": 5}).lists.length == 5
     with pytest.raises(ValueError):
         Settings().changed(depth=3)

@@ -34,16 +34,18 @@ def _baskets():
     return {f"u{n}": sorted({f"i{(n * k) % 17:02d}" for k in range(1, 3 + n % 9)}) for n in range(30)}
 
 
-@pytest.mark.parametrize("heavy, block", [(256, 1024), (4, 3), (0, 2)])
-def test_neighbours_equal_brute_force_on_every_path(make_fold, heavy, block):
+@pytest.mark.parametrize("size, hot", [(128, 0), (8, 0), (1, 0), (8, 90)])
+def test_neighbours_equal_brute_force_with_any_slices(make_fold, size, hot):
     baskets = _baskets()
+    if hot:                                                              # one user holds more than a third of all rows
+        baskets["hot"] = [f"i{n:02d}" for n in range(hot)]
     f = make_fold([(u, i, "09-10") for u, items in baskets.items() for i in items for _ in range(2)])
     pairs = Counter(p for items in baskets.values() for a, b in combinations(items, 2) for p in ((a, b), (b, a)))
     want = []
     for seed in {a for a, _ in pairs}:
         best = sorted(((-n, b) for (a, b), n in pairs.items() if a == seed))[:5]
         want += [(seed, b, -n, r) for r, (n, b) in enumerate(best, 1)]
-    got = rows(retrieval.copurchase_neighbors(f, 5, heavy, block), "seed", "article_id", "cocount", "r")
+    got = rows(retrieval.copurchase_neighbors(f, 5, size), "seed", "article_id", "cocount", "r")
     assert got == sorted(want)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoprank.plans import development, stages
-from shoprank.schema import Settings
+from shoprank.schema import Periods, Retrieval, Settings, Training
 from tests.conftest import rows
 
 
@@ -26,9 +26,9 @@ def settings(tmp_path_factory):
         "article_id,product_code,product_type_no,department_no,product_group_name,garment_group_no,section_no,index_group_no,colour_group_code\n"
         + "\n".join(f"a{i:02d},{i // 3},{i % 5},{i % 4},g{i % 3},{i % 6},{i % 7},{i % 2},{i % 8}" for i in range(30)))
     (raw / "sample_submission.csv").write_text("customer_id,prediction\n" + "\n".join(f"c{u},x" for u in range(42)))
-    return Settings(raw_dir=str(raw), out_dir=str(out), submission_path=str(out / "submission"), n_folds=3, train_folds=("fold_1", "fold_2"),
-                    als_rank=4, als_iters=2, als_top_n=5, repurchase_top_n=10, itemcf_top_n=10, popularity_top_n=10, product_code_top_n=5,
-                    ranker_params={"rounds": 2, "max_depth": 3, "min_child_samples": 5})
+    return Settings(raw_dir=str(raw), out_dir=str(out), submission_path=str(out / "submission"), periods=Periods(count=3, trained=(1, 2)),
+                    retrieval=Retrieval(factors=4, sweeps=2, graph=5, repurchase=10, itemcf=10, popularity=10, product_code=5),
+                    training=Training(ranker={"rounds": 2, "max_depth": 3, "min_child_samples": 5}))
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,7 @@ def test_run_writes_a_valid_submission(spark, settings, model):
 def test_features_are_complete_and_chunks_change_nothing(spark, settings, model):
     one = stages.read_features(spark, settings, ["fold_1"])
     assert len(one.columns) == 53 + 4                                     # keys, label, fold tag
-    chunked = settings.changed(feature_chunks=3)
+    chunked = settings.changed(features={"passes": 3})
     before = rows(one.fillna(-1), "customer_id", "article_id", "label", "user_purchases", "user_item_purchases", "n_sources")
     stages.build_features(spark, chunked, "fold_1")
     after = rows(stages.read_features(spark, settings, ["fold_1"]).fillna(-1), "customer_id", "article_id", "label", "user_purchases", "user_item_purchases", "n_sources")
@@ -54,16 +54,16 @@ def test_features_are_complete_and_chunks_change_nothing(spark, settings, model)
 def test_nothing_after_the_cut_reaches_a_fold(spark, settings, model):
     fold = stages.load_fold(spark, settings, "fold_1")
     assert fold.history.agg(F.max("t_dat")).first()[0] == fold.train_end < fold.val.agg(F.min("t_dat")).first()[0]
-    assert not stages.load_fold(spark, settings, settings.submission_fold).has_labels
+    assert not stages.load_fold(spark, settings, "fold_submission").has_labels
     checks = {r["fold"]: r["leak_check"] for r in stages.fold_table(spark, settings).collect()}
-    assert checks["fold_0"] == "ok" and checks[settings.submission_fold] == "n/a"
+    assert checks["fold_0"] == "ok" and checks["fold_submission"] == "n/a"
 
 
 def test_evaluation_and_development(spark, settings, model):
     r = stages.evaluate(spark, settings, model, "fold_0").first()
     assert r["customers"] == 42 and 0 < r["buyers"] <= 42 and all(0 <= r[m] <= 1 for m in ("map", "ndcg", "hit_rate", "precision", "recall"))
     scores = development.development_scores(
-        settings.changed(train_folds=("fold_1", "fold_2")), lambda f: stages.load_fold(spark, settings, f),
+        settings, lambda f: stages.load_fold(spark, settings, f),
         lambda f: stages.read_features(spark, settings, [f]).drop("_fold"))
     assert rows(scores.select("fold", "training_weeks").distinct(), "fold", "training_weeks") == [("fold_1", 1)]
     assert development.development_metrics(scores).count() == 5
