@@ -98,12 +98,21 @@ def _by_text(rows: DataFrame, fn, schema: str, names: list[str]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _classes(rows: DataFrame, wide: str, narrow: str, *who: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose narrow string occurs elsewhere too, and one row of each narrow class whose wide string has several."""
-    each = rows.groupBy(wide, narrow).agg(F.count("*").alias("c"), F.min(F.struct(*who)).alias("one"))
+def _classes(scratch: Scratch, rows: DataFrame, wide: str, narrow: str, *who: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose narrow string occurs elsewhere too, and one row of each narrow class whose wide string has several.
+
+    Classes of more than a thousandth of all rows number less than a thousand and go to every task; the
+    rows of all others are joined by shuffle, where no class is large.
+    """
+    each = scratch.write(rows.groupBy(wide, narrow).agg(F.count("*").alias("c"), F.min(F.struct(*who)).alias("one")))
     several = each.groupBy(wide).agg(F.count("*").alias("kinds")).where("kinds > 1").select(wide)
-    repeated = rows.join(each.where("c > 1").select(wide, narrow), [wide, narrow]).select(*who)
-    return repeated, each.join(several, wide).select("one.*")
+    large = F.col("c") * 1000 > max(rows.count(), 10_000)
+    marked = rows.join(F.broadcast(each.where(large).select(wide, narrow, F.lit(True).alias("large"))), [wide, narrow], "left")
+    small = marked.where("large is null").join(each.where(~large & (F.col("c") > 1)).select(wide, narrow), [wide, narrow])
+    repeated = scratch.write(small.select(*who).unionByName(marked.where("large").select(*who)))
+    open_ = scratch.write(each.join(several, wide).select("one.*"))
+    scratch.drop(each)
+    return repeated, open_
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -132,8 +141,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     long_ = keyed.where(F.octet_length("text") >= size)
     rows = scratch.write(_by_text(long_, first_round, "key long, place long, gram long, span long", ["key", "place", "gram", "span"]))
-    whole, open_ = _classes(rows, "gram", "span", "key", "place")
-    whole, open_ = scratch.write(whole), scratch.write(open_)
+    whole, open_ = _classes(scratch, rows, "gram", "span", "key", "place")
 
     def ranges(raw, places):
         f = Fingers(raw)
@@ -153,8 +161,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     asked = open_.groupBy("key").agg(F.collect_list("place").alias("places"))
     rows2 = scratch.write(_by_text(joined(asked), second_round, "key long, place long, block long, core long, span long", ["key", "place", "block", "core", "span"]))
-    blocks, open2 = _classes(rows2, "core", "span", "key", "place", "block")
-    blocks, open2 = scratch.write(blocks), scratch.write(open2)
+    blocks, open2 = _classes(scratch, rows2, "core", "span", "key", "place", "block")
 
     def third_round(key, raw, lists):
         f = Fingers(raw)
