@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from shoprank.llm.common import id_bucket, schema_of, slices, word_hashes
 
 #: rows the classifier is fitted on at most
-POSITIVES, UNLABELLED = 6_000, 10_000
-EPOCHS, BATCH, RATE, DECAY = 120, 1024, 0.01, 1e-3
+POSITIVES, UNLABELLED = 4_000, 8_000
+EPOCHS, BATCH, RATE, DECAY = 80, 1024, 0.01, 1e-3
 
 #: classes of bytes: letters, digits and blanks by kind, every other ASCII character on its own
 _CLASS = np.zeros(256, np.int64)
@@ -43,7 +43,10 @@ def _matrix(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())], ["x"])
 
     rows = docs.select("text").mapInArrow(run, "x binary").collect()
-    return np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, N_FEATURES).astype(float)
+    out = np.empty((len(rows), N_FEATURES), np.float32)
+    for k, r in enumerate(rows):
+        out[k] = np.frombuffer(r["x"], np.float32)
+    return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -55,10 +58,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
 
     Where the bracket is negative in a batch, the step climbs it instead (the non-negative correction).
     """
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0)
-    scale = np.where(scale < 1e-4, np.inf, scale)
-    p, u = np.clip((positive - mean) / scale, -8, 8), np.clip((unlabelled - mean) / scale, -8, 8)
+    mean, scale = unlabelled.mean(0, dtype=float).astype(np.float32), unlabelled.std(0, dtype=float).astype(np.float32)
+    scale = np.where(scale < 1e-4, np.float32(np.inf), scale)
+    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     rng, w, m, v, t = np.random.default_rng(seed), np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1), 0
     w[-1] = np.log(prior / (1 - prior))
     steps = max(1, len(u) // BATCH)
