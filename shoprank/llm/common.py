@@ -93,14 +93,15 @@ def schema_of(df: DataFrame, more: str) -> StructType:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """All columns of a row in the struct `row`, with doc_id, lang and text beside it, so that no added name clashes."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    """Text, doc_id and lang of every row with all its columns but the text in the struct `row`, so that no added name clashes."""
+    names = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     beside = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("doc_id", "lang", "text")]
     return docs.select(F.struct(*names).alias("row"), *beside)
 
 
-def unpacked(rows: DataFrame) -> DataFrame:
-    return rows.select("row.*")
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that `packed` was given, in their order."""
+    return rows.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns])
 
 
 def per_text(docs: DataFrame, columns: list[str], fn: Callable[[str], tuple], schema: str) -> DataFrame:

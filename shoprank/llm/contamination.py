@@ -99,7 +99,7 @@ def find_matches(docs: DataFrame, bench: DataFrame, columns: list[str] | None =
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """Documents in which no benchmark window occurs; columns and kept rows stay as they are."""
-    return unpacked(find_matches(packed(docs), bench, ["row"]).where(~F.col("contaminated")))
+    return unpacked(find_matches(packed(docs), bench, ["row", "text"]).where(~F.col("contaminated")), docs.columns)
 
 
 def _runs(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -188,7 +188,7 @@ def predict(docs: DataFrame, trained: tuple[list[str], np.ndarray, np.ndarray],
     """`columns` of every row with lang_pred and score (the posterior probability of lang_pred) from its whole text."""
     langs, p, prior = trained
     box = docs.sparkSession.sparkContext.broadcast(with_extra(p))
-    kept = docs.select(*columns, "text")
+    kept = docs.select(*columns, F.col("text").alias("__text"))
 
     def run(batches):
         lattice, known, logs = Lattice(model), {}, np.zeros((0, len(langs)))
@@ -234,5 +234,5 @@ def keep_known(docs: DataFrame, model: str, least: float = 0.5) -> DataFrame:
 
     Columns and kept rows stay as they are.
     """
-    found = identify(packed(docs), model, ["row"])
-    return unpacked(found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)))
+    found = identify(packed(docs), model, ["row", "text"])
+    return unpacked(found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)), docs.columns)

@@ -233,4 +233,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     placed = _components(scratch, sets)
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "at")
     kept = placed.where("comp is not null").groupBy("comp").agg(F.min(order).alias("first")).select("first.at").unionByName(placed.where("comp is null").select("at"))
-    return unpacked(sets.join(kept, "at", "left_semi"))
+    return unpacked(sets.join(kept, "at", "left_semi"), docs.columns)
