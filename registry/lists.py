@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from registry import cte, query
 from registry.candidates import NAMES, candidates
 from registry.preparation import _hash_sql
-from registry.tables import RETAIL, retail, retail_fold, retail_specs
+from registry.tables import RETAIL, retail_fold, retail_specs, stored_retail
 from shoprank.operators import diagnostics, metrics, recommend
 from shoprank.operators.folds import tag_folds
 from shoprank.schema import FoldInputs
@@ -210,10 +210,12 @@ def _(spark, d):
     from shoprank.operators.shared import top_per_group
 
     open_end = fold_specs(RETAIL.periods.last_day, None, RETAIL.periods.held_out_weeks, RETAIL.periods.count, False)
-    tagged = tag_folds(retail(spark, d), open_end)
-    counts = tagged.filter("split = 'train'").groupBy("fold", "customer_id", "article_id").agg(F.count("*").alias("n"))
+    tx, day = stored_retail(spark, d), F.col("t_dat")
+    pairs = tx.groupBy("customer_id", "article_id").agg(*[F.count_if(spec.in_train(day)).alias(spec.fold) for spec in open_end])
+    each = F.explode(F.array(*[F.struct(F.lit(spec.fold).alias("fold"), F.col(spec.fold).alias("n")) for spec in open_end])).alias("e")
+    counts = pairs.select("customer_id", "article_id", each).select("e.fold", "customer_id", "article_id", "e.n").filter("n > 0")
     recs = top_per_group(counts, ["fold", "customer_id"], [F.col("n").desc(), F.col("article_id")], K, "pos")
-    return recommend.evaluate(recs, tagged.filter("split = 'val'"), K, keys=["fold"])
+    return recommend.evaluate(recs, tag_folds(tx, open_end).filter("split = 'val'"), K, keys=["fold"])
 
 
 def _register_metric(name: str, fn, column: str, source: str, out: str) -> None:
@@ -331,7 +333,7 @@ def fold_sources(spark, d) -> tuple[DataFrame, DataFrame]:
     from shoprank.operators.retrieval import popularity, repurchase
     from shoprank.operators.union import source_flags, union_candidates
 
-    tx, parts = retail(spark, d), []
+    tx, parts = stored_retail(spark, d), []
     for spec in retail_specs(submission=False):
         f = spec_inputs(spec, tx, adapters.retail_articles(spark, d), adapters.retail_customers(spark, d))
         both = {"repurchase": repurchase(f, RETAIL.retrieval.repurchase), "popularity": popularity(f, RETAIL.retrieval.popularity, RETAIL.retrieval.popularity_weeks)}

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoprank.functions.columns import price_tier
+from shoprank.functions.session import written
 from shoprank.operators.eda import consistency
 from shoprank.operators.folds import FoldSpec
 from shoprank.operators.shared import top_per_group
@@ -120,10 +121,13 @@ def attribute_loyalty(tx: DataFrame, articles: DataFrame, specs: Sequence[FoldSp
     people = per_fold(_first_dates(tx, [cols.user], "first_day", cols.date), "first_day", [], "n_customers")
     bought = next_pairs(tx, specs, cols)
     sizes = bought.groupBy("fold").agg(F.count("*").alias("n_next")).join(people, "fold")
-    tagged = (bought.join(values, cols.item).join(owned, [cols.user, "attribute", "value"], "left")
-              .join(buyers, ["fold", "attribute", "value"], "left"))
-    sums = tagged.groupBy("fold", "attribute").agg(
-        F.count_if(F.col("first_value") <= F.col("cut")).alias("matched"), F.avg("buyers").alias("mean_buyers"))
+    # counted per value before the few (fold, attribute, value) rows of `buyers` are joined
+    by_value = (bought.join(values, cols.item).join(owned, [cols.user, "attribute", "value"], "left").groupBy("fold", "attribute", "value")
+                .agg(F.count_if(F.col("first_value") <= F.col("cut")).alias("matched"), F.count("*").alias("n"))
+                .join(buyers, ["fold", "attribute", "value"], "left"))
+    sums = by_value.groupBy("fold", "attribute").agg(
+        F.sum("matched").alias("matched"),
+        F.try_divide(F.sum(F.col("n") * F.col("buyers")), F.sum(F.when(F.col("buyers").isNotNull(), F.col("n")))).alias("mean_buyers"))
     return sums.join(sizes, "fold").select(
         "fold", "attribute", (100.0 * F.col("matched") / F.col("n_next")).alias("match_pct"),
         F.try_divide(100.0 * F.col("mean_buyers"), F.col("n_customers")).alias("chance_pct"))
@@ -185,10 +189,10 @@ def behaviour_consistency(tx: DataFrame, articles: DataFrame, specs: Sequence[Fo
                           cols: Columns = Columns()) -> DataFrame:
     """Observed and chance agreement of price tier, channel and category, per window."""
     price, channel = F.col("price"), F.col("sales_channel_id").cast("double")
-    stats = _user_fold_stats(tx, specs, {
+    stats = written(_user_fold_stats(tx, specs, {
         "known_rows": lambda known, held: F.count_if(known), "held_rows": lambda known, held: F.count_if(held),
         "p0": lambda known, held: F.avg(F.when(known, price)), "p1": lambda known, held: F.avg(F.when(held, price)),
-        "c0": lambda known, held: F.avg(F.when(known, channel)), "c1": lambda known, held: F.avg(F.when(held, channel))}, cols)
+        "c0": lambda known, held: F.avg(F.when(known, channel)), "c1": lambda known, held: F.avg(F.when(held, channel))}, cols))
     before, after = stats.filter(F.col("known_rows") > 0), stats.filter(F.col("held_rows") > 0)
     quantile = (lambda q: F.percentile("p0", F.lit(q))) if exact_cuts else (lambda q: F.percentile_approx("p0", q, 10000))
     cuts = before.groupBy("fold").agg(quantile(0.33).alias("low"), quantile(0.66).alias("high"))

@@ -101,3 +101,35 @@ def test_every_source_keeps_the_contract(make_fold):
         assert got.columns == ["customer_id", "article_id", "rank", "source"]
         lists = got.groupBy("customer_id").agg(F.sort_array(F.collect_list("rank")).alias("r")).collect()
         assert lists and all(r["r"] == list(range(1, len(r["r"]) + 1)) and len(r["r"]) <= 3 for r in lists)
+
+
+def test_factor_lists_equal_the_full_product(spark, make_fold):
+    baskets = _baskets()
+    f = make_fold([(u, i, "09-10") for u, items in baskets.items() for i in items])
+    model, _, _ = retrieval.als_model(f, rank=4, iters=2)
+    full = {r["_u"]: [x["rating"] for x in r["recommendations"]] for r in model.recommendForAllUsers(6).collect()}
+    found = retrieval.nearest_by_factors(model.userFactors, model.itemFactors, 6, size=5)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["_u"], []).append(r["score"])
+    assert got.keys() == full.keys()
+    for user, scores in got.items():
+        assert sorted(scores, reverse=True)[:6] == pytest.approx(full[user], abs=1e-4)
+    plan = retrieval.als_graph(f, 6, 4, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    lists = rows(retrieval.als_graph(f, 6, 4, 2), "customer_id", "rank", "article_id")
+    assert len(lists) == 6 * len(baskets) and len({(u, i) for u, _, i in lists}) == len(lists)
+
+
+def test_wide_categoricals_and_one_step_scores(spark):
+    from shoprank.operators import ranker
+
+    table = spark.range(3000).selectExpr("concat('u', id % 60) AS customer_id", "concat('i', id div 60) AS article_id", "cast(id % 500 AS double) AS f0",
+                                         "cast(hash(id) % 100 AS double) AS f1", "cast(id % 500 < 60 AS int) AS label")
+    model = ranker.LambdaRanker(categorical_features=["f0"], rounds=4, max_depth=3, min_child_samples=5).fit(table)
+    state = model._vectors(table.select("customer_id", "article_id", "f0", "f1")).withColumn("score", F.lit(0.0))
+    for tree, values, _ in model.trees:
+        state = ranker.step(state, tree, values)
+    want = {r[:2]: r[2] for r in rows(state, "customer_id", "article_id", "score")}
+    got = {r[:2]: r[2] for r in rows(model.transform(table), "customer_id", "article_id", "score")}
+    assert got == pytest.approx(want) and len(set(got.values())) > 1
