@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoprank.llm import contamination, language_model, languages, ngram_join, pieces, pii, quality, repeats, topk, url_lists
+from shoprank.llm import contamination, language_model, languages, ngram_join, oracles, pieces, pii, quality, repeats, topk, url_lists
 from shoprank.llm.common import id_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.SQL)
 
 
 def query(fn):
@@ -56,7 +56,7 @@ def op7_pieces(spark, d):
 def op9_contamination(spark, d):
     """Benchmark windows in every document."""
     found = contamination.find_matches(table(spark, d, "documents"), table(spark, d, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), hex_of(F.array_join("item_ids", ",")).alias("items_sha256"), "contaminated", "longest")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), hex_of(F.array_join("item_ids", ",")).alias("items_sha256"), "contaminated")
 
 
 @query
@@ -69,7 +69,7 @@ def op10_topk(spark, d):
 @query
 def op1_ngram_join(spark, d):
     """Near-duplicate groups of all documents."""
-    return ngram_join.near_duplicates(table(spark, d, "documents"))
+    return ngram_join.near_duplicates(table(spark, d, "documents")).drop("class_id")
 
 
 @query
