@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ EM_ROUNDS = 2
 UNKNOWN, SMOOTH, PLAIN = 1e-7, 0.02, 32
 #: words a task remembers before it starts anew (bounds its memory, changes no result)
 REMEMBER = 200_000
+#: odd factor of the rolling hash under which pieces are looked up
+FACTOR = 0x9E3779B97F4A7C15
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -37,16 +40,28 @@ class Lattice:
         self.ids = {p: k for k, p in enumerate(names)}
         self.size = len(names)                                # two more columns: unknown characters, and no edge
         self.longest = max(map(len, names))
+        self.index = pd.Index([self.hash_of(p) for p in names], dtype="uint64")
+        if not self.index.is_unique:
+            raise ValueError("two pieces have one hash")
+
+    @staticmethod
+    def hash_of(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * FACTOR + ord(c) + 1) % 2**64
+        return h
 
     def edges(self, words: list[str]) -> np.ndarray:
         """Piece of [word, start, length - 1] for marked words of one length."""
         n, length = len(words), len(words[0])
-        reach, get, none = min(self.longest, length), self.ids.get, self.size + 1
-        flat = [get(w[i : i + k], none) if k > 1 else get(w[i], self.size) for w in words for i in range(length) for k in range(1, min(reach, length - i) + 1)]
-        at = [(i, k - 1) for i in range(length) for k in range(1, min(reach, length - i) + 1)]
-        out = np.full((n, length, reach), none, np.int32)
-        i, k = np.array(at).T
-        out[:, i, k] = np.array(flat, np.int32).reshape(n, -1)
+        reach = min(self.longest, length)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).astype(np.uint64) + np.uint64(1)
+        out = np.full((n, length, reach), self.size + 1, np.int32)
+        h = np.zeros((n, length), np.uint64)
+        for k in range(reach):
+            h = h[:, : length - k] * np.uint64(FACTOR) + chars[:, k:]
+            found = self.index.get_indexer(h.ravel()).reshape(h.shape)
+            out[:, : length - k, k] = np.where(found < 0, self.size + (k > 0), found)
         return out
 
 
@@ -168,10 +183,11 @@ def train(docs: DataFrame, model: str, rounds: int = EM_ROUNDS) -> tuple[list[st
                                 q = probs[:, k : k + 1]
                                 fw, bw = forward(e, q)[:, :, 0], backward(e, q)[:, :, 0]
                                 each = n[own] / fw[-1]
+                                weight = q[:, 0][e]
                                 for i in range(e.shape[1]):
                                     for j in range(min(e.shape[2], e.shape[1] - i)):
-                                        ids = e[:, i, j]
-                                        total[k] += np.bincount(ids, each * fw[i] * q[ids, 0] * bw[i + j + 1], total.shape[1])
+                                        weight[:, i, j] *= each * fw[i] * bw[i + j + 1]
+                                total[k] += np.bincount(e.ravel(), weight.ravel(), total.shape[1])
             lang, piece = np.nonzero(total[:, : table.size])
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(piece), pa.array(total[lang, piece])], ["lang", "piece", "n"])
 
