@@ -129,7 +129,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _rarest(texts: DataFrame) -> DataFrame:
-    """(shingle, node, n): the signatures of the finest partition, one shingle to a part, rarest first.
+    """(shingle, node, n, c): the signatures of the finest partition, one shingle to a part, rarest first.
 
     A set of n shingles shares at least 3/4 n of them with a partner. What occurs in one set only is not
     shared; of its c other shingles, the c - 3/4 n + 1 rarest hold one of any partner's. A passage that many
@@ -146,7 +146,7 @@ def _rarest(texts: DataFrame) -> DataFrame:
     by_shingle, own = Window.partitionBy("shingle"), Window.partitionBy("node")
     shared = every.withColumn("df", F.count("*").over(by_shingle)).where("df > 1")
     ranked = shared.withColumns({"c": F.count("*").over(own), "k": F.row_number().over(own.orderBy("df", "shingle"))})
-    return ranked.where("k <= c - ceil(n * 3 / 4) + 1").select("shingle", "node", "n")
+    return ranked.where("k <= c - ceil(n * 3 / 4) + 1").select("shingle", "node", "n", "c")
 
 
 def _components(scratch: Scratch, sets: DataFrame) -> DataFrame:
@@ -155,9 +155,10 @@ def _components(scratch: Scratch, sets: DataFrame) -> DataFrame:
     shared = scratch.write(_tokens(sets).withColumns({"lo": F.min("node").over(by_token), "hi": F.max("node").over(by_token)}).where("lo <> hi").select("token", "node", "band").distinct())
     df = shared.groupBy("token").agg(F.count("*").alias("df"))
     own = Window.partitionBy("node", "band")
-    ranked = shared.join(df, "token").withColumns({"c": F.count("*").over(own), "k": F.row_number().over(own.orderBy("df", "token"))})
+    # a set that many others are edits of shares most of its signatures with most of them
+    ranked = shared.join(df, "token").withColumns({"c": F.count("*").over(own), "k": F.row_number().over(own.orderBy("df", "token")), "central": F.sum("df").over(own)})
     need = (1 + F.floor(F.pow(F.lit(2.0), F.col("band").cast("double")) / 24)).cast("int")
-    buckets = scratch.write(ranked.where(F.col("k") <= F.col("c") - need + 1).select("token", "node"))
+    buckets = scratch.write(ranked.where(F.col("k") <= F.col("c") - need + 1).select("token", "node", "central"))
     alive = buckets.select("node").distinct()
     texts = scratch.write(_with_sketch(sets.where("node is not null").join(alive, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text"))))
     scratch.drop(shared)
@@ -181,15 +182,17 @@ def _components(scratch: Scratch, sets: DataFrame) -> DataFrame:
 
     for r in range(STAR_ROUNDS):
         m = scratch.write(members())
-        lead = m.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("leader"), F.col("comp").alias("l_comp"))).alias("l")).select("token", "l.leader", "l.l_comp")
+        first_of = F.col("central") if r == 0 else F.xxhash64("node", F.lit(r))
+        lead = m.groupBy("token").agg(F.max(F.struct(first_of.alias("h"), F.col("node").alias("leader"), F.col("comp").alias("l_comp"))).alias("l")).select("token", "l.leader", "l.l_comp")
         votes = m.join(lead, "token").where("comp <> l_comp").groupBy("node", "leader").agg(F.count("*").alias("votes"))
         best = votes.groupBy("node").agg(F.max(F.struct("votes", "leader")).alias("v")).select(F.col("v.leader").alias("a"), F.col("node").alias("b"))
         if not connect(best):
             break
     left = scratch.write(members().select("node", "comp").distinct())
     rare = scratch.write(_rarest(left.join(texts, "node").select("node", "n", "text")).join(left, "node"))
-    x, y = (rare.select("shingle", F.col("node").alias(k), F.col("comp").alias(f"comp_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
-    connect(x.join(y, "shingle").where("a < b and comp_a <> comp_b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select("a", "b").distinct())
+    x, y = (rare.select("shingle", F.col("node").alias(k), F.col("comp").alias(f"comp_{k}"), F.col("n").alias(f"n_{k}"), F.col("c").alias(f"c_{k}")) for k in "ab")
+    met = x.join(y, "shingle").where("a < b and comp_a <> comp_b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b) and 7 * least(c_a, c_b) >= 3 * (n_a + n_b)")
+    connect(met.select("a", "b").distinct())
 
     rows = sets.select("doc_id", "n", "node", "at")
     placed = rows.withColumn("comp", F.col("node")) if comp is None else rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -209,8 +212,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     group names it, or null if there is none. Repeated rows stay.
 
     Equal sets are one node. Signatures are grouped, and only nodes that share enough of them with others go
-    on, each with its rarest ones. Within such a bucket everything is compared with one leader first (other
-    leaders in further rounds); what this connects is not compared again. The sets of buckets that still hold
+    on, each with its rarest ones. Within such a bucket everything is compared with one leader first: the set
+    that shares most with others, then one by hash. What this connects is not compared again. The sets of buckets that still hold
     several components are cut to the finest partition, one shingle to a part, and those that share one of
     their rarest shared shingles are compared, so no link between components is missed.
     """
