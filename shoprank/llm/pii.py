@@ -10,15 +10,26 @@ from pyspark.sql import functions as F
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+#: length of an IBAN -> codes of the countries that have it
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_CODES = {n: codes.replace(" ", "|") for n, codes in IBAN_LENGTHS.items()}
+#: codes without a known length take the longest run
+_IBAN = "|".join([*[rf"(?:{codes})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in _CODES.items()],
+                  rf"(?!{'|'.join(_CODES.values())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+"])
 #: kind -> pattern, in the order of the output. Loops are possessive where giving back cannot help, and a
 #: match begins where its first run begins (or where the last match ended), so that a long run without a
-#: match is read once and no pattern recurses.
+#: match is read once and no pattern recurses. An IBAN is looked up ahead (group 1) and only its first four
+#: characters are consumed, so that one that fails its checksum hides none that begins within it.
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": _PHONE,
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_IBAN})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
 }
 #: cheap tests that a text can hold the kind at all
@@ -69,17 +80,27 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def _spans(kind: str, text: Column) -> Column:
-    """Confirmed matches with their place: gaps and matches alternate, so lengths add up to the places."""
-    pattern = PATTERNS[kind]
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    """Confirmed matches with their place: gaps and consumed texts alternate, so lengths add up to the places."""
+    pattern, ahead = PATTERNS[kind], kind == "iban"
+    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(1 if ahead else 0)), F.split(text, pattern, -1)
+    none = F.array().cast("array<struct<start: int, text: string>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start, m = acc["at"] + F.length(x["g"]), x["m"]
+        new = m.isNotNull() & _valid(kind, m)
+        found = acc["found"]
+        if ahead:
+            over, known = start < acc["end"], m.rlike(f"^(?:{'|'.join(_CODES.values())})")
+            new &= ~over | (known & ~acc["known"])
+            found = F.when(new & over, F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+        return F.struct(
+            (start + F.coalesce(F.least(F.length(m), F.lit(4)) if ahead else F.length(m), F.lit(0))).alias("at"),
+            *([F.when(new, start + F.length(m)).otherwise(acc["end"]).alias("end"), F.when(new, known).otherwise(acc["known"]).alias("known")] if ahead else []),
+            F.concat(found, F.when(new, F.array(F.struct(start.alias("start"), m.alias("text")))).otherwise(none)).alias("found"))
+
     placed = F.aggregate(
         F.arrays_zip(F.transform(matches, lambda m: m).alias("m"), F.slice(gaps, 1, F.greatest(F.size(matches), F.lit(1))).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, text: string>>").alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.concat(acc["found"], F.when(x["m"].isNotNull() & _valid(kind, x["m"]),
-                                         F.array(F.struct((acc["at"] + F.length(x["g"])).alias("start"), x["m"].alias("text")))).otherwise(
-                F.array().cast("array<struct<start: int, text: string>>"))).alias("found")))["found"]
+        F.struct(F.lit(0).alias("at"), *([F.lit(0).alias("end"), F.lit(True).alias("known")] if ahead else []), none.alias("found")), step)["found"]
 
     def scored(s: Column) -> Column:
         n = F.length(s["text"])
@@ -99,7 +120,8 @@ def find_spans(docs: DataFrame, name: str = "pii") -> DataFrame:
     """Adds the column `name`: array of (kind, start, end, score) over every whole text, places in code points, end exclusive.
 
     Kinds come in the order of PATTERNS, each from left to right. A match that fails its checksum or its
-    bounds is dropped and not tried again shorter; kinds beyond the four base ones also need THRESHOLD, for
+    bounds is dropped and not tried again shorter. An IBAN ends at its country's length; every place where one
+    can begin is tried; of overlapping ones the first stays, but one of a code without a known length gives way. Kinds beyond the four base ones also need THRESHOLD, for
     which a word of CONTEXT within REACH characters counts BOOST. Null and empty texts have no spans. Rows
     are not shuffled and keep their columns; a column of that name is replaced.
     """

@@ -50,6 +50,22 @@ def test_checksums_and_context(spark):
     assert score[0] > score[1]
 
 
+def test_ibans_end_at_their_length(spark):
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "NO93 8601 1117 947", "BE68 5390 0754 7034"]
+    after = [" Please pay", " The bank", " EUR 500", " 500", " 2 A", ", X", "", " ok", " A", "\n12"]
+    texts = [f"{before}{i}{x}" for i in ibans for x in after for before in ("to ", "AB12 ", "DE12 DE34 ", "é REF X1 ")]
+    want = [[(before, before + len(i))] for i in ibans for x in after for before in (3, 5, 10, 9)]
+    texts += [" ".join(ibans), "DE89 3704 0044 0532 0130 0 EUR", "DE89370400440532013000EUR 1", "DE88 3704 0044 0532 0130 00 Please", "AB12 " * 4000 + ibans[0]]
+    ends = [sum(len(x) + 1 for x in ibans[: k + 1]) - 1 for k in range(len(ibans))]
+    want += [[(e - len(i), e) for i, e in zip(ibans, ends)], [], [], [], [(20_000, 20_027)]]
+    docs = documents(spark, list(enumerate(texts)), extra=False)
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["pii"] if s["kind"] == "iban"] for r in pii.find_spans(docs).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == want[k], t[:80]
+    by = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert by[0] == "to [IBAN] Please pay" and by[8] == "to [IBAN] EUR 500"
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [*AWKWARD, (30, "é a@b.cd, 1.2.3.4 😀 +1 415 555 2671"), (31, "+1 4111 1111 1111 1111")]
     docs = documents(spark, rows)
