@@ -49,17 +49,44 @@ def _matrix(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Mean and scale of every feature over all rows; a feature that never varies has an infinite scale."""
+    def run(batches):
+        n, total, squares, least, most = 0, np.zeros(N_FEATURES), np.zeros(N_FEATURES), np.full(N_FEATURES, np.inf), np.full(N_FEATURES, -np.inf)
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            for t in batch.column(0).to_pylist():
+                x = features(t).astype(float)
+                n, total, squares = n + 1, total + x, squares + x * x
+                np.minimum(least, x, out=least)
+                np.maximum(most, x, out=most)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_FEATURES)), pa.array(np.full(N_FEATURES, n)), *map(pa.array, (total, squares, least, most))], ["k", "n", "total", "squares", "least", "most"])
+
+    sums = docs.select("text").mapInArrow(run, "k long, n long, total double, squares double, least double, most double").groupBy("k").agg(
+        *[F.sum(c).alias(c) for c in ("n", "total", "squares")], F.min("least").alias("least"), F.max("most").alias("most")).toPandas().sort_values("k")   # a row per feature
+    if not len(sums):
+        return None
+    n, total, squares, least, most = (sums[c].to_numpy(float) for c in ("n", "total", "squares", "least", "most"))
+    mean = total / n
+    scale = np.sqrt(np.maximum(squares / n - mean * mean, 0))
+    return mean.astype(np.float32), np.where((least < most) & (scale > 0), scale, np.inf).astype(np.float32)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = 7,
+        stats: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(mean, scale, weights, intercept) that minimise prior R_p+ + max(0, R_u- - prior R_p-) with logistic loss.
 
     Where the bracket is negative in a batch, the step climbs it instead (the non-negative correction).
+    stats: mean and scale of the features; without them those of `unlabelled`.
     """
-    mean, scale = unlabelled.mean(0, dtype=float).astype(np.float32), unlabelled.std(0, dtype=float).astype(np.float32)
-    scale = np.where(scale < 1e-4, np.float32(np.inf), scale)
+    if stats is None:
+        mean, scale = unlabelled.mean(0, dtype=float).astype(np.float32), unlabelled.std(0, dtype=float).astype(np.float32)
+        stats = mean, np.where(scale < 1e-4, np.float32(np.inf), scale)
+    mean, scale = stats
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     rng, w, m, v, t = np.random.default_rng(seed), np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1), 0
     w[-1] = np.log(prior / (1 - prior))
@@ -90,7 +117,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None
     bucket of 4 is 2; a missing id counts as bucket 0. Trusted positives are labelled 1; the unlabelled texts
     are taken from all others that are not held out, whatever their label. The class prior is the share of 1
     among the labels of rows not held out. The fit takes at most `positives` and `unlabelled` rows, those with
-    the smallest hash of their id; the scores cover every row. Without positives or unlabelled rows the score
+    the smallest hash of their id; the features are scaled by their statistics over all rows not held out; the scores cover every row. Without positives or unlabelled rows the score
     is the prior (0.5 without labels). Null and empty texts are scored as empty; repeated rows stay.
     """
     columns = columns or ["doc_id"]
@@ -107,7 +134,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, columns: list[str] | None
         return docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi")   # at most `positives` or `unlabelled` ids
 
     p, u = _matrix(texts(chosen)), _matrix(texts(others))
-    model = fit(p, u, prior) if len(p) and len(u) else (np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), float(np.log(prior / (1 - prior))))
+    model = fit(p, u, prior, stats=statistics(docs.where(id_bucket("doc_id", 4) != 2))) if len(p) and len(u) else (np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), float(np.log(prior / (1 - prior))))
     box = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.withColumn("held_out", id_bucket("doc_id", 4) == 2).select(*columns, "held_out", "text")
     names = [*columns, "held_out"]
