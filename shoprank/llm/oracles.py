@@ -36,3 +36,44 @@ WITH v AS (SELECT DISTINCT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN emb
 scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10"""
+
+
+# One node a row: level 0 holds the leaves, a tree with more than one node gets another level. `ups` has what stands left and right
+# of a node in its run. The checksum goes through the bits of the decimal id.
+SQL["op11_merkle"]=f"""
+WITH RECURSIVE plain AS (SELECT doc_id, coalesce('+' || lang, '') AS tree, text,
+  concat('', {', '.join(f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || {f}, '-')" for f in ('doc_id', 'source', 'lang', 'n_chars'))}) AS head FROM documents),
+ided AS (SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(text) || ':' || translate(text, '{U}', '{L}'), '-')) AS changed,
+  xor(list_reduce([4294967295] || [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')],
+    lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 3 = 0 AS tampered FROM plain),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM ided),
+nodes(tree, lvl, pos, n, h) AS (SELECT tree, 0, pos, n, leaf FROM leaves
+  UNION ALL SELECT tree, lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY ALL),
+tops AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+uppers(lvl, pos, n, h) AS (SELECT 0, pos, n, h FROM tops
+  UNION ALL SELECT lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM uppers WHERE n > 1 GROUP BY ALL),
+root AS (SELECT h AS root FROM uppers WHERE n = 1),
+every AS (SELECT tree, lvl, pos, n, h FROM nodes UNION ALL SELECT NULL, lvl, pos, n, h FROM uppers),
+ups AS (SELECT tree, lvl, pos, n, coalesce(string_agg(h, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM every
+  WINDOW r AS (PARTITION BY tree, lvl, pos // 8 ORDER BY pos)),
+walk(doc_id, own, tree, lvl, pos, proof, h) AS (SELECT doc_id, tree || ' ' || pos, tree, 0, pos, '', CASE WHEN tampered THEN changed ELSE leaf END FROM leaves
+  UNION ALL SELECT w.doc_id, w.own, w.tree, w.lvl + 1, w.pos // 8, w.proof || u.l || u.r, sha256(u.l || w.h || u.r)
+  FROM walk w JOIN ups u ON u.tree = w.tree AND u.lvl = w.lvl AND u.pos = w.pos WHERE u.n > 1),
+inner_ends AS (SELECT w.*, t.pos AS place, t.h AS subroot FROM walk w JOIN (SELECT tree, max(lvl) AS lvl FROM nodes GROUP BY 1) e USING (tree, lvl) JOIN tops t USING (tree)),
+climb(own, lvl, pos, proof, h) AS (SELECT own, 0, place, proof, h FROM inner_ends
+  UNION ALL SELECT w.own, w.lvl + 1, w.pos // 8, w.proof || u.l || u.r, sha256(u.l || w.h || u.r)
+  FROM climb w JOIN ups u ON u.tree IS NULL AND u.lvl = w.lvl AND u.pos = w.pos WHERE u.n > 1),
+ends AS (SELECT c.* FROM climb c WHERE c.lvl = (SELECT max(lvl) FROM uppers))
+SELECT l.doc_id, l.leaf, i.subroot, root.root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = root.root AS verified
+FROM leaves l JOIN inner_ends i ON i.own = l.tree || ' ' || l.pos JOIN ends e ON e.own = i.own, root"""
+
+SQL["op12_infill"]="""
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+drawn AS (SELECT *, len(t) AS n, [CAST('0x' || substr(d, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS h FROM cut),
+ranked AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parted AS (SELECT *, array_to_string(t[1:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:n], '') AS s FROM ranked)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parted"""

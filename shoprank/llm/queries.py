@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoprank.llm import contamination, language_model, languages, ngram_join, oracles, pieces, pii, quality, repeats, topk, url_lists
+from shoprank.llm import (contamination, infill, language_model, languages, merkle, ngram_join, oracles, pieces, pii, quality, repeats,
+                          topk, tree_bpe, url_lists)
 from shoprank.llm.common import id_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_model() -> str:
+    """Place of the public byte-level vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def hex_of(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
@@ -96,6 +104,30 @@ def op8_language_model(spark, d):
     return language_model.score_texts(table(spark, d, "documents"))
 
 
+@query
+def op11_merkle(spark, d):
+    """Manifest of all documents, and what a changed third of them folds to along the original paths."""
+    docs = table(spark, d, "documents")
+    fields = [F.translate("text", oracles.U, oracles.L) if f == "text" else F.col(f) for f in merkle.FIELDS]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf_digest(*fields))
+    proofs = merkle.manifest(docs.withColumn("changed", changed), keep=["doc_id", "changed"])
+    folded = merkle.fold(F.coalesce("row.changed", "leaf"), F.col("path"))
+    out = proofs.select("row.doc_id", "leaf", "subroot", "root", hex_of(merkle.siblings(F.col("path"))).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_infill(spark, d):
+    """Every document with its middle last, and the text rebuilt from that."""
+    return infill.fill_in_middle(table(spark, d, "documents"))
+
+
+@query
+def op13_tree_bpe(spark, d):
+    """Byte-level ids and decoded text of every document."""
+    return tree_bpe.encode_texts(table(spark, d, "documents"), byte_model())
+
+
 # The tables hold neither fetch times nor lists, so both follow from the pages: fetch days are spread over a year, and
 # hosts, their parent domains and sections seen in the pages are listed, removed and listed again on days of their own.
 @query
