@@ -171,12 +171,11 @@ def encode_texts(docs: DataFrame, model: str, columns: list[str] | None = None,
             texts = batch.column(2).to_pylist()
             short = [k for k, t in enumerate(texts) if len(t) <= part]
             done = dict(zip(short, map(result, coder().encode_batch([texts[k] for k in short])), strict=True))
-            # (row, text of a piece, its place, pieces, results); a row's own columns go with its first piece
+            # (row, text of a piece, its place, pieces, results)
             out = [(k, None, 0, 1, done[k]) if k in done else (k, piece, i, len(pieces), (None,) * (5 if with_ids else 3))
                    for k, t in enumerate(texts) for pieces in ([t] if k in done else halves(t, part),) for i, piece in enumerate(pieces)]
-            rows = pa.array([k if i == 0 else None for k, _, i, _, _ in out], pa.int64())
-            columns_ = [batch.column(0).take(rows).cast(target.field(0).type), batch.column(1).take(pa.array([o[0] for o in out], pa.int64())),
-                        [o[1] for o in out], [o[2] for o in out], [o[3] for o in out], *zip(*[o[4] for o in out])]
+            rows = pa.array([o[0] for o in out], pa.int64())
+            columns_ = [batch.column(0).take(rows).cast(target.field(0).type), batch.column(1).take(rows), [o[1] for o in out], [o[2] for o in out], [o[3] for o in out], *zip(*[o[4] for o in out])]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns_, target, strict=True)], schema=target)
 
     table = scratch.write(kept.mapInArrow(cut, first))
