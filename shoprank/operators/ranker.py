@@ -1,29 +1,30 @@
 """Training frame and the learning-to-rank model.
 
-The ranker is LambdaMART as a loop of Spark jobs: gradients by windows over the ranking groups,
-one regression tree per round by `pyspark.ml`, Newton steps per leaf by an aggregation. Rows stay
-distributed; the driver holds trees and leaf values.
+The ranker is LambdaMART as a loop of Spark jobs over blocks of binned rows (see `boosting`). Rows stay distributed; the
+driver holds trees and the histograms of the tree that grows.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from shoprank.functions.columns import unit_hash
-from shoprank.functions.session import checkpointed
+from shoprank.operators.boosting import Bins, Sweeps, Tree, boost, fit_bins, lay_out, received, shipped
 from shoprank.operators.recommend import backfill, top_k
 from shoprank.schema import Columns
 
+# Executors need no copy of this module on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: the column that tells training folds apart.
 FOLD = "_fold"
 
@@ -66,134 +67,107 @@ def prepare_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumns({n: F.coalesce(F.col(n).cast("float"), zero) for n in names})
 
 
-# --- gradients -----------------------------------------------------------------------------
-
-def _discount(pos: Column) -> Column:
-    return 1.0 / F.log2(pos + F.lit(1.0))
-
-
-def _pair(score: Column, pos: Column, label: Column, other: Column, best: Column) -> tuple[Column, Column]:
-    """Size of the push between a row and one of opposite label, and its curvature."""
-    lead = F.when(label == 1, score - other["score"]).otherwise(other["score"] - score)
-    wrong = 1.0 / (1.0 + F.exp(lead))
-    swap = F.abs(_discount(pos) - _discount(other["pos"])) / best
-    return swap * wrong, swap * wrong * (1.0 - wrong)
-
-
-def _ideal(n: Column, limit: int) -> Column:
-    totals = [0.0]
-    for i in range(1, limit + 1):
-        totals.append(totals[-1] + 1.0 / math.log2(i + 1))
-    return F.element_at(F.array(*[F.lit(t) for t in totals]), (F.least(n, F.lit(limit)) + 1).cast("int"))
-
-
-def lambda_gradients(state: DataFrame, group: Sequence[str], tie: str, truncation: int = 30) -> DataFrame:
-    """`state` with gradient `g` and curvature `h` of NDCG for every row.
-
-    Only pairs with a member among the first `truncation` rows of the group count. These heads
-    are a short array beside each row; rows below push the heads back through sums per (group,
-    head position). Work per row is bounded by `truncation`, whatever the size of its group.
-    """
-    inside, whole = Window.partitionBy(*group).orderBy(F.col("score").desc(), F.col(tie)), Window.partitionBy(*group)
-    ranked = state.withColumn("pos", F.row_number().over(inside))
-    is_head = F.col("pos") <= truncation
-    head = F.struct("pos", "score")
-    ranked = ranked.withColumns({
-        "_n_pos": F.sum("label").over(whole),
-        "_up": F.collect_list(F.when(is_head & (F.col("label") == 1), head)).over(whole),
-        "_down": F.collect_list(F.when(is_head & (F.col("label") == 0), head)).over(whole)})
-    ranked = ranked.withColumns({
-        "_opp": F.when(F.col("label") == 1, F.col("_down")).otherwise(F.col("_up")),
-        "_best": _ideal(F.col("_n_pos"), truncation)}).drop("_up", "_down", "_n_pos")
-    score, pos, label, best = F.col("score"), F.col("pos"), F.col("label"), F.col("_best")
-
-    def add(acc, other):
-        push, curve = _pair(score, pos, label, other, best)
-        return F.struct((acc["g"] + push).alias("g"), (acc["h"] + curve).alias("h"))
-
-    zero = F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h"))
-    own = ranked.withColumn("_own", F.aggregate("_opp", zero, add))
-    below = ranked.filter(~is_head).select(*group, "score", "pos", "label", "_best", F.explode("_opp").alias("_o"))
-    push, curve = _pair(score, pos, label, F.col("_o"), best)
-    returned = below.groupBy(*group, F.col("_o.pos").alias("pos")).agg(F.sum(push).alias("_g"), F.sum(curve).alias("_h"))
-    sign = F.when(label == 1, 1.0).otherwise(-1.0)
-    return (own.join(returned, [*group, "pos"], "left").fillna({"_g": 0.0, "_h": 0.0})
-            .withColumns({"g": sign * (F.col("_own.g") + F.col("_g")), "h": F.col("_own.h") + F.col("_h")})
-            .drop("_opp", "_best", "_own", "_g", "_h", "pos"))
-
-
-def group_ndcg(state: DataFrame, group: Sequence[str], tie: str, k: int = 12) -> float:
-    """Mean NDCG@k of the groups that hold a positive."""
-    inside = Window.partitionBy(*group).orderBy(F.col("score").desc(), F.col(tie))
-    gain = F.sum(F.when((F.col("pos") <= k) & (F.col("label") == 1), _discount(F.col("pos"))).otherwise(0.0))
-    per_group = (state.withColumn("pos", F.row_number().over(inside)).groupBy(*group)
-                 .agg(gain.alias("dcg"), F.sum("label").alias("n")).filter(F.col("n") > 0))
-    return per_group.agg(F.coalesce(F.avg(F.col("dcg") / _ideal(F.col("n"), k)), F.lit(0.0))).first()[0]
-
-
 # --- model ---------------------------------------------------------------------------------
 
 @dataclass(frozen=True)
 class RankerParams:
-    """Boosting parameters. Trees grow level by level, so depth 6 stands for at most 64 leaves.
+    """Boosting parameters.
 
-    `truncation` is part of the objective: only pairs with a member among the first rows of a group count.
+    `truncation` is part of the objective: only pairs with a member among the first rows of a group count. `max_depth` is
+    unbounded unless given; `num_leaves` bounds a tree, which grows best leaf first. `level_smoothing` is added to the
+    curvature by which levels of a categorical feature are ordered.
     """
 
     rounds: int = 400
     learning_rate: float = 0.05
-    max_depth: int = 6
+    num_leaves: int = 63
+    max_depth: int | None = None
     min_child_samples: int = 50
+    min_child_weight: float = 1e-3
     subsample: float = 0.8
     colsample: float = 0.8
     reg_lambda: float = 1.0
     truncation: int = 30
     max_bins: int = 64
+    level_smoothing: float = 10.0
     early_stopping_rounds: int | None = None
     eval_k: int = 12
-    checkpoint_every: int = 5
     seed: int = 42
 
+    def __post_init__(self):
+        if not 2 <= self.num_leaves <= 64:
+            raise ValueError("num_leaves must lie between 2 and 64: a tree's leaves are the bits of one word")
+
+
+class Forest:
+    """All trees as one table per feature: bin of the feature x tree -> leaves that stay possible.
+
+    A row's bins pick one word per tree and feature; and-ing the words leaves one bit, the row's leaf. Every feature is read once.
+    """
+
+    def __init__(self, trees: Sequence[Tree], bins: Bins):
+        self.bins, self.size = bins, len(trees)
+        self.values = np.zeros((len(trees), 64))
+        self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []
+        words: dict[int, dict[int, np.ndarray]] = {}
+        for t, tree in enumerate(trees):
+            self._add(t, tree, 0, [0], words)
+        for f, by_tree in sorted(words.items()):
+            used = np.array(sorted(by_tree))
+            self.tables.append((f, used, np.stack([by_tree[t] for t in used.tolist()], axis=1)))
+
+    def _add(self, t: int, tree: Tree, node: int, leaves: list[int], words: dict) -> int:
+        """Number the leaves below a node from left to right; returns them as a word."""
+        if tree.feature[node] < 0:
+            self.values[t, leaves[0]] = tree.value[node]
+            leaves[0] += 1
+            return 1 << (leaves[0] - 1)
+        left = self._add(t, tree, tree.left[node], leaves, words)
+        right = self._add(t, tree, tree.right[node], leaves, words)
+        f = tree.feature[node]
+        width = self.bins.width(self.bins.names[f])
+        goes_left = tree.left_bins[node] if node in tree.left_bins else np.arange(width) <= tree.cut[node]
+        word = words.setdefault(f, {}).setdefault(t, np.full(width, 2**64 - 1, np.uint64))
+        word &= np.where(goes_left, np.uint64(2**64 - 1 - right), np.uint64(2**64 - 1 - left))
+        return left | right
+
+    def scores(self, columns: Sequence[np.ndarray], rows: int = 1024) -> np.ndarray:
+        """Sum of the trees' leaf values for every row; `columns` are the features in the order of the bins."""
+        n = len(columns[0]) if columns else 0
+        out = np.zeros(n)
+        codes = {f: self.bins.codes(self.bins.names[f], columns[f]) for f, _, _ in self.tables}
+        offset = 64 * np.arange(self.size)
+        for a in range(0, n if self.size else 0, rows):
+            left = np.full((min(rows, n - a), self.size), 2**64 - 1, np.uint64)
+            for f, used, table in self.tables:
+                left[:, used] &= table[codes[f][a : a + rows]]
+            # trees of a single leaf have no table; their leaf is bit 0
+            leaf = np.bitwise_count((left & (~left + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+            out[a : a + rows] = self.values.reshape(-1)[leaf + offset].sum(axis=1)
+        return out
+
 
 @dataclass
 class LambdaRankModel:
     feature_cols: list[str]
-    preparation: PipelineModel
-    trees: list = field(default_factory=list)       # (tree model, leaf values, gain)
+    bins: Bins
+    trees: list[Tree] = field(default_factory=list)
     columns: Columns = Columns()
     history: list[float] = field(default_factory=list)
 
-    def _vectors(self, df: DataFrame) -> DataFrame:
-        narrow = df.select(*[c for c in df.columns if c not in self.feature_cols],
-                           *[F.col(c) for c in self.feature_cols])
-        return self.preparation.transform(prepare_matrix(narrow, self.feature_cols))
-
     def transform(self, features: DataFrame) -> DataFrame:
         """`(user, item, score)`; higher is better."""
-        cols = self.columns
-        vectors = self._vectors(features.select(cols.user, cols.item, *self.feature_cols))
-        rows = vectors.select(cols.user, cols.item, vector_to_array("features").alias("x"))
-        forest = [flat_tree(tree.trees[0], values) for tree, values, _ in self.trees]
-
-        def score(batches):
-            import numpy as np
+        cols, names = self.columns, self.feature_cols
+        rows = prepare_matrix(features.select(cols.user, cols.item, *names), names)
+        forest = shipped(features.sparkSession, Forest(self.trees, self.bins))
+        schema = StructType([*rows.schema.fields[:2], StructField("score", DoubleType())])
 
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = np.stack(batch["x"]) if len(batch) else np.zeros((0, 1))
-                total = np.zeros(len(x))
-                for feature, threshold, left, right, value, sets in forest:
-                    at = np.zeros(len(x), int)
-                    while (inner := feature[at] >= 0).any():
-                        f = np.maximum(feature[at], 0)
-                        v = x[np.arange(len(x)), f]
-                        goes_left = v <= threshold[at]
-                        for node, members in sets.items():
-                            goes_left = np.where(at == node, np.isin(v, members), goes_left)
-                        at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
-                    total += value[at]
-                yield batch.drop(columns="x").assign(score=total)
-
-        return rows.mapInPandas(score, StructType([*rows.schema.fields[:2], StructField("score", DoubleType())]))
+                found = received(forest).scores([batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(names))])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=schema.names)
+
+        return rows.mapInArrow(score, schema)
 
     def recommend(self, features: DataFrame, k: int = 12, users: DataFrame | None = None,
                   fallback: DataFrame | None = None) -> DataFrame:
@@ -202,77 +176,19 @@ class LambdaRankModel:
         return recs if fallback is None else backfill(recs, users, fallback, k, self.columns)
 
     def feature_importance(self, kind: str = "gain") -> DataFrame:
-        """`(feature, gain)` or `(feature, split)`, largest first."""
+        """`(feature, gain)` or `(feature, split)`, largest first: sums over the splits as the histograms gave them."""
         if kind not in ("gain", "split"):
             raise ValueError("kind must be 'gain' or 'split'")
         totals = dict.fromkeys(self.feature_cols, 0.0)
-        for tree, _, gain in self.trees:
-            if kind == "gain":
-                for i, share in zip(*_sparse(tree.featureImportances)):
-                    totals[self.feature_cols[int(i)]] += gain * float(share)
-            else:
-                for i in _split_features(tree.trees[0]):
-                    totals[self.feature_cols[i]] += 1
+        for tree in self.trees:
+            for f, gain in zip(tree.feature, tree.gain, strict=True):
+                if f >= 0:
+                    totals[self.feature_cols[f]] += gain if kind == "gain" else 1
         spark = SparkSession.getActiveSession()
         table = spark.createDataFrame(list(totals.items()), f"feature string, {kind} double")
         return table.orderBy(F.col(kind).desc(), "feature")
 
 
-def _sparse(vector) -> tuple:
-    return (vector.indices, vector.values) if hasattr(vector, "indices") else (range(len(vector)), vector)
-
-
-def _split_features(tree) -> list[int]:
-    """Feature index of every inner node of one tree."""
-    found, todo = [], [tree._call_java("rootNode")]
-    while todo:
-        node = todo.pop()
-        if node.subtreeDepth() > 0:
-            found.append(node.split().featureIndex())
-            todo += [node.leftChild(), node.rightChild()]
-    return found
-
-
-def flat_tree(tree, values: Sequence[float]) -> tuple:
-    """One tree as arrays by node: feature (-1: leaf), threshold, left, right, value, and the left categories of categorical splits.
-
-    Leaves are numbered from left to right, as the leaf column of a fitted tree numbers them.
-    """
-    import numpy as np
-
-    feature, threshold, left, right, value, sets, leaves = [], [], [], [], [], {}, 0
-
-    def add(node) -> int:
-        nonlocal leaves
-        k = len(feature)
-        for column, empty in ((feature, -1), (threshold, 0.0), (left, 0), (right, 0), (value, 0.0)):
-            column.append(empty)
-        if node.subtreeDepth() == 0:
-            value[k] = float(values[leaves])
-            leaves += 1
-            return k
-        split = node.split()
-        feature[k] = split.featureIndex()
-        if split.getClass().getSimpleName() == "CategoricalSplit":
-            sets[k] = np.array(list(split.leftCategories()))
-        else:
-            threshold[k] = split.threshold()
-        left[k] = add(node.leftChild())
-        right[k] = add(node.rightChild())
-        return k
-
-    add(tree._call_java("rootNode"))
-    return (*map(np.array, (feature, threshold, left, right, value)), sets)
-
-
-def step(state: DataFrame, tree, values: Sequence[float]) -> DataFrame:
-    """Add one tree's leaf values to the scores."""
-    leaf = vector_to_array("_leaf").getItem(0).cast("int")
-    value = F.element_at(F.array(*[F.lit(float(v)) for v in values]), leaf + 1)
-    return (tree.setLeafCol("_leaf").setPredictionCol("_p").transform(state)
-                .withColumn("score", F.col("score") + value).drop("_leaf", "_p"))
-
-
 class LambdaRanker:
     """Gradient-boosted trees on NDCG gradients."""
 
@@ -283,73 +199,24 @@ class LambdaRanker:
         self.columns = columns
         self.params = replace(RankerParams(), **params)
 
-    def _preparation(self, matrix: DataFrame, names: list[str]) -> PipelineModel:
-        stages, inputs = [], []
-        for name in names:
-            if name in self.categorical_features:
-                stages.append(StringIndexer(inputCol=name, outputCol=f"_ix_{name}", handleInvalid="keep"))
-                inputs.append(f"_ix_{name}")
-            else:
-                inputs.append(name)
-        return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(matrix)
-
     def fit(self, train: DataFrame, group_cols: Sequence[str] | None = None,
             eval_frame: DataFrame | None = None, eval_group_cols: Sequence[str] | None = None) -> LambdaRankModel:
         """Fit on `train`; `eval_frame` (with its own groups, if given) is watched for early stopping."""
         p, cols = self.params, self.columns
         group = list(group_cols or [cols.user])
-        eval_group = list(eval_group_cols or group)
         names = resolve_features(train, cols, self.feature_cols)
-        preparation = self._preparation(prepare_matrix(train, names), names)
-        model = LambdaRankModel(names, preparation, [], cols)
-
-        def start(df: DataFrame, keys: list[str]) -> DataFrame:
-            rows = model._vectors(df).select(*keys, cols.item, "label", "features")
-            return checkpointed(rows.withColumn("score", F.lit(0.0)).repartition(*keys))
-
-        state = start(train, group)
-        held = start(eval_frame, eval_group) if eval_frame is not None else None
-        # a categorical split needs a bin for each level
-        levels = [len(stage.labels) + 1 for stage in preparation.stages if hasattr(stage, "labels")]
-        bins = max([p.max_bins, *levels])
-        best, best_at = -1.0, 0
-        for r in range(p.rounds):
-            graded = lambda_gradients(state, group, cols.item, p.truncation)
-            # rows without curvature pull nowhere, but count as rows of their leaf
-            graded = graded.withColumn("_target", F.when(F.col("h") > 1e-12, F.col("g") / F.col("h")).otherwise(0.0)).persist()
-            tree = RandomForestRegressor(
-                featuresCol="features", labelCol="_target", weightCol="h", numTrees=1, maxDepth=p.max_depth,
-                minInstancesPerNode=p.min_child_samples, maxBins=bins, bootstrap=False,
-                subsamplingRate=p.subsample, featureSubsetStrategy=str(p.colsample), seed=p.seed + r).fit(graded)
-            values, gain = self._leaf_values(tree, graded)
-            graded.unpersist()
-            model.trees.append((tree, values, gain))
-            state = step(state, tree, values)
-            held = step(held, tree, values) if held is not None else None
-            if (r + 1) % p.checkpoint_every == 0:
-                state = checkpointed(state)
-                held = checkpointed(held) if held is not None else None
-            if held is not None:
-                model.history.append(group_ndcg(held, eval_group, cols.item, p.eval_k))
-                if model.history[-1] > best:
-                    best, best_at = model.history[-1], r + 1
-                elif p.early_stopping_rounds and r + 1 - best_at >= p.early_stopping_rounds:
-                    break
-        if held is not None and p.early_stopping_rounds:
-            model.trees = model.trees[:best_at]
-        return model
-
-    def _leaf_values(self, tree, graded: DataFrame) -> tuple[list[float], float]:
-        """Newton step of each leaf, and how much the tree lowers the loss. One row per leaf."""
-        p = self.params
-        leaf = vector_to_array("_leaf").getItem(0).cast("int")
-        sums = (tree.setLeafCol("_leaf").setPredictionCol("_p").transform(graded).groupBy(leaf.alias("leaf"))
-                .agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect())
-        values = [0.0] * (1 + max((row["leaf"] for row in sums), default=0))
-        for row in sums:
-            values[row["leaf"]] = p.learning_rate * row["g"] / (row["h"] + p.reg_lambda)
-        total_g, total_h = sum(r["g"] for r in sums), sum(r["h"] for r in sums)
-        gain = sum(r["g"] ** 2 / (r["h"] + p.reg_lambda) for r in sums) - total_g ** 2 / (total_h + p.reg_lambda)
-        # leaves no training row reached keep 0
-        n_leaves = tree.trees[0].numNodes // 2 + 1
-        return values + [0.0] * max(0, n_leaves - len(values)), gain
+        matrix = prepare_matrix(train, names)
+        bins = fit_bins(matrix, names, self.categorical_features, p.max_bins)
+
+        def blocks(df: DataFrame, keys: list[str], held: bool) -> DataFrame:
+            return lay_out(df, bins, keys, cols.item, F.xxhash64(*keys, cols.item), held)
+
+        rows = blocks(matrix, group, False)
+        if eval_frame is not None:
+            rows = rows.unionByName(blocks(prepare_matrix(eval_frame, names), list(eval_group_cols or group), True))
+        sweeps = Sweeps(rows, bins, p)
+        try:
+            trees, history = boost(sweeps, bins, p)
+        finally:
+            sweeps.close()
+        return LambdaRankModel(names, bins, trees, cols, history)
