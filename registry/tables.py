@@ -49,8 +49,9 @@ def event_specs(n_folds: int = 3) -> list[FoldSpec]:
     return fold_specs(EVENTS_END, None, 1, n_folds, False)
 
 
-def retail_fold(spark: SparkSession, d: str, index: int = 0) -> FoldInputs:
-    return spec_inputs(retail_specs()[index], stored_retail(spark, d), adapters.retail_articles(spark, d),
+def retail_fold(spark: SparkSession, d: str, index: int = 0, log: DataFrame | None = None) -> FoldInputs:
+    """One fold; queries over several folds hand in the `log` they stored."""
+    return spec_inputs(retail_specs()[index], stored_retail(spark, d) if log is None else log, adapters.retail_articles(spark, d),
                        adapters.retail_customers(spark, d))
 
 

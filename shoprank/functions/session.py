@@ -6,8 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import inheritable_thread_target
 
 # A join side that repeats one key in a third of its rows is split at run time even where the
 # split costs another exchange, and a table already partitioned by customer is not shuffled again
@@ -61,3 +64,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/shoprank-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(fn: Callable, items: Iterable, most: int = 4) -> list:
+    """`fn` of every item, up to `most` at a time; their Spark jobs share the cluster, so small ones don't wait for each other."""
+    with ThreadPool(most) as pool:
+        return pool.map(inheritable_thread_target(fn), list(items), chunksize=1)

@@ -29,7 +29,7 @@ def test_fit_takes_shipped_parameters_and_all_trained_folds(spark, monkeypatch):
 
     monkeypatch.setattr(ranker.LambdaRanker, "fit", fit)
     with pytest.raises(Stop):
-        ranking.fitted(spark, DIR)
+        ranking.trained_model(spark, DIR)
     assert seen == {"params": ranker.RankerParams(), "folds": {"fold_1", "fold_2", "fold_3"}, "groups": [ranker.FOLD, "customer_id"], "labels": {0, 1}}
 
 
@@ -40,7 +40,7 @@ def test_development_covers_all_folds(spark, monkeypatch):
     seen = {}
 
     def scores(settings, inputs, features):
-        seen.update(periods=settings.periods, ranker=settings.training.ranker, folds=[inputs(f"fold_{k}").name for k in range(4)])
+        seen.update(periods=settings.periods, ranker=settings.training.ranker, folds=[inputs(f"fold_{k}").name for k in range(4)], tables=[features(f"fold_{k}").columns[-1] for k in range(4)])
         raise Stop
 
     monkeypatch.setattr(ranking, "written", lambda df: df)
@@ -49,4 +49,5 @@ def test_development_covers_all_folds(spark, monkeypatch):
     with pytest.raises(Stop):
         QUERIES["development_metrics"](spark, DIR)
     assert (seen["periods"].count, seen["periods"].trained, seen["ranker"]) == (4, (0, 1, 2, 3), {})
+    assert seen["tables"] == ["label"] * 4
     assert seen["folds"] == ["fold_0", "fold_1", "fold_2", "fold_3"]

@@ -1,10 +1,11 @@
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shoprank.operators import retrieval, union
+from shoprank.operators import nearest, retrieval, union
 from shoprank.operators.shared import dense_ids
 from tests.conftest import rows
 
@@ -110,26 +111,49 @@ def test_factor_lists_equal_the_full_product(spark, make_fold):
     full = {r["_u"]: [x["rating"] for x in r["recommendations"]] for r in model.recommendForAllUsers(6).collect()}
     found = retrieval.nearest_by_factors(model.userFactors, model.itemFactors, 6, size=5)
     got = {}
-    for r in found.collect():
+    for r in found.orderBy("_u", "rank").collect():
         got.setdefault(r["_u"], []).append(r["score"])
     assert got.keys() == full.keys()
     for user, scores in got.items():
-        assert sorted(scores, reverse=True)[:6] == pytest.approx(full[user], abs=1e-4)
+        assert scores == pytest.approx(full[user], abs=1e-4)
     plan = retrieval.als_graph(f, 6, 4, 2)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     lists = rows(retrieval.als_graph(f, 6, 4, 2), "customer_id", "rank", "article_id")
     assert len(lists) == 6 * len(baskets) and len({(u, i) for u, _, i in lists}) == len(lists)
 
 
-def test_wide_categoricals_and_one_step_scores(spark):
-    from shoprank.operators import ranker
+def _factors(spark, seed, n, width=5, scale=1.0):
+    draw = np.random.default_rng(seed)
+    x = (np.abs(draw.normal(size=(n, width))) * np.exp(scale * draw.normal(size=(n, 1)))).astype(np.float32)
+    x[n // 2 :: 7] = x[0]                                     # equal rows, so equal scores
+    return x, spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id int, features array<float>")
 
-    table = spark.range(3000).selectExpr("concat('u', id % 60) AS customer_id", "concat('i', id div 60) AS article_id", "cast(id % 500 AS double) AS f0",
-                                         "cast(hash(id) % 100 AS double) AS f1", "cast(id % 500 < 60 AS int) AS label")
-    model = ranker.LambdaRanker(categorical_features=["f0"], rounds=4, max_depth=3, min_child_samples=5).fit(table)
-    state = model._vectors(table.select("customer_id", "article_id", "f0", "f1")).withColumn("score", F.lit(0.0))
-    for tree, values, _ in model.trees:
-        state = ranker.step(state, tree, values)
-    want = {r[:2]: r[2] for r in rows(state, "customer_id", "article_id", "score")}
-    got = {r[:2]: r[2] for r in rows(model.transform(table), "customer_id", "article_id", "score")}
-    assert got == pytest.approx(want) and len(set(got.values())) > 1
+
+@pytest.mark.parametrize("out_bytes", [1 << 20, 4 * 16 * 5, 0])
+def test_nearest_items_equal_the_full_product(spark, out_bytes):
+    """One broadcast for all blocks, or one block at a time with written lists in between."""
+    (x, users), (y, items) = _factors(spark, 1, 60), _factors(spark, 2, 150)
+    got = {}
+    for r in nearest.nearest_by_factors(users, items, 7, size=16, out_bytes=out_bytes).orderBy("_u", "rank").collect():
+        got.setdefault(r["_u"], []).append((r["rank"], r["_i"], r["score"]))
+    full = x.astype(float) @ y.T.astype(float)
+    for u in range(60):
+        order = sorted(range(150), key=lambda i: (-round(full[u, i], 9), i))[:7]
+        assert [(k, i) for k, i, _ in got[u]] == [(k + 1, i) for k, i in enumerate(order)]
+        assert [s for _, _, s in got[u]] == pytest.approx(full[u, order], rel=1e-6)
+
+
+def test_short_catalogues_and_empty_factors(spark):
+    (_, users), (_, items) = _factors(spark, 1, 3), _factors(spark, 2, 2)
+    assert nearest.nearest_by_factors(users, items, 5).groupBy("_u").count().select("count").distinct().collect()[0][0] == 2
+    assert nearest.nearest_by_factors(users, items.limit(0), 5).count() == 0 and nearest.nearest_by_factors(users.limit(0), items, 5).count() == 0
+
+
+def test_blocks_out_of_reach_stay_closed():
+    y = np.diag(np.linspace(10, 0.1, 100)).astype(np.float32)
+    opened = []
+    boxes = [(float(y[k].max()), lambda k=k: opened.append(k) or (np.arange(k, k + 10), y[k : k + 10])) for k in range(0, 100, 10)]
+    x = np.abs(np.random.default_rng(0).normal(size=(4, 100)))
+    x[:, 0] = 50
+    scores, ids = nearest.best_of_boxes(x, np.sqrt((x**2).sum(axis=1)), np.full((4, 1), -np.inf), np.full((4, 1), 99), boxes, 1)
+    assert opened == [0] and ids.ravel().tolist() == [0] * 4 and np.allclose(scores, 500)
