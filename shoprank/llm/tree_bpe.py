@@ -40,8 +40,36 @@ def byte_alphabet() -> dict[str, int]:
     return {**{chr(b): b for b in own}, **{chr(256 + k): b for k, b in enumerate(rest)}}
 
 
+# Fixed value: how byte-level pre-tokenization divides a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def rank_encoder(tokenizer):
+    """The same vocabulary for an encoder that merges by rank and builds no offsets, or None if it could encode otherwise.
+
+    It gives the same ids if ids rise in the order of the merges, words are divided by `WORDS` alone and special tokens
+    are plain strings.
+    """
+    import json
+
+    import tiktoken
+
+    whole = json.loads(tokenizer.to_str())
+    model, words, special = whole["model"], whole["pre_tokenizer"] or {}, whole["added_tokens"]
+    if (model.get("type") != "BPE" or whole["normalizer"] or words.get("type") != "ByteLevel" or words.get("add_prefix_space") or not words.get("use_regex", True)
+            or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+            or any(t[k] for t in special for k in ("single_word", "lstrip", "rstrip", "normalized"))):
+        return None
+    vocabulary, alphabet = model["vocab"], byte_alphabet()
+    merged = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:])) or len(vocabulary) != 256 + len(merged) or any(c not in alphabet for t in vocabulary for c in t):
+        return None
+    ranks = {bytes(alphabet[c] for c in t): i for t, i in vocabulary.items()}
+    return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in special})
+
+
 class TreeCoder:
-    """Encodes parts with the library and joins their ids."""
+    """Encodes parts as the library does and joins their ids."""
 
     def __init__(self, model: str, window: int = 512):
         from tokenizers import Tokenizer
@@ -58,18 +86,26 @@ class TreeCoder:
         self.size = np.zeros(max(self.bytes_of) + 1, np.int64)
         for i, b in self.bytes_of.items():
             self.size[i] = len(b)
+        self.ranked = rank_encoder(self.tokenizer)
+        self.decimal = [str(i) for i in range(len(self.size))]
 
     def encode(self, text: str) -> np.ndarray:
+        if self.ranked is not None:
+            return self.ranked.encode_to_numpy(text, allowed_special="all").astype(np.int32)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def digest(self, ids: np.ndarray) -> str:
+        """SHA-256 of the ids in decimal."""
+        return sha256(",".join([self.decimal[i] for i in ids.tolist()]).encode()).hexdigest()
 
     def text_of(self, ids: np.ndarray) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids.tolist()])
 
-    def decode(self, ids: np.ndarray) -> str:
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text of the ids in UTF-8."""
+        if self.ranked is not None:
+            return self.ranked.decode_bytes(ids.tolist())
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode()
 
     def _tail(self, ids: np.ndarray, want: int) -> int:
         """Tokens to leave out so that the rest begins at a character and has at least `want` bytes."""
@@ -146,21 +182,21 @@ def encode_texts(docs: DataFrame, model: str, columns: list[str] | None = None,
     scratch, names = Scratch(docs.sparkSession), columns or ["doc_id"]
     results = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.monotonically_increasing_id().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    state: list[TreeCoder] = []
 
     def coder() -> TreeCoder:
-        import os
+        import sys
+        import types
 
-        # tasks are what runs side by side
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if not state:
-            state.append(TreeCoder(model))
-        return state[0]
+        # one coder per Python process; functions travel by value, so it hangs on a module of its own
+        store = sys.modules.setdefault("_tree_coders", types.ModuleType("_tree_coders")).__dict__
+        if model not in store:
+            store[model] = TreeCoder(model)
+        return store[model]
 
     def result(ids: np.ndarray) -> tuple:
         decoded = coder().decode(ids)
-        out = (len(ids), sha256(",".join(map(str, ids.tolist())).encode()).hexdigest(), sha256(decoded.encode()).hexdigest())
-        return (*out, ids, decoded) if with_ids else out
+        out = (len(ids), coder().digest(ids), sha256(decoded).hexdigest())
+        return (*out, ids, decoded.decode()) if with_ids else out
 
     own = StructType([StructField(f.name, f.dataType) for f in kept.schema.fields])
     first = StructType([*own.fields, *StructType.fromDDL(f"at int, parts int, {results}").fields])
@@ -170,7 +206,7 @@ def encode_texts(docs: DataFrame, model: str, columns: list[str] | None = None,
         for batch in (piece for whole in batches for piece in slices(whole, 2)):
             texts = batch.column(2).to_pylist()
             short = [k for k, t in enumerate(texts) if len(t) <= part]
-            done = dict(zip(short, map(result, coder().encode_batch([texts[k] for k in short])), strict=True))
+            done = {k: result(coder().encode(texts[k])) for k in short}
             # (row, text of a piece, its place, pieces, results)
             out = [(k, None, 0, 1, done[k]) if k in done else (k, piece, i, len(pieces), (None,) * (5 if with_ids else 3))
                    for k, t in enumerate(texts) for pieces in ([t] if k in done else halves(t, part),) for i, piece in enumerate(pieces)]

@@ -12,8 +12,9 @@ from tests.llm.common import AWKWARD, documents, tuples
 
 LIBRARY = Tokenizer.from_file(byte_model())
 CODER = TreeCoder(byte_model())
-# a window that has to grow
+# a window that has to grow, and parts encoded by the library itself
 NARROW = TreeCoder(byte_model(), window=2)
+NARROW.ranked = None
 
 
 def library(text):
@@ -38,7 +39,7 @@ def test_joined_halves_equal_the_library(text, part):
 def test_long_runs_without_a_break(unit, part):
     for text in (unit * (20_000 // len(unit)), "a " + unit * (9_000 // len(unit)) + " end's"):
         ids = CODER.concatenate([CODER.encode(p) for p in halves(text, part)])
-        assert ids.tolist() == library(text) and CODER.decode(ids) == text
+        assert ids.tolist() == library(text) and CODER.decode(ids).decode() == text
 
 
 def test_cut_at_every_place_of_a_break(seed=3):
@@ -58,6 +59,36 @@ def test_only_windows_are_encoded_again(monkeypatch):
     assert sum(seen) < 3000
 
 
+def test_other_models_are_left_to_the_library():
+    import json
+
+    from shoprank.llm.tree_bpe import rank_encoder
+
+    assert rank_encoder(LIBRARY) is not None
+
+    def changed(**parts):
+        whole = json.loads(LIBRARY.to_str())
+        for k, v in parts.items():
+            whole[k] = v
+        return rank_encoder(Tokenizer.from_str(json.dumps(whole)))
+
+    model = json.loads(LIBRARY.to_str())["model"]
+    assert changed(normalizer={"type": "Lowercase"}) is None
+    assert changed(pre_tokenizer={"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}) is None
+    assert changed(model={**model, "merges": model["merges"][::-1]}) is None
+
+
+def test_every_kind_of_character_divides_words_alike():
+    """One character of each category, every 97th of all: letters, digits, blanks and marks mean the same to both encoders."""
+    import sys
+    import unicodedata
+
+    by_kind = {unicodedata.category(chr(c)): c for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF}
+    for c in {*by_kind.values(), *(c for c in range(0, sys.maxunicode, 97) if not 0xD800 <= c <= 0xDFFF)}:
+        text = f"a{chr(c)}b 1{chr(c)}2 !{chr(c)}? {chr(c)}{chr(c)} {chr(c)}\n'{chr(c)}s  {chr(c)}"
+        assert CODER.encode(text).tolist() == library(text)
+
+
 def test_halves_are_a_power_of_two():
     assert halves("", 3) == [""] and halves("abc", 3) == ["abc"] and len(halves("a" * 13, 3)) == 8
     assert "".join(halves("é" * 1001, 10)) == "é" * 1001 and max(map(len, halves("é" * 1001, 10))) <= 10
