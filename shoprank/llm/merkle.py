@@ -58,7 +58,8 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, keep: Sequence[str
     tree = F.coalesce(F.concat(F.lit("+"), F.col("lang").cast("string")), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in kept])
     leaves = docs.select(tree.alias("tree"), F.col("doc_id").alias("id"), leaf_digest(*[F.col(f"`{f}`") for f in fields]).alias("digest"), row.alias("row"))
-    trees = climb(scratch, numbered(scratch, leaves, ["tree", "id", "digest"]))
+    # written first: dealing out by range looks at its input twice, and texts are to be read and hashed once
+    trees = climb(scratch, numbered(scratch, scratch.write(leaves), ["tree", "id", "digest"]))
     tops = tops_of(trees).select(F.lit("").alias("tree"), F.col("digest"), F.struct("tree").alias("row"))
     whole = climb(scratch, numbered(scratch, tops, ["row.tree"]))
     root = tops_of(whole).select("tree", F.array().cast(_PATH).alias("path"), F.struct(F.col("digest").alias("root")).alias("facts"))
