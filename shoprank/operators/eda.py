@@ -300,7 +300,11 @@ def consistency(usual: DataFrame, following: DataFrame, cols: Columns = Columns(
     """How often the next value equals the usual one, against the match rate of independent draws."""
     joined = usual.select(*keys, cols.user, "usual").join(following.select(*keys, cols.user, "next_val"), [*keys, cols.user])
     # counts per (usual, next) combination hold everything needed and are few
-    combos = joined.groupBy(*keys, "usual", "next_val").agg(F.count("*").alias("n"))
+    return agreement(joined.groupBy(*keys, "usual", "next_val").agg(F.count("*").alias("n")), keys)
+
+
+def agreement(combos: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Observed and chance match rate from the counts `n` of every (usual, next) combination."""
     same = F.col("usual") == F.col("next_val")
     observed = combos.groupBy(*keys).agg(
         F.try_divide(F.sum(F.when(same, F.col("n")).otherwise(F.lit(0))), F.sum(F.when(same.isNotNull(), F.col("n")))).alias("observed"),

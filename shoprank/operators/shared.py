@@ -84,3 +84,35 @@ def ordered_ids(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return parts.withColumn("_i", inside).join(offsets, "_part").select(*df.columns, (F.col("_before") + F.col("_i")).cast("int").alias(out))
+
+
+def exact_percentiles(df: DataFrame, key: str, value: str, shares: Sequence[float], margin: float = 2e-4) -> DataFrame:
+    """`(key, share, value)`: percentiles with linear interpolation for all keys at once, without holding a key's values anywhere.
+
+    A sketch gives a narrow range of values around each position. One pass counts what lies below the range and how often
+    each value occurs inside it; only those few values are ordered. Ranges that miss their position are widened.
+    """
+    known = df.select(key, F.col(value).alias("v")).filter(F.col("v").isNotNull())
+    while True:
+        marks = [m for s in shares for m in (max(0.0, s - margin), min(1.0, s + margin))]
+        sketch = known.groupBy(key).agg(F.count("*").alias("n"), F.percentile_approx("v", F.lit(marks), 20000).alias("m"))
+        ranges = written(sketch.select(key, F.explode(F.array(*[
+            F.struct(F.lit(float(s)).alias("share"), (F.lit(float(s)) * (F.col("n") - 1)).alias("at"), F.col("m")[2 * i].alias("lo"), F.col("m")[2 * i + 1].alias("hi"))
+            for i, s in enumerate(shares)])).alias("r")).select(key, "r.*"))
+        # one row per value of a range, and one (without value) for all that lies below it
+        inside = F.when(F.col("v") >= F.col("lo"), F.col("v"))
+        counted = known.join(ranges, key).filter(F.col("v") <= F.col("hi")).groupBy(key, "share", "at", inside.alias("v")).agg(F.count("*").alias("c"))
+        upto = F.sum("c").over(Window.partitionBy(key, "share").orderBy(F.col("v").asc_nulls_first()))
+        placed = counted.withColumn("upto", upto).filter(F.col("v").isNotNull() | (F.col("upto") > F.floor("at")))
+
+        def order_statistic(position: Column) -> Column:
+            return F.min(F.when(F.col("upto") > position, F.struct(F.col("upto"), F.col("v"))))
+
+        found = written(placed.groupBy(key, "share", "at").agg(order_statistic(F.floor("at")).alias("a"), order_statistic(F.ceil("at")).alias("b")))
+        # a position below its range finds the row without value, one above it finds none
+        missed = found.filter(F.col("a.v").isNull() | F.col("b.v").isNull()).count() + ranges.count() - found.count()
+        if not missed:
+            low, high, at = F.col("a.v"), F.col("b.v"), F.col("at")
+            between = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+            return found.select(key, "share", F.when(F.floor(at) == F.ceil(at), low).otherwise(between).alias("value"))
+        margin = min(1.0, 4 * margin)

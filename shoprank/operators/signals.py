@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from shoprank.functions.columns import price_tier
 from shoprank.functions.session import written
-from shoprank.operators.eda import consistency
+from shoprank.operators.eda import agreement
 from shoprank.operators.folds import FoldSpec
-from shoprank.operators.shared import top_per_group
+from shoprank.operators.shared import exact_percentiles, top_per_group
 from shoprank.schema import Columns
 
 # The demand groups, first match wins.
@@ -105,11 +105,14 @@ def new_item_shares(tx: DataFrame, specs: Sequence[FoldSpec], seed_weeks: int =
 def attribute_loyalty(tx: DataFrame, articles: DataFrame, specs: Sequence[FoldSpec],
                       attributes: Sequence[tuple[str, str]] = ATTRIBUTES, cols: Columns = Columns()) -> DataFrame:
     """Per window and attribute: share of pairs with a value the user had bought, and the share
-    expected from how common each value is."""
+    expected from how common each value is.
+
+    Pairs are dealt out by user once; the seven values of each pair are made, counted and met where they lie.
+    """
     values = articles.select(cols.item, F.explode(F.array(*[
         F.struct(F.lit(name).alias("attribute"), F.col(c).cast("string").alias("value")) for name, c in attributes])).alias("e")
     ).select(cols.item, "e.*").filter(F.col("value").isNotNull())
-    pairs = _first_dates(tx, [cols.user, cols.item], "first_pair", cols.date)
+    pairs = _first_dates(tx, [cols.user, cols.item], "first_pair", cols.date).repartition(cols.user)
     owned = _first_dates(pairs.join(values, cols.item), [cols.user, "attribute", "value"], "first_value", "first_pair")
 
     def per_fold(df: DataFrame, first: str, keys: Sequence[str], out: str) -> DataFrame:
@@ -119,7 +122,7 @@ def attribute_loyalty(tx: DataFrame, articles: DataFrame, specs: Sequence[FoldSp
 
     buyers = per_fold(owned, "first_value", ["attribute", "value"], "buyers").filter(F.col("buyers") > 0)
     people = per_fold(_first_dates(tx, [cols.user], "first_day", cols.date), "first_day", [], "n_customers")
-    bought = next_pairs(tx, specs, cols)
+    bought = next_pairs(tx, specs, cols).repartition(cols.user)
     sizes = bought.groupBy("fold").agg(F.count("*").alias("n_next")).join(people, "fold")
     # counted per value before the few (fold, attribute, value) rows of `buyers` are joined
     by_value = (bought.join(values, cols.item).join(owned, [cols.user, "attribute", "value"], "left").groupBy("fold", "attribute", "value")
@@ -187,28 +190,32 @@ def cold_buyer_share(tx: DataFrame, specs: Sequence[FoldSpec], cols: Columns = C
 
 def behaviour_consistency(tx: DataFrame, articles: DataFrame, specs: Sequence[FoldSpec], exact_cuts: bool = False,
                           cols: Columns = Columns()) -> DataFrame:
-    """Observed and chance agreement of price tier, channel and category, per window."""
+    """Observed and chance agreement of price tier, channel and category, per window.
+
+    A user's row holds what was usual and what came next, so price and channel need no join; users with history only count
+    for the cut points of the tiers.
+    """
     price, channel = F.col("price"), F.col("sales_channel_id").cast("double")
     stats = written(_user_fold_stats(tx, specs, {
         "known_rows": lambda known, held: F.count_if(known), "held_rows": lambda known, held: F.count_if(held),
         "p0": lambda known, held: F.avg(F.when(known, price)), "p1": lambda known, held: F.avg(F.when(held, price)),
         "c0": lambda known, held: F.avg(F.when(known, channel)), "c1": lambda known, held: F.avg(F.when(held, channel))}, cols))
-    before, after = stats.filter(F.col("known_rows") > 0), stats.filter(F.col("held_rows") > 0)
-    quantile = (lambda q: F.percentile("p0", F.lit(q))) if exact_cuts else (lambda q: F.percentile_approx("p0", q, 10000))
-    cuts = before.groupBy("fold").agg(quantile(0.33).alias("low"), quantile(0.66).alias("high"))
+    before = stats.filter(F.col("known_rows") > 0)
+    if exact_cuts:
+        marks = exact_percentiles(before, "fold", "p0", (0.33, 0.66))
+        cuts = marks.groupBy("fold").agg(F.min_by("value", "share").alias("low"), F.max_by("value", "share").alias("high"))
+    else:
+        cuts = before.groupBy("fold").agg(F.percentile_approx("p0", 0.33, 10000).alias("low"), F.percentile_approx("p0", 0.66, 10000).alias("high"))
     low, high = F.col("low"), F.col("high")
-    parts = {
-        "price": (before.join(cuts, "fold").select("fold", cols.user, price_tier(F.col("p0"), low, high).alias("usual")),
-                  after.join(cuts, "fold").select("fold", cols.user, price_tier(F.col("p1"), low, high).alias("next_val"))),
-        "channel": (before.select("fold", cols.user, (F.col("c0") > 1.5).cast("int").alias("usual")),
-                    after.select("fold", cols.user, (F.col("c1") > 1.5).cast("int").alias("next_val"))),
-        "category": (_usual_category(tx, articles, specs, cols), _next_category(tx, articles, specs, cols)),
-    }
-    result = None
-    for dimension, (usual, following) in parts.items():
-        part = consistency(usual, following, cols, ["fold"]).withColumn("dimension", F.lit(dimension))
-        result = part if result is None else result.unionByName(part)
-    return result.select("fold", "dimension", "observed", "chance")
+    both = before.filter(F.col("held_rows") > 0).join(cuts, "fold").select("fold", F.explode(F.array(
+        F.struct(F.lit("price").alias("dimension"), price_tier(F.col("p0"), low, high).cast("string").alias("usual"), price_tier(F.col("p1"), low, high).cast("string").alias("next_val")),
+        F.struct(F.lit("channel").alias("dimension"), (F.col("c0") > 1.5).cast("string").alias("usual"), (F.col("c1") > 1.5).cast("string").alias("next_val")))).alias("e")
+    ).select("fold", "e.*")
+    category = _usual_category(tx, articles, specs, cols).join(_next_category(tx, articles, specs, cols), ["fold", cols.user])
+    category = category.select("fold", F.lit("category").alias("dimension"), F.col("usual").cast("string").alias("usual"), F.col("next_val").cast("string").alias("next_val"))
+    # counts per (usual, next) combination hold everything needed and are few
+    combos = written(both.unionByName(category).groupBy("fold", "dimension", "usual", "next_val").agg(F.count("*").alias("n")))
+    return agreement(combos, ["fold", "dimension"])
 
 
 def _usual_category(tx, articles, specs, cols) -> DataFrame:
@@ -216,10 +223,11 @@ def _usual_category(tx, articles, specs, cols) -> DataFrame:
     pairs = tx.groupBy(cols.user, cols.item).agg(*[F.count_if(day <= F.lit(s.train_end)).alias(f"n{i}") for i, s in enumerate(specs)])
     groups = pairs.join(articles.select(cols.item, "index_group_no"), cols.item).groupBy(cols.user, "index_group_no").agg(
         *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(specs))])
-    rows = F.array(*[F.struct(F.lit(s.fold).alias("fold"), F.col(f"n{i}").alias("n")) for i, s in enumerate(specs)])
-    long = groups.select(cols.user, "index_group_no", F.explode(rows).alias("e")).select("e.*", cols.user, "index_group_no")
-    best = top_per_group(long.filter(F.col("n") > 0), ["fold", cols.user], [F.col("n").desc(), F.col("index_group_no")], 1)
-    return best.select("fold", cols.user, F.col("index_group_no").alias("usual"))
+    # the most bought group of each fold, the smaller one of equals: one aggregation per user
+    best = [F.max_by(F.when(F.col(f"n{i}") > 0, F.col("index_group_no")), F.when(F.col(f"n{i}") > 0, F.struct(F.col(f"n{i}"), -F.col("index_group_no")))).alias(f"g{i}")
+            for i in range(len(specs))]
+    rows = F.array(*[F.struct(F.lit(s.fold).alias("fold"), F.col(f"g{i}").alias("usual")) for i, s in enumerate(specs)])
+    return groups.groupBy(cols.user).agg(*best).select(cols.user, F.explode(rows).alias("e")).select("e.fold", cols.user, "e.usual").filter(F.col("usual").isNotNull())
 
 
 def _next_category(tx, articles, specs, cols) -> DataFrame:
