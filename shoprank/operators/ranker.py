@@ -216,7 +216,7 @@ class LambdaRanker:
             rows = rows.unionByName(blocks(prepare_matrix(eval_frame, names), list(eval_group_cols or group), True))
         sweeps = Sweeps(rows, bins, p)
         try:
-            trees, history = boost(sweeps, bins, p)
+            trees, history = boost(sweeps)
         finally:
             sweeps.close()
         return LambdaRankModel(names, bins, trees, cols, history)

@@ -101,8 +101,10 @@ def plain_tree(codes, widths, categorical, g, h, drawn, features, p):
     return value, sorted(splits)
 
 
+@pytest.mark.parametrize("node_rows", [boosting.NODE_ROWS, 100])
 @pytest.mark.parametrize("changes", [{}, {"num_leaves": 5}, {"max_depth": 3}, {"subsample": 1.0, "colsample": 1.0, "reg_lambda": 0.1}])
-def test_trees_equal_a_plain_version(spark, changes):
+def test_trees_equal_a_plain_version(spark, changes, node_rows, monkeypatch):
+    monkeypatch.setattr(boosting, "NODE_ROWS", node_rows)
     draw = np.random.default_rng(11)
     n = 600
     frame = pd.DataFrame({"customer_id": [f"u{k % 23}" for k in range(n)], "article_id": [f"a{k:04d}" for k in range(n)]})
@@ -122,8 +124,7 @@ def test_trees_equal_a_plain_version(spark, changes):
     assert len(model.trees) == 4
     for r, tree in enumerate(model.trees):
         g, h = plain_gradients(score, frame.label.to_numpy(), list(starts), p.truncation)
-        rng = np.random.default_rng([p.seed, r])
-        features = sorted(rng.choice(4, max(1, round(4 * p.colsample)), replace=False).tolist())
+        features = boosting.drawn_features(4, p, r)
         value, splits = plain_tree(codes, [bins.width(x) for x in names], {3}, g, h, boosting.mixed(drawn, p.seed + r) < p.subsample, features, p)
         assert sorted((f, round(x, 9)) for f, x in zip(tree.feature, tree.gain, strict=True) if f >= 0) == splits
         assert np.allclose(tree.scores(codes), value, atol=1e-12)
@@ -143,28 +144,34 @@ def test_parts_and_lost_state_change_nothing(spark, table, monkeypatch):
     assert [(t.feature, t.cut, t.value) for t in got.trees] == [(t.feature, t.cut, t.value) for t in want.trees]
 
 
-def test_sweeps_per_tree_and_leaves(table):
-    jobs = []
-    original = boosting.grow
+def test_jobs_per_tree(table, monkeypatch):
+    """One job where the rows are few; at most one per level and one more where they are not. The trees are the same."""
+    def fit():
+        seen, original = [], boosting.grow
 
-    def counted(run, bins, params, round_):
-        n = []
-        tree = original(lambda growth: n.append(1) or run(growth), bins, params, round_)
-        jobs.append((len(n), tree))
-        return tree
+        def counted(sweeps, round_, watch):
+            before = sweeps.jobs
+            tree = original(sweeps, round_, watch)
+            seen.append((sweeps.jobs - before, tree))
+            return tree
 
-    boosting.grow = counted
-    try:
-        ranker.LambdaRanker(rounds=3, min_child_samples=2, num_leaves=20).fit(table)
-    finally:
-        boosting.grow = original
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(boosting, "grow", counted)
+            ranker.LambdaRanker(["f1", "f2"], rounds=3, min_child_samples=2, num_leaves=20).fit(table)
+        return seen
 
     def depth(tree, k=0):
         return 0 if tree.feature[k] < 0 else 1 + max(depth(tree, tree.left[k]), depth(tree, tree.right[k]))
 
-    assert all(tree.leaves <= 20 for _, tree in jobs) and max(tree.leaves for _, tree in jobs) == 20
-    # best-first growth never sweeps more often than the splits' levels ask for
-    assert all(n <= tree.leaves for n, tree in jobs) and min(n for n, _ in jobs) >= 2
+    small = fit()
+    monkeypatch.setattr(boosting, "NODE_ROWS", 60)
+    mixed = fit()
+    monkeypatch.setattr(boosting, "NODE_ROWS", 0)
+    large = fit()
+    shape = lambda fits: [(t.feature, t.cut, t.value) for _, t in fits]                              # noqa: E731
+    assert shape(small) == shape(mixed) == shape(large) and max(t.leaves for _, t in small) == 20
+    assert all(n == 1 for n, _ in small) and all(2 < n for n, _ in large)
+    assert all(n <= tree.leaves for n, tree in mixed + large) and max(depth(t) for _, t in large) >= 4
 
 
 def test_many_levels(spark):
