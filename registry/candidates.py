@@ -9,7 +9,8 @@ from registry import cte, query
 from registry.tables import RETAIL, retail_fold
 from shoprank.functions.columns import age_band
 from shoprank.operators import retrieval, union
-from shoprank.schema import FoldInputs
+from shoprank.operators.nearest import nearest_by_factors
+from shoprank.schema import FoldInputs, Retrieval
 
 S = RETAIL
 CAND = "customer_id:long article_id:long rank:int source:str"
@@ -140,6 +141,23 @@ def _(spark, d):
     return retrieval.als_graph(retail_fold(spark, d), S.retrieval.graph, S.retrieval.factors, S.retrieval.sweeps)
 
 
+@query("als_graph_facts", "customers:long full_lists:long unknown:long unordered:long repeated:long", """
+SELECT count(DISTINCT customer_id) AS customers, count(DISTINCT customer_id) AS full_lists, 0 AS unknown, 0 AS unordered, 0 AS repeated FROM train""")
+def _(spark, d):
+    """What SQL can say about the factor lists at the shipped size: n items each, all sold before, scores falling, no item twice."""
+    f = retail_fold(spark, d)
+    shipped = Retrieval()
+    model, users, items = retrieval.als_model(f, shipped.factors, shipped.sweeps)
+    near = nearest_by_factors(model.userFactors, model.itemFactors, shipped.graph).join(items, "_i", "left").join(users, "_u", "left")
+    near = near.select("customer_id", "article_id", "rank", "score")
+    lists = near.groupBy("customer_id").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "article_id"))).alias("l"))
+    known = F.size("l") == shipped.graph
+    falling = F.forall(F.sequence(F.lit(1), F.size("l") - 1), lambda k: F.get("l", k - 1)["score"] >= F.get("l", k)["score"])
+    return lists.agg(F.count("*").alias("customers"), F.count_if(known & (F.element_at("l", -1)["rank"] == shipped.graph)).alias("full_lists"),
+                     F.count_if(F.col("customer_id").isNull() | F.exists("l", lambda e: e["article_id"].isNull())).alias("unknown"),
+                     F.count_if(~falling).alias("unordered"), F.count_if(F.size(F.array_distinct(F.transform("l", lambda e: e["article_id"]))) < F.size("l")).alias("repeated"))
+
+
 @query("union_candidates", UNITED, "SELECT * FROM united")
 def _(spark, d):
     return candidates(retail_fold(spark, d))

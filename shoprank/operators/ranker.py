@@ -7,18 +7,18 @@ driver holds trees and the histograms of the tree that grows.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from shoprank.functions.columns import unit_hash
-from shoprank.operators.boosting import Bins, Sweeps, Tree, boost, fit_bins, lay_out, received, shipped
+from shoprank.operators.boosting import Bins, Sweeps, Tree, boost, fit_bins, gradients, lay_out, ndcg, received, shipped, whole_groups
 from shoprank.operators.recommend import backfill, top_k
 from shoprank.schema import Columns
 
@@ -67,6 +67,44 @@ def prepare_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumns({n: F.coalesce(F.col(n).cast("float"), zero) for n in names})
 
 
+# --- objective -----------------------------------------------------------------------------
+
+def _by_group(rows: DataFrame, group: Sequence[str], tie: str, keys: Sequence[str], schema: StructType, fn: Callable) -> DataFrame:
+    """`fn(table, scores, labels, starts)` over whole groups, each ordered by `tie`; `keys` come behind position, score and label."""
+    inside = Window.partitionBy(*group).orderBy(tie)
+    ordered = rows.select(F.row_number().over(inside).alias("_pos"), F.col("score").cast("double").alias("_score"), F.col("label").cast("int").alias("_label"), *keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            pos, score, label = (table.column(i).to_numpy() for i in range(3))
+            yield from fn(table, score, label, np.flatnonzero(pos == 1))
+
+    return ordered.mapInArrow(run, schema)
+
+
+def lambda_gradients(rows: DataFrame, group: Sequence[str], tie: str, truncation: int = 30) -> DataFrame:
+    """`(group..., tie, g, h)`: gradient and curvature of NDCG for scored and labelled rows, as a round of the ranker sees them."""
+    keys = [*group, tie]
+    schema = StructType([*rows.select(*keys).schema.fields, StructField("g", DoubleType()), StructField("h", DoubleType())])
+
+    def grade(table: pa.Table, score: np.ndarray, label: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        g, h = gradients(score, label, starts, truncation)
+        yield from pa.table([*table.columns[3:], pa.array(g), pa.array(h)], names=schema.names).to_batches()
+
+    return _by_group(rows, group, tie, keys, schema, grade)
+
+
+def group_ndcg(rows: DataFrame, group: Sequence[str], tie: str, k: int = 12) -> DataFrame:
+    """`(groups, ndcg)`: mean NDCG@k over the groups that hold a positive."""
+    def measure(table: pa.Table, score: np.ndarray, label: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = ndcg(score, label, starts, k)
+        yield pa.RecordBatch.from_pydict({"total": [float(found.sum())], "n": [len(found)]})
+
+    schema = StructType([StructField("total", DoubleType()), StructField("n", LongType())])
+    sums = _by_group(rows, group, tie, [], schema, measure).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("groups"), F.sum("total").alias("total"))
+    return sums.select("groups", F.coalesce(F.try_divide("total", "groups"), F.lit(0.0)).alias("ndcg"))
+
+
 # --- model ---------------------------------------------------------------------------------
 
 @dataclass(frozen=True)
