@@ -36,8 +36,8 @@ def _spark_side(df: DataFrame, schema: list[tuple[str, str]]) -> DataFrame:
     return df.select(*out)
 
 
-def with_ctes(body: str) -> str:
-    """`body` with every named building block it mentions, in dependency order."""
+def _needed(body: str) -> list[str]:
+    """Every named building block that `body` mentions, in dependency order."""
     order: list[str] = []
 
     def visit(text: str) -> None:
@@ -48,10 +48,29 @@ def with_ctes(body: str) -> str:
                     order.append(name)
 
     visit(body)
-    head = ",\n".join(f"{name} AS ({CTES[name]})" for name in order)
+    return order
+
+
+def with_ctes(body: str) -> str:
+    head = ",\n".join(f"{name} AS ({CTES[name]})" for name in _needed(body))
     return f"WITH {head}\n{body}" if head else body
 
 
+def of_fold(name: str, k: int) -> str:
+    """The building block `name`, which stands for the newest fold, for fold k: it and all it rests on are copied under other names."""
+    if k == 0:
+        return name
+    copies: dict[str, str] = {}
+    for block in [*_needed(CTES[name]), name]:
+        text = CTES[block].replace("s.fold = 'fold_0'", f"s.fold = 'fold_{k}'")
+        for old, new in copies.items():
+            text = re.sub(rf"\b{old}\b", new, text)
+        if text != CTES[block]:
+            copies[block] = f"{block}_of_{k}"
+            CTES[copies[block]] = text
+    return copies[name]
+
+
 def _sql_side(body: str, schema: list[tuple[str, str]]) -> str:
     out = []
     for name, kind in schema:

@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registry import cte, query
+from registry import cte, of_fold, query
 from registry.candidates import NAMES, candidates
 from registry.preparation import _hash_sql
-from registry.tables import RETAIL, retail_fold, retail_specs, stored_retail
+from registry.tables import RETAIL, retail, retail_fold, retail_specs, stored_retail
+from shoprank.functions.session import side_by_side, written
 from shoprank.operators import diagnostics, metrics, recommend
 from shoprank.operators.folds import tag_folds
+from shoprank.operators.retrieval import window_neighbors
 from shoprank.schema import FoldInputs
 from shoprank.sources import adapters, sinks
 
@@ -328,35 +330,62 @@ def _(spark, d):
 
 
 def fold_sources(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Repurchase and bestseller candidates of every fold side by side, and every fold's truth."""
-    from shoprank.operators.folds import spec_inputs
-    from shoprank.operators.retrieval import popularity, repurchase
-    from shoprank.operators.union import source_flags, union_candidates
-
-    tx, parts = stored_retail(spark, d), []
-    for spec in retail_specs(submission=False):
-        f = spec_inputs(spec, tx, adapters.retail_articles(spark, d), adapters.retail_customers(spark, d))
-        both = {"repurchase": repurchase(f, RETAIL.retrieval.repurchase), "popularity": popularity(f, RETAIL.retrieval.popularity, RETAIL.retrieval.popularity_weeks)}
-        parts.append((source_flags(union_candidates(both), list(both)).withColumn("fold", F.lit(spec.fold)),
-                      f.val.withColumn("fold", F.lit(spec.fold))))
-    return tuple(reduce(DataFrame.unionByName, side) for side in zip(*parts))
-
-
-cte("fold_cut", "SELECT fold, s.train_start, max(t_dat) AS d FROM tx JOIN specs s ON s.val_start IS NOT NULL AND t_dat BETWEEN s.train_start AND s.train_end GROUP BY 1, 2")
-cte("fold_stacked", f"""SELECT fold, customer_id, article_id, rank, 'repurchase' AS source FROM (SELECT fold, customer_id, article_id,
-    row_number() OVER (PARTITION BY fold, customer_id ORDER BY count(*) DESC, article_id) AS rank
-    FROM tx JOIN fold_cut c ON t_dat <= c.d GROUP BY 1, 2, 3 QUALIFY rank <= {RETAIL.retrieval.repurchase})
-  UNION ALL SELECT fold, customer_id, article_id, rank, 'popularity' FROM people, (SELECT fold, article_id,
-    row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, article_id) AS rank
-    FROM tx JOIN fold_cut c ON t_dat BETWEEN c.train_start AND c.d AND t_dat > c.d - {7 * RETAIL.retrieval.popularity_weeks} GROUP BY 1, 2 QUALIFY rank <= {RETAIL.retrieval.popularity})""")
-cte("fold_labelled", """SELECT s.*, t.arm IS NOT NULL AS hit FROM (SELECT fold, customer_id, article_id,
-    min(rank) FILTER (source = 'repurchase') AS repurchase_rank, min(rank) FILTER (source = 'popularity') AS popularity_rank
-    FROM fold_stacked GROUP BY 1, 2, 3) s
-  LEFT JOIN fold_truth t ON t.arm = s.fold AND t.customer_id = s.customer_id AND t.article_id = s.article_id""")
+    """The united sources of every fold, and every fold's truth.
+
+    The log is stored once, neighbours of all folds come from one pass over it, and the folds' candidates are built side by side.
+    """
+    log, specs = stored_retail(spark, d), retail_specs(submission=False)
+    edges = written(window_neighbors(log, specs, RETAIL.retrieval.neighbors))
+
+    def build(spec):
+        f = retail_fold(spark, d, spec.fold_index, log)
+        found = candidates(f, edges.filter(F.col("fold") == spec.fold).drop("fold"))
+        return written(found).withColumn("fold", F.lit(spec.fold)), f.val.withColumn("fold", F.lit(spec.fold))
+
+    return tuple(reduce(DataFrame.unionByName, side) for side in zip(*side_by_side(build, specs)))
+
+
+FOLDS = range(RETAIL.periods.count)
+cte("fold_labelled", " UNION ALL ".join(f"SELECT 'fold_{k}' AS fold, * FROM {of_fold('labelled', k)}" for k in FOLDS))
+cte("fold_sizes", " UNION ALL ".join(f"SELECT 'fold_{k}' AS fold, count(*) AS n_truth FROM {of_fold('truth', k)}" for k in FOLDS))
 cte("fold_report", " UNION ALL ".join(f"""SELECT fold, '{n}' AS source, count(*) AS candidates, count(DISTINCT customer_id) AS customers,
-  count(*) / count(DISTINCT customer_id) AS cands_per_customer, count(*) FILTER (hit) AS hits,
-  100.0 * count(*) FILTER (hit) / any_value(n) AS recall_pct FROM fold_labelled JOIN (SELECT arm AS fold, count(*) AS n FROM fold_truth GROUP BY 1) USING (fold)
-  WHERE {_found(n)} GROUP BY 1""" for n in ("repurchase", "popularity", "UNION")))
+  count(*) / count(DISTINCT customer_id) AS cands_per_customer, sum(label) AS hits,
+  100.0 * sum(label) / any_value(n_truth) AS recall_pct FROM fold_labelled JOIN fold_sizes USING (fold)
+  WHERE {_found(n)} GROUP BY 1""" for n in (*NAMES, "UNION")))
+cte("fold_ranks", " UNION ALL ".join(f"""SELECT fold, '{n}' AS source, {k} AS k, count(*) FILTER ({n}_rank <= {k} AND label = 1) AS hits,
+  100.0 * count(*) FILTER ({n}_rank <= {k} AND label = 1) / any_value(n_truth) AS recall_pct FROM fold_labelled JOIN fold_sizes USING (fold) GROUP BY 1"""
+    for n in NAMES for k in KS))
+cte("fold_placed", "SELECT *, row_number() OVER (PARTITION BY fold, customer_id ORDER BY n_sources DESC, article_id) AS place FROM fold_labelled")
+cte("fold_caps", " UNION ALL ".join(f"""SELECT fold, '{c or 'uncapped'}' AS cap, count(*) FILTER ({f'place <= {c}' if c else 'true'}) AS rows,
+  count(*) FILTER ({f'place <= {c}' if c else 'true'}) / count(DISTINCT customer_id) AS cands_per_customer,
+  100.0 * sum(label) FILTER ({f'place <= {c}' if c else 'true'}) / any_value(n_truth) AS recall_pct FROM fold_placed JOIN fold_sizes USING (fold) GROUP BY 1"""
+    for c in CAPS))
+
+
+def _spread(report: str, index: str, values: str) -> tuple[str, str]:
+    """Columns and SQL of a report's mean and deviation over folds."""
+    names = values.split()
+    columns = index + " folds:long " + " ".join(f"{v}_mean:float {v}_sd:float" for v in names)
+    keys = ", ".join(part.split(":")[0] for part in index.split())
+    return columns, f"SELECT {keys}, count(*) AS folds, " + ", ".join(f"avg({v}) AS {v}_mean, stddev_samp({v}) AS {v}_sd" for v in names) + f" FROM {report} GROUP BY {keys}"
+
+
+@query("neighbors_by_fold", "fold:str seed:long article_id:long cocount:long r:int", " UNION ALL ".join(
+    f"SELECT 'fold_{k}' AS fold, * FROM {of_fold('neighbours', k)}" for k in FOLDS))
+def _(spark, d):
+    return window_neighbors(retail(spark, d), retail_specs(submission=False), RETAIL.retrieval.neighbors)
+
+
+@query("across_folds_rank_sweep", *_spread("fold_ranks", "source:str k:int", "hits recall_pct"))
+def _(spark, d):
+    table, truth = fold_sources(spark, d)
+    return diagnostics.across_folds(diagnostics.rank_sweep(table, truth, KS, keys=["fold"]), ["source", "k"], ["hits", "recall_pct"])
+
+
+@query("across_folds_cap_sweep", *_spread("fold_caps", "cap:str", "rows cands_per_customer recall_pct"))
+def _(spark, d):
+    table, truth = fold_sources(spark, d)
+    return diagnostics.across_folds(diagnostics.cap_sweep(table, truth, CAPS, keys=["fold"]), ["cap"], ["rows", "cands_per_customer", "recall_pct"])
 
 
 @query("per_source_by_fold", "fold:str " + SOURCE, "SELECT * FROM fold_report")
