@@ -103,5 +103,5 @@ def cte(name: str, sql: str) -> None:
 
 def load_all() -> None:
     for module in ("tables", "preparation", "candidates", "feature_blocks", "lists", "reports",
-                   "exploration", "studies", "ranking"):
+                   "exploration", "studies", "ranking", "stages"):
         importlib.import_module(f"registry.{module}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from registry import cte, of_fold, query
 from registry.candidates import NAMES, candidates
 from registry.preparation import _hash_sql
-from registry.tables import RETAIL, retail, retail_fold, retail_specs, stored_retail
+from registry.tables import RETAIL, retail, retail_fold, retail_specs, run_folder, stored_retail
 from shoprank.functions.session import side_by_side, written
 from shoprank.operators import diagnostics, metrics, recommend
 from shoprank.operators.folds import tag_folds
@@ -266,7 +266,9 @@ WHERE pos <= {K} GROUP BY 1""")
 def _(spark, d):
     f = retail_fold(spark, d)
     padded = recommend.backfill(recommend.top_k(scored(f), K), f.customers, recommend.popular_items(f, RETAIL.retrieval.popularity_weeks, K), K)
-    return sinks.submission_rows(recommend.to_lists(padded))
+    path = run_folder(spark)
+    sinks.write_submission_csv(sinks.submission_rows(recommend.to_lists(padded)), path)
+    return sinks.read_submission_csv(spark, path)
 
 
 @query("validate_submission", "problem:str n:long", f"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
 from registry import cte
-from shoprank.functions.session import written
+from shoprank.functions.session import ensure_checkpoint_dir, written
 from shoprank.operators.folds import FoldSpec, fold_specs, spec_inputs
 from shoprank.schema import FeatureWindows, FoldInputs, Periods, Retrieval, Settings
 from shoprank.sources import adapters
@@ -30,6 +31,11 @@ def stored_retail(spark: SparkSession, d: str) -> DataFrame:
     return written(retail(spark, d).sortWithinPartitions("t_dat"))
 
 
+def run_folder(spark: SparkSession) -> str:
+    """A new folder's path for the files of one query, where all executors reach it."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/query-{uuid.uuid4().hex}"
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     return adapters.event_transactions(spark, d)
 

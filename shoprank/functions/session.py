@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,17 +58,52 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: paths that `written` makes for the block of code that runs now, where one wants them removed
+_OWNED: ContextVar[list[str] | None] = ContextVar("shoprank_owned", default=None)
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the checkpoint folder, for results that are read several times.
 
     A lost executor then costs a read, the columns can be pruned and the planner knows the size.
+    Inside `temporary_tables` the table goes when the block ends.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/shoprank-{uuid.uuid4().hex}"
+    owned = _OWNED.get()
+    if owned is not None:
+        owned.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Owner of the tables that `written` makes inside: they are removed at the end, after an error too.
+
+    For code that ends in a table of its own, or in nothing lazy.
+    """
+    paths: list[str] = []
+    token = _OWNED.set(paths)
+    try:
+        yield
+    finally:
+        _OWNED.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table's folder, wherever it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def side_by_side(fn: Callable, items: Iterable, most: int = 4) -> list:
     """`fn` of every item, up to `most` at a time; their Spark jobs share the cluster, so small ones don't wait for each other."""
+    def run(item):
+        # each call sees the owner of temporary tables that its caller sees
+        return owner.copy().run(fn, item)
+
+    owner, session = copy_context(), SparkSession.getActiveSession()
     with ThreadPool(most) as pool:
-        return pool.map(inheritable_thread_target(fn), list(items), chunksize=1)
+        return pool.map(inheritable_thread_target(session)(run) if session else run, list(items), chunksize=1)

@@ -7,6 +7,7 @@ transactions, articles, customers, folds (by fold and split), neighbors, candida
 
 from __future__ import annotations
 
+import hashlib
 import logging
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoprank.functions.session import tune, written
+from shoprank.functions.session import remove, temporary_tables, tune, written
 from shoprank.operators import folds, recommend, retrieval, union
 from shoprank.operators.features import FeatureSource
 from shoprank.operators.ranker import FOLD, LambdaRanker, LambdaRankModel, training_frame
@@ -77,39 +78,57 @@ def build_candidates(spark: SparkSession, settings: Settings, fold: str, inputs:
     `sources` replaces the shipped list: any function of the fold and the edges that returns
     `(user, item, rank, source)` can be a source under its name.
     """
-    inputs = inputs or with_pairs(load_fold(spark, settings, fold), settings)
-    edges = sinks.write_stage(retrieval.copurchase_neighbors(inputs, settings.retrieval.neighbors),
-                              _of_fold(settings, "neighbors", fold))
-    sources = sources or retrieval.source_table(settings, with_als)
-    parts = {name: make(inputs, edges) for name, make in sources.items()}
-    flagged = union.source_flags(union.union_candidates(parts, settings.columns), list(parts))
-    capped = union.cap_per_customer(flagged, settings.retrieval.cap, settings.columns)
-    return sinks.write_stage(capped, _of_fold(settings, "candidates", fold))
+    with temporary_tables(spark):
+        inputs = inputs or with_pairs(load_fold(spark, settings, fold), settings)
+        edges = sinks.write_stage(retrieval.copurchase_neighbors(inputs, settings.retrieval.neighbors),
+                                  _of_fold(settings, "neighbors", fold))
+        sources = sources or retrieval.source_table(settings, with_als)
+        parts = {name: make(inputs, edges) for name, make in sources.items()}
+        flagged = union.source_flags(union.union_candidates(parts, settings.columns), list(parts))
+        capped = union.cap_per_customer(flagged, settings.retrieval.cap, settings.columns)
+        return sinks.write_stage(capped, _of_fold(settings, "candidates", fold))
 
 
 def build_features(spark: SparkSession, settings: Settings, fold: str, inputs: FoldInputs | None = None,
                    candidates: DataFrame | None = None, sources: Sequence[FeatureSource] | None = None) -> DataFrame:
-    """Candidates with all features, written in `feature_chunks` passes over slices of the users.
+    """Candidates with all features, written in `features.passes` parts over slices of the users.
 
     `sources` replaces the shipped feature sources.
-    More than one pass bounds the shuffle held at once; the blocks are then computed once and
-    shared by the passes.
+    More than one part bounds the shuffle held at once; the blocks are then computed once and shared by the parts. Finished
+    parts are listed in a manifest beside them: a rerun over the same candidates and settings skips those, and the stage's
+    table is written when all are listed. Parts and blocks are removed in the end.
     """
-    inputs = inputs or with_pairs(load_fold(spark, settings, fold), settings)
     if candidates is None:
         candidates = sinks.read_stage(spark, _of_fold(settings, "candidates", fold), "candidates")
     edges = sinks.read_stage(spark, _of_fold(settings, "neighbors", fold), "candidates")
-    blocks = [block for _, block in feature_blocks(inputs, edges, settings, sources=sources)]
-    chunks, path = max(1, settings.features.passes), _of_fold(settings, "features", fold)
-    if chunks > 1:
-        blocks = [(written(block), keys) for block, keys in blocks]
-    user = F.pmod(F.xxhash64(settings.columns.user), F.lit(chunks))
-    parts = [feature_table(inputs, candidates.filter(user == k) if chunks > 1 else candidates, blocks, settings) for k in range(chunks)]
-    if chunks > 1:
-        # the passes end in tables of their own, so the stage's table appears whole or not at all
-        parts = [written(part) for part in parts]
-    sinks.write_stage(reduce(DataFrame.unionByName, parts), path)
-    return spark.read.parquet(path)
+    n, path = max(1, settings.features.passes), _of_fold(settings, "features", fold)
+    parts, manifest = settings.table(f"feature_parts/{fold}"), settings.table(f"feature_parts/{fold}/manifest")
+    plan = part_plan(settings, candidates, edges, sources)
+    with temporary_tables(spark):
+        missing = sorted(set(range(n)) - (sinks.finished_parts(spark, manifest, plan) if n > 1 else set()))
+        if missing:
+            inputs = inputs or with_pairs(load_fold(spark, settings, fold), settings)
+            blocks = [block for _, block in feature_blocks(inputs, edges, settings, sources=sources)]
+        if n == 1:
+            return sinks.write_stage(feature_table(inputs, candidates, blocks, settings), path)
+        if missing:
+            blocks = [(written(block), keys) for block, keys in blocks]
+        slice_ = F.pmod(F.xxhash64(settings.columns.user), F.lit(n))
+        for k in missing:
+            log.info("%s: part %d of %d", fold, k + 1, n)
+            sinks.write_stage(feature_table(inputs, candidates.filter(slice_ == k), blocks, settings), f"{parts}/{plan}/{k}")
+            sinks.record_part(spark, manifest, plan, k)
+        made = [spark.read.parquet(f"{parts}/{plan}/{k}") for k in range(n)]
+        table = sinks.write_stage(reduce(DataFrame.unionByName, made), path)
+        remove(spark, parts)
+    return table
+
+
+def part_plan(settings: Settings, candidates: DataFrame, edges: DataFrame, sources: Sequence[FeatureSource] | None) -> str:
+    """Names what the parts of a feature table are made from: a rebuilt input or another setting gives another name."""
+    names = [s.name for s in sources] if sources else None
+    made_from = [*sorted(candidates.inputFiles()), *sorted(edges.inputFiles()), repr((settings.features, settings.retrieval, settings.periods, settings.columns, names))]
+    return hashlib.sha256("\n".join(made_from).encode()).hexdigest()[:16]
 
 
 def read_features(spark: SparkSession, settings: Settings, fold_names: Sequence[str]) -> DataFrame:
@@ -119,10 +138,11 @@ def read_features(spark: SparkSession, settings: Settings, fold_names: Sequence[
 
 def train(spark: SparkSession, settings: Settings) -> tuple[LambdaRankModel, DataFrame]:
     """The ranker fitted on the training folds; a user in two folds is two ranking problems."""
-    frame = written(training_frame(read_features(spark, settings, trained_folds(settings)),
-                                   settings.training.negatives, settings.seed, settings.columns))
+    sampled = training_frame(read_features(spark, settings, trained_folds(settings)), settings.training.negatives, settings.seed, settings.columns)
+    frame = sinks.write_stage(sampled, settings.table("training"))
     ranker = LambdaRanker(columns=settings.columns, **settings.training.ranker)
-    return ranker.fit(frame, [FOLD, settings.columns.user]), frame
+    with temporary_tables(spark):
+        return ranker.fit(frame, [FOLD, settings.columns.user]), frame
 
 
 def score_fold(spark: SparkSession, settings: Settings, model: LambdaRankModel, fold: str) -> recommend.ScoredFold:
@@ -143,16 +163,18 @@ def write_submission(spark: SparkSession, settings: Settings, model: LambdaRankM
     inputs = load_fold(spark, settings, fold)
     fallback = recommend.popular_items(inputs, settings.retrieval.popularity_weeks, settings.lists.length)
     recs = model.recommend(read_features(spark, settings, [fold]), settings.lists.length, inputs.customers, fallback)
-    rows = written(sinks.submission_rows(recommend.to_lists(recs, settings.columns), settings.columns))
-    sinks.write_submission_csv(rows, settings.submission_path)
+    sinks.write_submission_csv(sinks.submission_rows(recommend.to_lists(recs, settings.columns), settings.columns), settings.submission_path)
+    # what is checked is what others will read
+    rows = sinks.read_submission_csv(spark, settings.submission_path)
     sinks.validate_submission(rows, readers.load(spark, _raw(settings, "sample_submission")), settings.lists.length)
     return rows
 
 
 def run_fold(spark: SparkSession, settings: Settings, fold: str, with_als: bool = True) -> DataFrame:
     """Candidates and features of one fold."""
-    inputs = with_pairs(load_fold(spark, settings, fold), settings)
-    return build_features(spark, settings, fold, inputs, build_candidates(spark, settings, fold, inputs, with_als))
+    with temporary_tables(spark):
+        inputs = with_pairs(load_fold(spark, settings, fold), settings)
+        return build_features(spark, settings, fold, inputs, build_candidates(spark, settings, fold, inputs, with_als))
 
 
 def run_all(spark: SparkSession, settings: Settings, stages: Sequence[str] = STAGES, overwrite: bool = False,
@@ -164,7 +186,8 @@ def run_all(spark: SparkSession, settings: Settings, stages: Sequence[str] = STA
     for needy in ("evaluate", "submit"):
         if needy in stages and "train" not in stages:
             raise ValueError(f"{needy!r} needs a model: include the 'train' stage")
-    tune(spark)
+    # the settings hold for a session of the run's own
+    spark = tune(spark)
     specs = folds.settings_specs(settings)
     newest = folds.holdout_spec(specs, settings.periods.trained)
     holdout = newest.fold if newest else None

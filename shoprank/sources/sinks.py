@@ -44,6 +44,18 @@ def read_stage(spark: SparkSession, path: str, made_by: str) -> DataFrame:
         raise FileNotFoundError(f"{path} is missing: run the {made_by!r} stage first") from error
 
 
+def finished_parts(spark: SparkSession, manifest: str, plan: str) -> set[int]:
+    """Parts of this plan that a manifest lists as finished; a manifest that isn't there lists none."""
+    if not _present(spark, manifest):
+        return set()
+    return {r["part"] for r in spark.read.parquet(manifest).filter(F.col("plan") == plan).select("part").distinct().collect()}
+
+
+def record_part(spark: SparkSession, manifest: str, plan: str, part: int) -> None:
+    """List a part as finished. Its table is complete before this is called."""
+    spark.createDataFrame([(plan, part)], "plan string, part int").coalesce(1).write.mode("append").parquet(manifest)
+
+
 def submission_rows(lists: DataFrame, cols: Columns = Columns()) -> DataFrame:
     """`(user, items[])` as `customer_id, prediction` with space-joined items."""
     text = F.concat_ws(" ", F.transform("items", lambda i: i.cast("string")))
@@ -55,6 +67,11 @@ def write_submission_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_submission_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A written submission as it will be read by others: text columns, nothing for an empty list."""
+    return spark.read.schema("customer_id string, prediction string").option("header", True).csv(path).fillna({"prediction": ""})
+
+
 def submission_violations(rows: DataFrame, expected: DataFrame, k: int = 12) -> DataFrame:
     """`(problem, n)` for customers missing, unexpected or with a wrong number of items."""
     wanted = expected.select("customer_id").distinct().withColumn("wanted", F.lit(1))

@@ -1,12 +1,14 @@
 """The whole run on a small generated shop, from CSV to the checked submission."""
 
 from datetime import date, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from shoprank.plans import development, stages
 from shoprank.schema import Periods, Retrieval, Settings, Training
+from shoprank.sources import readers
 from tests.conftest import rows
 
 
@@ -83,6 +85,68 @@ def test_own_sources_plug_in(spark, settings, model):
     assert keys == ["customer_id"] and set(source.produces) < set(block.columns)
 
 
+def test_a_killed_feature_stage_goes_on_where_it_was(spark, settings, model, monkeypatch):
+    parts = settings.changed(features={"passes": 4})
+    stages.build_candidates(spark, settings, "fold_2", with_als=False)
+    stages.build_features(spark, settings, "fold_2")
+    before = rows(stages.read_features(spark, settings, ["fold_2"]).fillna(-1), "customer_id", "article_id", "label", "user_purchases", "n_sources")
+    computed, original = [], stages.feature_table
+
+    def counted(inputs, candidates, blocks, settings_):
+        if len(computed) == 2:
+            raise KeyboardInterrupt
+        computed.append(1)
+        return original(inputs, candidates, blocks, settings_)
+
+    monkeypatch.setattr(stages, "feature_table", counted)
+    with pytest.raises(KeyboardInterrupt):
+        stages.build_features(spark, parts, "fold_2")
+    monkeypatch.setattr(stages, "feature_table", lambda *a: computed.append(1) or original(*a))
+    stages.build_features(spark, parts, "fold_2")
+    assert len(computed) == 4                                             # two before the kill, two after it
+    after = rows(stages.read_features(spark, settings, ["fold_2"]).fillna(-1), "customer_id", "article_id", "label", "user_purchases", "n_sources")
+    assert before == after and not Path(settings.out_dir, "feature_parts", "fold_2").exists()
+
+
+def test_rebuilt_candidates_make_parts_stale(spark, settings, model):
+    def plan():
+        cand, edges = (spark.read.parquet(settings.table(f"{t}/fold=fold_1")) for t in ("candidates", "neighbors"))
+        return stages.part_plan(settings, cand, edges, None)
+
+    first = plan()
+    assert plan() == first
+    stages.build_candidates(spark, settings, "fold_1")
+    assert plan() != first
+
+
+def test_stages_leave_no_temporary_tables(spark, settings, model):
+    from shoprank.functions.session import ensure_checkpoint_dir, temporary_tables, written
+
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    stages.build_candidates(spark, settings, "fold_2", with_als=False)
+    stages.build_features(spark, settings, "fold_2")
+    assert {p.name for p in folder.iterdir()} == before
+    with pytest.raises(ZeroDivisionError), temporary_tables(spark):
+        written(spark.range(3))
+        1 / 0
+    assert {p.name for p in folder.iterdir()} == before
+
+
+def test_the_run_uses_its_own_settings(spark, settings, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(stages, "prepare", lambda session, *_: seen.update(skew=session.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin"), own=session is not spark))
+    stages.run_all(spark, settings, ("prepare",))
+    assert seen == {"skew": "true", "own": True}
+
+
+def test_lines_that_do_not_fit_are_kept_apart(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b,c\n1,2020-01-02,x\nno,2020-01-02,y\n2,soon,z\n3\n4,2020-01-02,w,more\n5,,\n")
+    good, bad = readers.load_checked(spark, str(tmp_path / "x.csv"), "a int, b date, c string")
+    assert sorted(r.a for r in good.select("a").collect()) == [1, 5]
+    assert sorted(r.line for r in bad.collect()) == ["2,soon,z", "3", "4,2020-01-02,w,more", "no,2020-01-02,y"]
+
+
 def test_stage_rules(spark, settings):
     with pytest.raises(ValueError, match="unknown"):
         stages.run_all(spark, settings, ("cook",))
