@@ -86,9 +86,9 @@ def _(spark, d):
     return eda.survival_curve(retail(spark, d))
 
 
-@query("volume_by_week_offset", "week_offset:int n_purchases:long pct_volume:float cum_pct_volume:float", "SELECT * FROM decay WHERE week_offset <= 104")
+@query("volume_by_week_offset", "week_offset:int n_purchases:long pct_volume:float cum_pct_volume:float", "SELECT * FROM decay")
 def _(spark, d):
-    return eda.volume_by_week_offset(retail(spark, d), 104)
+    return eda.volume_by_week_offset(retail(spark, d))
 
 
 @query("decay_thresholds", "measure:str pct:int week_offset:int", " UNION ALL ".join(
@@ -115,7 +115,7 @@ def _(spark, d):
 
 cte("e_week", "SELECT CAST(date_trunc('week', t_dat) AS DATE) AS week, article_id, count(*) AS n FROM etx GROUP BY 1, 2")
 cte("e_next", "SELECT week, lead(week) OVER (ORDER BY week) AS following FROM (SELECT DISTINCT week FROM e_week)")
-cte("e_shared", """SELECT c.week, p.n AS n_before, c.n FROM (SELECT * FROM e_week QUALIFY row_number() OVER (PARTITION BY week ORDER BY n DESC, article_id) <= 60) p
+cte("e_shared", """SELECT c.week, p.n AS n_before, c.n FROM (SELECT * FROM e_week QUALIFY row_number() OVER (PARTITION BY week ORDER BY n DESC, article_id) <= 1000) p
   JOIN e_next x ON x.week = p.week JOIN e_week c ON c.week = x.following AND c.article_id = p.article_id""")
 cte("e_ranked", """SELECT week, rank() OVER (PARTITION BY week ORDER BY n_before) + (count(*) OVER (PARTITION BY week, n_before) - 1) / 2 AS x,
   rank() OVER (PARTITION BY week ORDER BY n) + (count(*) OVER (PARTITION BY week, n) - 1) / 2 AS y FROM e_shared""")
@@ -124,7 +124,7 @@ cte("stability", "SELECT week, corr(x, y) AS spearman_r FROM e_ranked GROUP BY 1
 
 @query("weekly_rank_stability", "week:date spearman_r:float", "SELECT * FROM stability")
 def _(spark, d):
-    return eda.weekly_rank_stability(events(spark, d), 60)
+    return eda.weekly_rank_stability(events(spark, d))
 
 
 @query("concentration_summary", "top1_pct:float top10_pct:float mean_rank_corr:float", """
@@ -133,7 +133,7 @@ SELECT max(bought / rows * 100) FILTER (r * 100 <= items) AS top1_pct, max(bough
 FROM (SELECT row_number() OVER w AS r, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS bought, count(*) OVER () AS items, sum(n) OVER () AS rows
   FROM (SELECT article_id, count(*) AS n FROM etx GROUP BY 1) WINDOW w AS (ORDER BY n DESC, article_id))""")
 def _(spark, d):
-    return eda.concentration_summary(events(spark, d), 60)
+    return eda.concentration_summary(events(spark, d))
 
 
 cte("purchase_ranks", "SELECT *, rank() OVER (PARTITION BY customer_id, article_id ORDER BY t_dat) AS pr FROM tx")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from registry import cte, query
 from registry.candidates import FLAGGED, candidates
-from registry.tables import RETAIL, retail_fold
+from registry.tables import RETAIL, retail, retail_fold, retail_specs
 from shoprank.functions.session import written
 from shoprank.operators import features, retrieval, transforms
 from shoprank.operators.recommend import ground_truth
@@ -109,6 +109,34 @@ def _(spark, d):
     return features.user_aggregates(retail_fold(spark, d), S.features.active_weeks)[0]
 
 
+@query("user_aggregates_sketch_facts", "customers:long outside:long", "SELECT count(*) AS customers, 0 AS outside FROM f_user")
+def _(spark, d):
+    """Customers, and those whose estimated number of distinct items lies outside the sketch's stated error."""
+    fold = retail_fold(spark, d)
+    rough, exact = (features.user_aggregates(fold, S.features.active_weeks, e)[0].select("customer_id", F.col("user_n_unique_items").alias(n)) for n, e in (("rough", False), ("exact", True)))
+    far = F.abs(F.col("rough") - F.col("exact")) > F.greatest(F.lit(0.5), features.SKETCH_ERROR * F.col("exact"))
+    return exact.join(rough, "customer_id").agg(F.count("*").alias("customers"), F.count_if(far).alias("outside"))
+
+
+# Distinct items over the windows of all folds from one table of sketches; held against exact counts.
+_WINDOWS = {f"{spec.fold} {w}": (spec.train_end, w) for spec in retail_specs(submission=False) for w in S.features.item_weeks}
+
+
+@query("windowed_distinct_items", "win:str customers:long outside:long", " UNION ALL ".join(
+    f"SELECT '{name}' AS win, count(DISTINCT customer_id) AS customers, 0 AS outside FROM tx WHERE t_dat <= DATE '{end}' AND t_dat > DATE '{end}' - {7 * weeks}"
+    for name, (end, weeks) in _WINDOWS.items()))
+def _(spark, d):
+    """Customers of each window, and those whose estimate lies outside the sketch's stated error (three deviations)."""
+    tx = retail(spark, d)
+    sketches = written(features.weekly_item_sketches(tx, RETAIL.periods.last_day))
+    found = features.distinct_in_windows(sketches, _WINDOWS, RETAIL.periods.last_day)
+    exact = [F.count_distinct(F.when((F.col("t_dat") <= F.lit(end)) & (F.col("t_dat") > F.date_sub(F.lit(end), 7 * w)), F.col("article_id"))).alias(name) for name, (end, w) in _WINDOWS.items()]
+    long = tx.groupBy("customer_id").agg(*exact).select("customer_id", F.explode(F.array(*[F.struct(F.lit(n).alias("win"), F.col(f"`{n}`").alias("n")) for n in _WINDOWS])).alias("e")).select("customer_id", "e.*")
+    both = long.filter("n > 0").join(found, ["customer_id", "win"], "left")
+    far = F.col("items").isNull() | (F.abs(F.col("items") - F.col("n")) > F.greatest(F.lit(0.5), features.SKETCH_ERROR * F.col("n")))
+    return both.groupBy("win").agg(F.count("*").alias("customers"), F.count_if(far).alias("outside"))
+
+
 @query("item_aggregates", ITEM, "SELECT * FROM f_item")
 def _(spark, d):
     return features.item_aggregates(retail_fold(spark, d), S.features.item_weeks)[0]
@@ -176,12 +204,12 @@ def _(spark, d):
     return full_features(retail_fold(spark, d))
 
 
-@query("prepare_matrix", "customer_id:long article_id:long user_std_price:float itemcf_score:float bought_before:float age:float", """
-SELECT customer_id, article_id, CAST(coalesce(user_std_price, 0) AS FLOAT) AS user_std_price,
-  CAST(coalesce(itemcf_score, 0) AS FLOAT) AS itemcf_score, CAST(coalesce(bought_before, 0) AS FLOAT) AS bought_before,
-  CAST(coalesce(age, 0) AS FLOAT) AS age FROM feats""")
+MATRIX = [part.split(":")[0] for part in ALL.split() if part.split(":")[0] not in ("customer_id", "article_id", "label")]
+
+
+@query("prepare_matrix", "customer_id:long article_id:long " + " ".join(f"{c}:float" for c in MATRIX),
+       "SELECT customer_id, article_id, " + ", ".join(f"CAST(coalesce({c}, 0) AS FLOAT) AS {c}" for c in MATRIX) + " FROM feats")
 def _(spark, d):
     from shoprank.operators.ranker import prepare_matrix
 
-    names = ["user_std_price", "itemcf_score", "bought_before", "age"]
-    return prepare_matrix(full_features(retail_fold(spark, d)), names)
+    return prepare_matrix(full_features(retail_fold(spark, d)), MATRIX)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from registry import cte, query
 from registry.tables import RETAIL, event_specs, events, open_specs, retail
 from shoprank.operators import signals
@@ -168,6 +170,15 @@ def _(spark, d):
     return _behaviour(spark, d, exact=False)
 
 
+@query("behaviour_consistency_sketch_facts", "fold:str dimension:str close:bool", "SELECT fold, dimension, true AS close FROM agreement")
+def _(spark, d):
+    """Whether cut points from a sketch move a share by less than one percent of the customers."""
+    names = ["fold", "dimension"]
+    rough = _behaviour(spark, d, exact=False).select(*names, F.col("observed").alias("o"), F.col("chance").alias("c"))
+    both = _behaviour(spark, d).join(rough, names)
+    return both.select(*names, ((F.abs(F.col("observed") - F.col("o")) < 0.01) & (F.abs(F.col("chance") - F.col("c")) < 0.01)).alias("close"))
+
+
 @query("behaviour_consistency_mean", "dimension:str observed:float chance:float ratio:float", """
 SELECT dimension, avg(observed) AS observed, avg(chance) AS chance, avg(observed) / avg(chance) AS ratio FROM agreement GROUP BY 1""")
 def _(spark, d):

@@ -87,3 +87,16 @@ def test_full_table_has_every_feature_once(make_fold):
     keys = ("customer_id", "article_id", "user_pcode_purchases", "user_item_ratio", "itemcf_score", "item_mean_buyer_age")
     fill = {k: -1.0 for k in keys[2:]}
     assert rows(shared.fillna(fill), *keys) == rows(table.fillna(fill), *keys)
+
+
+def test_weekly_sketches_serve_every_window(spark):
+    from datetime import date
+
+    log = spark.createDataFrame([("u", f"i{k % 9}", date(2020, 9, 1 + k)) for k in range(28)] + [("v", "i1", date(2020, 9, 28)), ("v", "i2", date(2020, 9, 30))],
+                                "customer_id string, article_id string, t_dat date")
+    sketches = features.weekly_item_sketches(log, date(2020, 9, 28))
+    windows = {"last": (date(2020, 9, 28), 1), "before": (date(2020, 9, 21), 1), "all": (date(2020, 9, 28), 4)}
+    got = {(r.customer_id, r.win): r["items"] for r in features.distinct_in_windows(sketches, windows, date(2020, 9, 28)).collect()}
+    assert got == {("u", "last"): 7, ("u", "before"): 7, ("u", "all"): 9, ("v", "last"): 1, ("v", "all"): 1}
+    with pytest.raises(ValueError, match="whole number"):
+        features.distinct_in_windows(sketches, {"odd": (date(2020, 9, 20), 1)}, date(2020, 9, 28))
