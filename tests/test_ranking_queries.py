@@ -51,3 +51,15 @@ def test_development_covers_all_folds(spark, monkeypatch):
     assert (seen["periods"].count, seen["periods"].trained, seen["ranker"]) == (4, (0, 1, 2, 3), {})
     assert seen["tables"] == ["label"] * 4
     assert seen["folds"] == ["fold_0", "fold_1", "fold_2", "fold_3"]
+
+
+def test_a_query_really_fits(spark, monkeypatch):
+    load_all()
+    from registry import QUERIES, ranking
+
+    monkeypatch.setattr(ranking, "S", ranking.S.changed(training={"ranker": {"rounds": 2}}))
+    monkeypatch.setattr(ranking, "_MODELS", {})
+    scores = QUERIES["ranker_score"](spark, DIR)
+    (model,) = ranking._MODELS.values()
+    assert len(model.trees) == 2 and max(t.leaves for t in model.trees) > 1 and len(model.feature_cols) == 51
+    assert scores.filter("score is null").count() == 0 and scores.select("score").distinct().count() > 1
