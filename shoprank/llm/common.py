@@ -92,6 +92,16 @@ def schema_of(df: DataFrame, more: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores behind it as it takes to be no column of `df`."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Text, doc_id and lang of every row with all its columns but the text in the struct `row`, so that no added name clashes."""
     names = [F.col(f"`{c}`") for c in docs.columns if c != "text"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -21,11 +23,20 @@ UNKNOWN, SMOOTH, PLAIN = 1e-7, 0.02, 32
 REMEMBER = 200_000
 #: odd factor of the rolling hash under which pieces are looked up
 FACTOR = 0x9E3779B97F4A7C15
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _other_numerals() -> str:
+    """Characters that count as word characters and are neither letters nor decimal digits (fractions, superscripts, Roman numerals), as ranges."""
+    found = {c for c in range(sys.maxunicode + 1) if chr(c).isalnum() and unicodedata.category(chr(c))[0] != "L" and not chr(c).isdecimal()}
+    firsts, lasts = sorted(c for c in found if c - 1 not in found), sorted(c for c in found if c + 1 not in found)
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(firsts, lasts, strict=True))
+
+
+LETTERS = re.compile(rf"[^\W\d_{_other_numerals()}]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters."""
+    """Lower-cased runs of letters (Unicode categories L*)."""
     return LETTERS.findall(text.lower())
 
 
@@ -105,6 +116,38 @@ def long_word(lattice: Lattice, word: str, p: np.ndarray) -> np.ndarray:
     return log
 
 
+def long_counts(lattice: Lattice, word: str, q: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Expected number of times each piece is used in one long marked word under one language, over all its segmentations.
+
+    Forward and backward sums are kept as logarithms; edges are looked up in parts, so a word takes some bytes per character.
+    """
+    length = len(word)
+    with np.errstate(divide="ignore"):
+        logs = np.log(q)
+    starts = range(0, length, step)
+
+    def edges(lo: int) -> np.ndarray:
+        return lattice.edges([word[lo : lo + step + lattice.longest]])[0][: min(step, length - lo)]
+
+    ahead, behind = np.full(length + 1, -np.inf), np.full(length + 1, -np.inf)
+    ahead[0] = behind[length] = 0.0
+    for lo in starts:
+        w = logs[edges(lo)]
+        for i in range(len(w)):
+            to = slice(lo + i + 1, min(lo + i + 1 + w.shape[1], length + 1))
+            ahead[to] = np.logaddexp(ahead[to], ahead[lo + i] + w[i, : to.stop - to.start])
+    counts = np.zeros(len(q))
+    for lo in reversed(starts):
+        e = edges(lo)
+        w = logs[e]
+        for i in reversed(range(len(w))):
+            to = slice(lo + i + 1, min(lo + i + 1 + w.shape[1], length + 1))
+            through = w[i, : to.stop - to.start] + behind[to]
+            behind[lo + i] = np.logaddexp.reduce(through)
+            np.add.at(counts, e[i, : len(through)], np.exp(ahead[lo + i] + through - ahead[length]))
+    return counts
+
+
 def by_length(words: list[str]) -> dict[int, list[int]]:
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(words):
@@ -174,20 +217,23 @@ def train(docs: DataFrame, model: str, rounds: int = EM_ROUNDS) -> tuple[list[st
                 words, n = [MARK + w for w in b.column(1).to_pylist()], b.column(2).to_numpy().astype(float)
                 lang = np.array([place[x] for x in b.column(0).to_pylist()], np.int64)
                 for length, at in by_length(words).items():
+                    if length > PLAIN:
+                        for x in at:
+                            total[lang[x]] += n[x] * long_counts(table, words[x], probs[:, lang[x]])
+                        continue
                     for lo in range(0, len(at), 4096):
                         part = np.array(at[lo : lo + 4096])
                         for k in np.unique(lang[part]):
                             own = part[lang[part] == k]
-                            for cut in range(0, length, PLAIN):    # a very long word counts in pieces of PLAIN characters
-                                e = table.edges([words[x][cut : cut + PLAIN] for x in own])
-                                q = probs[:, k : k + 1]
-                                fw, bw = forward(e, q)[:, :, 0], backward(e, q)[:, :, 0]
-                                each = n[own] / fw[-1]
-                                weight = q[:, 0][e]
-                                for i in range(e.shape[1]):
-                                    for j in range(min(e.shape[2], e.shape[1] - i)):
-                                        weight[:, i, j] *= each * fw[i] * bw[i + j + 1]
-                                total[k] += np.bincount(e.ravel(), weight.ravel(), total.shape[1])
+                            e = table.edges([words[x] for x in own])
+                            q = probs[:, k : k + 1]
+                            fw, bw = forward(e, q)[:, :, 0], backward(e, q)[:, :, 0]
+                            each = n[own] / fw[-1]
+                            weight = q[:, 0][e]
+                            for i in range(e.shape[1]):
+                                for j in range(min(e.shape[2], e.shape[1] - i)):
+                                    weight[:, i, j] *= each * fw[i] * bw[i + j + 1]
+                            total[k] += np.bincount(e.ravel(), weight.ravel(), total.shape[1])
             lang, piece = np.nonzero(total[:, : table.size])
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(piece), pa.array(total[lang, piece])], ["lang", "piece", "n"])
 
@@ -236,7 +282,7 @@ def identify(docs: DataFrame, model: str, columns: list[str] | None = None, fold
 
     docs: doc_id, text, lang; other columns are not read unless named. Learns from text and lang of the rows
     whose id bucket of `folds` is not 0. A text without letters (or null) gives `und` and 0; so does every
-    text if no language is known. Every row gives a row, repeated rows and missing ids (bucket 0) included.
+    text if no language is known. Equally likely languages: the first by name. Every row gives a row, repeated rows and missing ids (bucket 0) included.
     """
     columns = columns or ["doc_id"]
     held = id_bucket("doc_id", folds) == 0

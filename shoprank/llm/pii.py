@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoprank.llm.common import free_names
+
 _LOCAL = r"[A-Za-z0-9._%+-]"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: length of an IBAN -> codes of the countries that have it
@@ -139,7 +141,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Columns and rows stay as they are; null texts stay null.
     """
-    name = "__pii"
+    name, = free_names(docs, "__pii")
     found = find_spans(docs, name)
     none = F.array().cast("array<struct<kind: string, start: bigint, end: bigint>>")
     place = F.transform(F.array_sort(F.transform(F.col(name), lambda s: F.struct(s["start"], s["end"], s["kind"]))),

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoprank.llm.common import free_names
+
 #: host of a URL, without user and port
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 #: first part of the path
@@ -57,7 +59,7 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     Captures of one host, section and time are judged once and the verdict is joined back on all three, so a
     host with a third of all captures is spread over its fetch times; hosts that no entry names fall out early.
     """
-    own = ("__host", "__section", "__fetched")
+    own = free_names(captures, "__host", "__section", "__fetched")
     placed = captures.withColumns({own[0]: F.coalesce(host_of(F.col("url")), F.lit("")), own[1]: F.coalesce(section_of(F.col("url")), F.lit("")), own[2]: F.col("fetched")})
     asked = placed.where(f"{own[0]} <> '' and {own[2]} is not null").select(*own).distinct()
     named = asked.select(*own, F.explode(keys_of(F.col(own[0]), F.col(own[1]))).alias("pattern"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 PROSE = ("the river ran down past the old mill and over the stones where children used to play before the war came and took the "
          "young men away from their fields and their songs and left the mill wheel standing still in the water for many long years").split()
-CLASHES = ("row", "n", "node", "at", "comp", "token", "key", "score", "held_out", "pii", "lang_pred", "spans", "word", "times", "place")
+CLASHES = ("row", "n", "node", "at", "comp", "token", "key", "score", "held_out", "pii", "lang_pred", "spans", "word", "times", "place", "__pii", "__host")
 
 
 def text(start, n):

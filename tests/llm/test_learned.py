@@ -31,6 +31,42 @@ def lattice_sum(lattice, word, p):
     return total
 
 
+def test_long_words_count_all_their_segmentations():
+    lattice = languages.Lattice(piece_model())
+    q = languages.with_extra(np.random.default_rng(4).dirichlet(np.ones(lattice.size), 1))[:, 0]
+
+    def listed(word):
+        """(probability, pieces) of every segmentation."""
+        if not word:
+            return [(1.0, ())]
+        out = []
+        for k in range(1, len(word) + 1):
+            piece = lattice.ids.get(word[:k], lattice.size if k == 1 else None)
+            if piece is not None:
+                out += [(q[piece] * x, (piece, *rest)) for x, rest in listed(word[k:])]
+        return out
+
+    for word in ("▁the", "▁unterwegs", "▁xq漢z"):
+        want, every = np.zeros(len(q)), listed(word)
+        for x, pieces in every:
+            np.add.at(want, list(pieces), x / sum(p for p, _ in every))
+        for step in (1, 3, 1 << 16):
+            assert np.allclose(languages.long_counts(lattice, word, q, step), want)
+    # every segmentation covers the whole word, however long
+    size = np.array([len(p) for p in sorted(lattice.ids, key=lattice.ids.get)] + [1, 0])
+    for word in ("▁" + "donaudampfschifffahrt" * 30, "▁" + "x" * 3000):
+        assert abs(languages.long_counts(lattice, word, q, 500) @ size - len(word)) < 1e-6
+
+
+def test_letters_are_the_unicode_letters():
+    import sys
+    import unicodedata
+
+    letters = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and languages.LETTERS.fullmatch(chr(c))]
+    assert letters == [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L"]
+    assert languages.words_of("½ ² ② Ⅷ _ 12") == [] and languages.words_of("x² Aé漢1b") == ["x", "aé漢", "b"]
+
+
 def test_forward_sums_all_segmentations():
     lattice, rng = languages.Lattice(piece_model()), np.random.default_rng(0)
     p = rng.random((2, lattice.size)) / lattice.size

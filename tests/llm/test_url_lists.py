@@ -35,9 +35,10 @@ def brute(url, at):
 def test_captures_equal_a_replay_of_the_list(spark):
     entries = spark.createDataFrame(ENTRIES, "pattern string, category string, action string, listed timestamp")
     rows = [(k, u, d) for k, u in enumerate(URLS) for d in [*DAY.values(), None]] * 2
-    captures = spark.createDataFrame(rows, "id int, url string, fetched timestamp").withColumns({c: F.lit("own") for c in ("pattern", "valid_from", "since", "blocked", "host")})
+    captures = spark.createDataFrame(rows, "id int, url string, fetched timestamp").withColumns({c: F.lit("own") for c in ("pattern", "valid_from", "since", "blocked", "host", "__host", "__SECTION", "__fetched", "__fetched_")})
     got = url_lists.judge(captures, entries)
-    assert got.count() == len(rows) and {"id", "pattern", "valid_from", "host"} <= set(got.columns)
+    assert got.count() == len(rows) and {"id", "pattern", "valid_from", "host", "__host", "__SECTION", "__fetched", "__fetched_"} <= set(got.columns)
+    assert {tuple(r) for r in got.select("__host", "__SECTION", "__fetched", "__fetched_").distinct().collect()} == {("own",) * 4}
     for r in got.collect():
         assert (r["categories"], r["since"], r["blocked"]) == brute(r["url"], r["fetched"]), r
 
