@@ -1,8 +1,8 @@
 """The run from raw files to a submission, stage by stage.
 
 Every stage reads the tables of the one before and ends in a written table below `out_dir`:
-transactions, articles, customers, folds (by fold and split), neighbors, candidates and features
-(each by fold).
+transactions, articles, customers, folds (their boundaries), neighbors, candidates and features
+(each by fold), training.
 """
 
 from __future__ import annotations
@@ -43,7 +43,10 @@ def trained_folds(settings: Settings) -> list[str]:
 
 
 def prepare(spark: SparkSession, settings: Settings, overwrite: bool = False) -> list[folds.FoldSpec]:
-    """Raw CSV to typed tables; all fold slices go into one table, partitioned by fold and split."""
+    """Raw CSV to typed tables, and the folds' boundaries.
+
+    Folds overlap, so their slices are not copied: a slice is a range of dates over the log, which is stored in sorted runs.
+    """
     # Names of the raw files.
     tx = readers.load_transactions(spark, _raw(settings, "transactions_train"))
     # sorted runs give narrow date ranges per row group, so cut-offs skip most of the log
@@ -51,24 +54,32 @@ def prepare(spark: SparkSession, settings: Settings, overwrite: bool = False) ->
     for name in ("articles", "customers"):
         sinks.write_once(readers.load(spark, _raw(settings, name)), settings.table(name), overwrite)
     specs = folds.settings_specs(settings)
-    tagged = folds.tag_folds(spark.read.parquet(settings.table("transactions")), specs, settings.columns)
-    sinks.write_once(tagged, settings.table("folds"), overwrite, ["fold", "split"])
+    sinks.write_once(folds.spec_table(spark, specs).coalesce(1), settings.table("folds"), overwrite)
     return specs
 
 
-def fold_table(spark: SparkSession, settings: Settings) -> DataFrame:
-    tagged = sinks.read_stage(spark, settings.table("folds"), "prepare")
-    return folds.fold_report(tagged, folds.settings_specs(settings), settings.columns)
+def stored_specs(spark: SparkSession, settings: Settings) -> list[folds.FoldSpec]:
+    """The boundaries that `prepare` stored, one row per fold."""
+    rows = sinks.read_stage(spark, settings.table("folds"), "prepare").collect()
+    return [folds.FoldSpec(**row.asDict()) for row in sorted(rows, key=lambda r: (r["fold_index"] is None, r["fold_index"]))]
 
 
-def load_fold(spark: SparkSession, settings: Settings, fold: str) -> FoldInputs:
-    slices = sinks.read_stage(spark, settings.table("folds"), "prepare").filter(F.col("fold") == fold)
+def fold_slices(spark: SparkSession, settings: Settings) -> DataFrame:
+    """The log with `fold` and `split`: each row once per slice it lies in."""
+    tx = sinks.read_stage(spark, settings.table("transactions"), "prepare")
+    return folds.tag_folds(tx, stored_specs(spark, settings), settings.columns)
 
-    def part(split: str) -> DataFrame:
-        return slices.filter(F.col("split") == split).drop("fold", "split")
 
+def fold_table(spark: SparkSession, settings: Settings) -> DataFrame:
+    return folds.fold_report(fold_slices(spark, settings), stored_specs(spark, settings), settings.columns)
+
+
+def load_fold(spark: SparkSession, settings: Settings, fold: str) -> FoldInputs:
+    found = [spec for spec in stored_specs(spark, settings) if spec.fold == fold]
+    if not found:
+        raise ValueError(f"the run has no fold {fold!r}")
     tables = [sinks.read_stage(spark, settings.table(t), "prepare") for t in ("transactions", "articles", "customers")]
-    return folds.fold_inputs(fold, part("train"), part("val"), *tables, settings.columns)
+    return folds.spec_inputs(found[0], *tables, settings.columns)
 
 
 def build_candidates(spark: SparkSession, settings: Settings, fold: str, inputs: FoldInputs | None = None,

@@ -152,5 +152,8 @@ def test_stage_rules(spark, settings):
         stages.run_all(spark, settings, ("cook",))
     with pytest.raises(ValueError, match="train"):
         stages.run_all(spark, settings, ("submit",))
+    with pytest.raises(ValueError, match="no fold"):
+        stages.load_fold(spark, settings, "fold_9")
+    assert [s.fold for s in stages.stored_specs(spark, settings)] == ["fold_0", "fold_1", "fold_2", "fold_submission"]
     with pytest.raises(FileNotFoundError, match="prepare"):
         stages.load_fold(spark, settings.changed(out_dir="/tmp/shoprank-none"), "fold_0")
