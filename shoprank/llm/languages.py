@@ -32,12 +32,17 @@ def _other_numerals() -> str:
     return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(firsts, lasts, strict=True))
 
 
+ALMOST = re.compile(r"[^\W\d_]+")
 LETTERS = re.compile(rf"[^\W\d_{_other_numerals()}]+")
 
 
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters (Unicode categories L*)."""
-    return LETTERS.findall(text.lower())
+    words = ALMOST.findall(text.lower())
+    # the quick pattern takes some numerals for letters; few texts hold any
+    if not words or "".join(words).isalpha():
+        return words
+    return [part for w in words for part in ([w] if w.isalpha() else LETTERS.findall(w))]
 
 
 class Lattice:
