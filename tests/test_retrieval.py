@@ -157,3 +157,18 @@ def test_blocks_out_of_reach_stay_closed():
     x[:, 0] = 50
     scores, ids = nearest.best_of_boxes(x, np.sqrt((x**2).sum(axis=1)), np.full((4, 1), -np.inf), np.full((4, 1), 99), boxes, 1)
     assert opened == [0] and ids.ravel().tolist() == [0] * 4 and np.allclose(scores, 500)
+
+
+def test_item_factors_reach_tasks_as_packed_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    x, y = draw.random((30, 4)).astype(np.float32), draw.random((90, 4)).astype(np.float32)
+    users = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, features array<float>")
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "id int, features array<float>")
+
+    def whole(self):
+        raise AssertionError("a table of item factors as rows on the driver")
+
+    monkeypatch.setattr(type(items), "toPandas", whole)
+    got = {(r["_u"], r["rank"]): r["_i"] for r in nearest.nearest_by_factors(users, items, 5, size=8, out_bytes=8 * 4 * 4 * 3).collect()}
+    products = x.astype(np.float64) @ y.T
+    assert got == {(u, k + 1): int(i) for u in range(30) for k, i in enumerate(np.lexsort((np.arange(90), -products[u]))[:5])}
