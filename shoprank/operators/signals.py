@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoprank.functions.columns import price_tier
@@ -107,30 +107,39 @@ def attribute_loyalty(tx: DataFrame, articles: DataFrame, specs: Sequence[FoldSp
     """Per window and attribute: share of pairs with a value the user had bought, and the share
     expected from how common each value is.
 
-    Pairs are dealt out by user once; the seven values of each pair are made, counted and met where they lie.
+    The log is summed per pair once and written. Articles are met by a sorted join while they have one row each, then pairs
+    are dealt out by user and the seven values of each pair are made, counted and added up where they lie.
     """
-    values = articles.select(cols.item, F.explode(F.array(*[
-        F.struct(F.lit(name).alias("attribute"), F.col(c).cast("string").alias("value")) for name, c in attributes])).alias("e")
-    ).select(cols.item, "e.*").filter(F.col("value").isNotNull())
-    pairs = _first_dates(tx, [cols.user, cols.item], "first_pair", cols.date).repartition(cols.user)
-    owned = _first_dates(pairs.join(values, cols.item), [cols.user, "attribute", "value"], "first_value", "first_pair")
-
-    def per_fold(df: DataFrame, first: str, keys: Sequence[str], out: str) -> DataFrame:
-        counted = df.groupBy(*keys).agg(*[F.count_if(F.col(first) <= F.lit(s.train_end)).alias(f"n{i}") for i, s in enumerate(specs)])
-        rows = F.array(*[F.struct(F.lit(s.fold).alias("fold"), F.col(f"n{i}").alias(out)) for i, s in enumerate(specs)])
+    attribute_columns = dict.fromkeys(c for _, c in attributes)
+    # never broadcast: an article's few bytes on disk are seven values of text in memory
+    described = articles.select(cols.item, *attribute_columns).hint("merge")
+    day = F.col(cols.date)
+    pairs = written(tx.groupBy(cols.user, cols.item).agg(
+        F.min(day).alias("first_pair"), *[F.max(F.coalesce(s.in_val(day), F.lit(False)).cast("int")).alias(f"next{i}") for i, s in enumerate(specs)]))
+    values = F.explode(F.array(*[F.struct(F.lit(name).alias("attribute"), F.col(c).cast("string").alias("value")) for name, c in attributes]))
+    met = pairs.join(described, cols.item).repartition(cols.user)
+    owned = (met.select(cols.user, "first_pair", *[f"next{i}" for i in range(len(specs))], values.alias("e")).filter(F.col("e.value").isNotNull())
+                .groupBy(cols.user, F.col("e.attribute").alias("attribute"), F.col("e.value").alias("value"))
+                .agg(F.min("first_pair").alias("first_value"), *[F.sum(f"next{i}").alias(f"n{i}") for i in range(len(specs))]))
+
+    def known(first: str, s: FoldSpec) -> Column:
+        return F.col(first) <= F.lit(s.train_end)
+
+    def of_folds(counted: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(s.fold).alias("fold"), *[F.col(f"{name}{i}").alias(name) for name in names]) for i, s in enumerate(specs)])
         return counted.select(*keys, F.explode(rows).alias("e")).select(*keys, "e.*")
 
-    buyers = per_fold(owned, "first_value", ["attribute", "value"], "buyers").filter(F.col("buyers") > 0)
-    people = per_fold(_first_dates(tx, [cols.user], "first_day", cols.date), "first_day", [], "n_customers")
-    bought = next_pairs(tx, specs, cols).repartition(cols.user)
-    sizes = bought.groupBy("fold").agg(F.count("*").alias("n_next")).join(people, "fold")
-    # counted per value before the few (fold, attribute, value) rows of `buyers` are joined
-    by_value = (bought.join(values, cols.item).join(owned, [cols.user, "attribute", "value"], "left").groupBy("fold", "attribute", "value")
-                .agg(F.count_if(F.col("first_value") <= F.col("cut")).alias("matched"), F.count("*").alias("n"))
-                .join(buyers, ["fold", "attribute", "value"], "left"))
+    # pairs without a user are nobody's earlier choice
+    counts = [column for i, s in enumerate(specs) for column in (
+        F.sum(f"n{i}").alias(f"n{i}"), F.count_if(known("first_value", s)).alias(f"buyers{i}"),
+        F.sum(F.when(known("first_value", s) & F.col(cols.user).isNotNull(), F.col(f"n{i}")).otherwise(0)).alias(f"matched{i}"))]
+    by_value = of_folds(owned.groupBy("attribute", "value").agg(*counts), ["attribute", "value"], ["n", "buyers", "matched"]).filter(F.col("n") > 0)
+    some = F.when(F.col("buyers") > 0, F.col("n"))
     sums = by_value.groupBy("fold", "attribute").agg(
-        F.sum("matched").alias("matched"),
-        F.try_divide(F.sum(F.col("n") * F.col("buyers")), F.sum(F.when(F.col("buyers").isNotNull(), F.col("n")))).alias("mean_buyers"))
+        F.sum("matched").alias("matched"), F.try_divide(F.sum(some * F.col("buyers")), F.sum(some)).alias("mean_buyers"))
+    people = pairs.groupBy(cols.user).agg(F.min("first_pair").alias("first_day"), *[F.sum(f"next{i}").alias(f"n{i}") for i in range(len(specs))])
+    sizes = of_folds(people.agg(*[column for i, s in enumerate(specs) for column in (
+        F.sum(f"n{i}").alias(f"n_next{i}"), F.count_if(known("first_day", s)).alias(f"n_customers{i}"))]), [], ["n_next", "n_customers"])
     return sums.join(sizes, "fold").select(
         "fold", "attribute", (100.0 * F.col("matched") / F.col("n_next")).alias("match_pct"),
         F.try_divide(100.0 * F.col("mean_buyers"), F.col("n_customers")).alias("chance_pct"))

@@ -75,3 +75,16 @@ def test_duplicates_and_patterns(spark):
     assert tuple(r) == (3, 1, 1, 2)
     facts = eda.transaction_facts(eda.transaction_patterns(tx)).first()
     assert facts["n_weeks"] == 1 and facts["peak_transactions"] == 3 and facts["n_outliers"] == 0
+
+
+def test_loyalty_never_broadcasts_the_values_and_counts_by_hand(spark):
+    tx = log(spark, [("u", "a", "2020-01-01"), ("u", "b", "2020-01-27"), ("v", "a", "2020-01-02"), ("v", "c", "2020-01-28"), ("v", "c", "2020-01-29"),
+                     (None, "a", "2020-01-03"), (None, "b", "2020-01-28"), ("w", "x", "2020-01-28")])
+    articles = spark.createDataFrame([("a", "red"), ("b", "red"), ("b", "red"), ("c", None)], "article_id string, colour string")
+    (spec,) = fold_specs("2020-01-29", None, 1, 1, False)
+    table = signals.attribute_loyalty(tx, articles, [spec], [("colour", "colour")])
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [article_id" in plan
+    # next: u-b, v-c, nobody's b, w-x; b is listed twice, so four values of which u's two match; red has three buyers, three customers
+    r = table.first()
+    assert (r["fold"], r["attribute"]) == ("fold_0", "colour") and r["match_pct"] == 100.0 * 2 / 4 and r["chance_pct"] == 100.0 * 3 / 3
