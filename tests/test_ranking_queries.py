@@ -63,3 +63,40 @@ def test_a_query_really_fits(spark, monkeypatch):
     (model,) = ranking._MODELS.values()
     assert len(model.trees) == 2 and max(t.leaves for t in model.trees) > 1 and len(model.feature_cols) == 51
     assert scores.filter("score is null").count() == 0 and scores.select("score").distinct().count() > 1
+
+
+def test_features_are_built_for_drawn_rows_only(spark, monkeypatch):
+    load_all()
+    from dataclasses import replace
+
+    from registry import feature_blocks, ranking, tables
+
+    built, original = [], feature_blocks.feature_table
+
+    def counted(fold, rows, blocks, settings):
+        built.append(rows.count())
+        return original(fold, rows, blocks, settings)
+
+    monkeypatch.setattr(feature_blocks, "feature_table", counted)
+    fold = feature_blocks.prepared(tables.retail_fold(spark, DIR, 1))
+    once, whole = ranking.drawn(fold), fold.candidates.count()
+    n = once.count()
+    assert built == [n] and 0 < n < whole
+    whole_first = ranking.ranker.training_frame(feature_blocks.full_features(fold).withColumn(ranking.FOLD, F.lit("fold_1")), ranking.N)
+    assert whole_first.select(*once.columns).exceptAll(once).count() == 0 and whole_first.count() == n
+    # an article listed twice repeats rows of the feature table: the draw is made among those
+    twice = replace(fold, articles=fold.articles.unionByName(fold.articles.filter("article_id % 3 = 0")))
+    built.clear()
+    ranking.drawn(twice)
+    assert built == [whole]
+
+
+def test_scores_are_read_from_unwritten_features(spark, monkeypatch):
+    load_all()
+    from registry import ranking
+
+    def refused(df):
+        raise AssertionError("a full feature table is written")
+
+    monkeypatch.setattr(ranking, "written", refused)
+    assert "label" in ranking.held_out(spark, DIR)[1].columns
