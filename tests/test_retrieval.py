@@ -172,3 +172,25 @@ def test_item_factors_reach_tasks_as_packed_blocks(spark, monkeypatch):
     got = {(r["_u"], r["rank"]): r["_i"] for r in nearest.nearest_by_factors(users, items, 5, size=8, out_bytes=8 * 4 * 4 * 3).collect()}
     products = x.astype(np.float64) @ y.T
     assert got == {(u, k + 1): int(i) for u in range(30) for k, i in enumerate(np.lexsort((np.arange(90), -products[u]))[:5])}
+
+
+def test_one_shuffle_by_user_serves_union_and_cap(spark):
+    parts = {n: spark.createDataFrame([("u", "a", 1, n), ("u", "b", 2, n)], "customer_id string, article_id string, rank int, source string")
+             for n in ("x", "y")}
+    wide = union.source_flags(union.union_candidates(parts), list(parts))
+    plan = union.cap_per_customer(wide, 1)._jdf.queryExecution().executedPlan().toString()
+    # nothing is held in memory before the shuffle, and the cap needs no second one
+    assert plan.count("Exchange hashpartitioning(customer_id") == 1
+    assert "HashAggregate" not in plan.split("Exchange hashpartitioning(customer_id")[1]
+
+
+def test_segment_lists_never_broadcast_the_customers(make_fold):
+    f = make_fold([("u", "a", "09-10")], [("u", 20.0, "p1"), ("x", None, None)])
+    got = retrieval.segment_popularity(f, 3, global_fallback="off")
+    assert "LeftOuter" in got._jdf.queryExecution().optimizedPlan().toString().split("Union")[0]
+    assert rows(got, "customer_id", "article_id", "rank") == [("u", "a", 1)]
+
+
+def test_tasks_are_given_little_of_a_shuffle(spark):
+    # rows of a few numbers take many times their shuffled bytes in memory
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
