@@ -100,3 +100,15 @@ def test_scores_are_read_from_unwritten_features(spark, monkeypatch):
 
     monkeypatch.setattr(ranking, "written", refused)
     assert "label" in ranking.held_out(spark, DIR)[1].columns
+
+
+def test_folds_are_measured_without_writing_candidates(spark, monkeypatch):
+    load_all()
+    from registry import lists
+    from shoprank.operators import diagnostics
+
+    stored = []
+    monkeypatch.setattr(lists, "written", lambda df, write=lists.written: (stored.append(set(df.columns)), write(df))[1])
+    report = lists.fold_reports(spark, DIR, lambda found, truth: diagnostics.cap_sweep(found, truth, (2, None), keys=["fold"]))
+    assert {(r["fold"], r["cap"]) for r in report.collect()} == {(f"fold_{k}", c) for k in range(4) for c in ("2", "uncapped")}
+    assert not any("n_sources" in columns for columns in stored)
