@@ -176,3 +176,24 @@ def test_nothing_to_learn_from(spark):
     held = [(i, "a b") for i in range(200) if bucket(i, 10) == 0]
     for r in language_model.score_texts(documents(spark, held)).collect():
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0)
+
+
+def test_a_step_equals_the_plain_formula():
+    rng = np.random.default_rng(5)
+    flat, features = language_model.context([rng.integers(0, 2**63, 300, dtype=np.uint64) for _ in range(3)])
+    model = language_model.Model(rng.random((language_model.OUTER, language_model.INNER)) + 0.1)
+    model.w[:], model.w2[:] = rng.normal(size=model.w.shape), rng.normal(size=model.w2.shape)
+    outer, inner = language_model.leaf_of(flat)
+    for weights, bias, label, rows in zip(("w", "w2"), (model.bias, model.bias2[outer]), (outer, inner), model.rows(features, outer)):
+        w = getattr(model, weights).astype(float)
+        z = np.exp(bias + w[rows].sum(1))
+        error = z / z.sum(1, keepdims=True) - np.eye(8)[label]
+        step = np.zeros_like(w)
+        for k in range(rows.shape[1]):
+            np.add.at(step, rows[:, k], error)
+        new = language_model.Model.of(model.state())
+        new.bias, new.bias2 = model.bias, model.bias2
+        squares = [np.zeros(len(w), np.float32), np.zeros(len(w), np.float32)]
+        new.learn(flat, features, squares)
+        want = w - language_model.RATE * step / np.sqrt((step * step).mean(1) + 1.0)[:, None]
+        assert np.allclose(getattr(new, weights), want, atol=1e-4)
