@@ -15,6 +15,8 @@ SAME, TOTAL = 3, 4
 STAR_ROUNDS = 2
 #: places of a set's parity sketch
 SKETCH = 2048
+#: sets of one shingle that a task compares with each other or with as many others
+SLICE = 1024
 
 
 def n_parts(band: int) -> int:
@@ -149,6 +151,68 @@ def _rarest(texts: DataFrame) -> DataFrame:
     return ranked.where("k <= c - ceil(n * 3 / 4) + 1").select("shingle", "node", "n", "c")
 
 
+def _grouped(batches, width: int):
+    """(columns as numpy arrays, cuts): whole groups of rows that agree in the first `width` columns, lying between two cuts each.
+
+    Rows come sorted by these columns; the last column is a list of SKETCH bits. A group may run over several batches.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(c) for c in batch.columns[:-1]] + [np.asarray(batch.columns[-1].flatten()).view(np.uint64).reshape(batch.num_rows, -1)]
+        if held is not None:
+            columns = [np.concatenate(both) for both in zip(held, columns, strict=True)]
+        new = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns[:width]], axis=0)) + 1
+        last = int(new[-1]) if len(new) else 0
+        if last:
+            yield [c[:last] for c in columns], [0, *new.tolist()]
+        held = [c[last:] for c in columns]
+    if held is not None:
+        yield held, [0, len(held[0])]
+
+
+def _met(rare: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of different components that share a shingle of `rare` and that neither sizes nor sketches rule out.
+
+    The sets of a shingle are dealt into slices, and a task compares a slice with itself or with another: copies of one text
+    that narrowly miss each other are no rows of a join, only what may link leaves the task. A set is sent once per slice of
+    its shingle, so a shingle of m sets sends m * ceil(m / SLICE) rows however many pairs they form.
+    """
+    own = Window.partitionBy("shingle")
+    several = rare.withColumns({"m": F.count("*").over(own), "lo": F.min("comp").over(own), "hi": F.max("comp").over(own)}).where("lo <> hi")
+    dealt = several.withColumn("parts", F.ceil(F.col("m") / SLICE)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    sent = dealt.join(texts.select("node", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    keys = {"low": F.least("part", "other"), "high": F.greatest("part", "other")}
+    rows = sent.withColumns(keys).select("shingle", "low", "high", "part", "node", "comp", "n", "c", "sketch")
+
+    def run(batches):
+        for (_, low, high, part, node, comp, n, c, bits), cuts in _grouped(batches, 3):
+            left, right = [], []
+            for start, end in zip(cuts, cuts[1:]):
+                one = low[start] == high[start]
+                y = np.arange(start, end) if one else start + np.flatnonzero(part[start:end] == high[start])
+                x = y if one else start + np.flatnonzero(part[start:end] == low[start])
+                step = max(1, (1 << 16) // max(1, len(y)))
+                for at in range(0, len(x), step):
+                    i = x[at : at + step, None]
+                    fit = (comp[i] != comp[y]) & (TOTAL * np.minimum(n[i], n[y]) >= SAME * np.maximum(n[i], n[y])) & (
+                        (TOTAL + SAME) * np.minimum(c[i], c[y]) >= SAME * (n[i] + n[y]))
+                    if one:
+                        fit &= i < y
+                    a, b = np.nonzero(fit)
+                    a, b = i[a, 0], y[b]
+                    apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+                    near = apart * (TOTAL + SAME) <= (n[a] + n[b]) * (TOTAL - SAME)
+                    left.append(node[a[near]])
+                    right.append(node[b[near]])
+            if left:
+                a, b = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high").mapInArrow(run, "a long, b long").distinct()
+
+
 def _components(scratch: Scratch, sets: DataFrame) -> DataFrame:
     """doc_id, n, node, at of every row, with comp: the component of its node (null without shingles)."""
     by_token = Window.partitionBy("token")
@@ -190,9 +254,7 @@ def _components(scratch: Scratch, sets: DataFrame) -> DataFrame:
             break
     left = scratch.write(members().select("node", "comp").distinct())
     rare = scratch.write(_rarest(left.join(texts, "node").select("node", "n", "text")).join(left, "node"))
-    x, y = (rare.select("shingle", F.col("node").alias(k), F.col("comp").alias(f"comp_{k}"), F.col("n").alias(f"n_{k}"), F.col("c").alias(f"c_{k}")) for k in "ab")
-    met = x.join(y, "shingle").where("a < b and comp_a <> comp_b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b) and 7 * least(c_a, c_b) >= 3 * (n_a + n_b)")
-    connect(met.select("a", "b").distinct())
+    connect(_met(rare, texts))
 
     rows = sets.select("doc_id", "n", "node", "at")
     placed = rows.withColumn("comp", F.col("node")) if comp is None else rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -215,7 +277,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     on, each with its rarest ones. Within such a bucket everything is compared with one leader first: the set
     that shares most with others, then one by hash. What this connects is not compared again. The sets of buckets that still hold
     several components are cut to the finest partition, one shingle to a part, and those that share one of
-    their rarest shared shingles are compared, so no link between components is missed.
+    their rarest shared shingles are compared, slice by slice, so no link between components is missed.
     """
     scratch = Scratch(docs.sparkSession)
     sets = scratch.write(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]))

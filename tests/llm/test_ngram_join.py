@@ -1,7 +1,9 @@
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from shoprank.llm import ngram_join
 from shoprank.llm.common import shingles
@@ -49,6 +51,54 @@ def test_components_equal_all_pairs(spark):
     assert tuples(got, "doc_id", "n_shingles", "component_id") == brute(rows)
 
 
+def edits_of_one_text(copies):
+    """Copies of one text, each edited so that most pairs miss the threshold and some meet it."""
+    rng, words = np.random.default_rng(11), [f"w{k}" for k in range(150)]
+    return [(k, edited_by(words, k, rng.integers(0, 150, 4 if k % 5 else 2))) for k in range(copies)]
+
+
+def edited_by(words, who, places):
+    return " ".join(f"own{who}x{k}" if k in places else w for k, w in enumerate(words))
+
+
+def test_copies_that_miss_each_other_are_no_rows(spark, monkeypatch):
+    handed, verified = [], ngram_join._verified
+
+    def counted(pairs, texts):
+        pairs = pairs.persist()
+        handed.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    rows = edits_of_one_text(200)
+    got = ngram_join.near_duplicates(documents(spark, rows))
+    assert tuples(got, "doc_id", "n_shingles", "component_id") == brute(rows)
+    assert sum(handed) < 5 * len(rows)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1024])
+def test_slices_of_a_shingle_meet_each_other(spark, monkeypatch, size):
+    monkeypatch.setattr(ngram_join, "SLICE", size)
+    rows = edits_of_one_text(60)
+    sets = {int(r["node"]): shingles(r["text"]) for r in ngram_join._sets(documents(spark, rows), ["doc_id"]).collect()}
+    texts = ngram_join._with_sketch(spark.createDataFrame([(k, len(sets[k]), t) for k, (_, t) in zip(sets, rows)], "node long, n long, text string"))
+    rare = ngram_join._rarest(texts).withColumn("comp", F.col("node"))
+    got = {tuple(r) for r in ngram_join._met(rare, texts).collect()}
+    both = {(min(p), max(p)): len(np.intersect1d(sets[p[0]], sets[p[1]])) for p in combinations(sets, 2)}
+    linked = {p for p, k in both.items() if 4 * k >= 3 * (len(sets[p[0]]) + len(sets[p[1]]) - k)}
+    assert len(linked) > 5 and linked <= got and len(got) < 3 * len(linked) < len(both) / 2
+
+
+def test_groups_run_over_batches():
+    bits = pa.array([[k, -k] for k in range(6)], pa.list_(pa.int64()))
+    whole = pa.RecordBatch.from_arrays([pa.array([1, 1, 1, 2, 3, 3]), pa.array([0, 0, 0, 0, 0, 0]), bits], ["x", "y", "bits"])
+    for size in (1, 2, 4, 6):
+        parts = [whole.slice(k, size) for k in range(0, 6, size)]
+        got = [columns[2][a:b, 0].astype(int).tolist() for columns, cuts in ngram_join._grouped(parts, 2) for a, b in zip(cuts, cuts[1:])]
+        assert got == [[0, 1, 2], [3], [4, 5]]
+    assert list(ngram_join._grouped([], 2)) == []
+
+
 def test_linked_sets_share_enough_signatures():
     rng = np.random.default_rng(1)
     for _ in range(300):
