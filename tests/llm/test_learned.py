@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from shoprank.llm import language_model, languages, quality
+from shoprank.llm.common import Scratch
 from shoprank.llm.queries import piece_model
 from tests.llm.common import AWKWARD, blank_words, bucket, documents, text, tuples
 
@@ -197,3 +198,24 @@ def test_a_step_equals_the_plain_formula():
         new.learn(flat, features, squares)
         want = w - language_model.RATE * step / np.sqrt((step * step).mean(1) + 1.0)[:, None]
         assert np.allclose(getattr(new, weights), want, atol=1e-4)
+
+
+def test_words_that_stand_beside_the_same_words_share_a_class(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"{('the a', 'to b')[k % 2]}{rng.integers(100)}" for k in range(40))) for i in range(250)]
+    words = sorted({w for _, t in rows for w in t.split()}, key=lambda w: int(language_model.word_hashes(w)[0]))
+    h = np.concatenate([language_model.word_hashes(w) for w in words])
+    classes = language_model.learn_classes(documents(spark, rows), Scratch(spark), h, np.full(len(h), 40))
+    of = {kind: {c for w, c in zip(words, classes.leaf.tolist(), strict=True) if w[0] == kind and w[1:].isdigit()} for kind in "ab"}
+    assert of["a"] and of["b"] and not of["a"] & of["b"]
+    # which kind comes next is known from the word before
+    got = language_model.score_texts(documents(spark, rows)).where("held_out").collect()
+    gain = sum(r["score"] - r["base_score"] for r in got) / sum(r["n_tokens"] for r in got)
+    assert gain > 0.05, gain
+
+
+def test_classes_without_words():
+    h = np.array([0, 2**64 - 1, 11 << 58], np.uint64)
+    assert [x.tolist() for x in language_model.leaf_of(h)] == [[0, 7, 1], [0, 7, 3]]
+    classes = language_model.Classes(np.array([5, 9], np.uint64), np.array([63, 17]), 4)
+    assert [x.tolist() for x in language_model.leaf_of(np.array([9, 6, 5, 2**64 - 1], np.uint64), classes)] == [[2, 0, 7, 0], [1, 4, 7, 4]]
