@@ -1,6 +1,7 @@
 """The registered fits use the shipped parameters and every fold."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,43 @@ def test_folds_are_measured_without_writing_candidates(spark, monkeypatch):
     report = lists.fold_reports(spark, DIR, lambda found, truth: diagnostics.cap_sweep(found, truth, (2, None), keys=["fold"]))
     assert {(r["fold"], r["cap"]) for r in report.collect()} == {(f"fold_{k}", c) for k in range(4) for c in ("2", "uncapped")}
     assert not any("n_sources" in columns for columns in stored)
+
+
+def test_training_leaves_no_tables(spark, monkeypatch):
+    load_all()
+    from registry import ranking
+    from shoprank.functions.session import ensure_checkpoint_dir, written
+    from shoprank.operators import ranker
+
+    def tables():
+        return set(os.listdir(ensure_checkpoint_dir(spark).removeprefix("file:")))
+
+    def fit(self, train, *_):
+        assert written(train).count() == 9
+        return "model"
+
+    monkeypatch.setattr(ranking, "sampled_frame", lambda spark, d: written(spark.range(9)))
+    monkeypatch.setattr(ranker.LambdaRanker, "fit", fit)
+    before = tables()
+    try:
+        assert ranking.trained_model(spark, "own rows") == "model"
+    finally:
+        ranking._MODELS.pop((spark.sparkContext.applicationId, "own rows"), None)
+    assert tables() == before
+
+
+def test_shuffle_files_of_written_tables_are_released(spark):
+    from shoprank.functions.session import written
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {name for name in (str(b.name()) for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllBlocks())) if name.startswith("shuffle_")}
+
+    before = shuffles()
+    assert written(spark.range(2000).repartition(7, "id")).count() == 2000
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
